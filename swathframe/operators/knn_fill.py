@@ -41,8 +41,10 @@ def knn_fill(df: DataFrame, columns, k: int = 5, chunk: int = CHUNK_ROWS) -> Dat
         F.col("_gaps") > 0).drop("_gaps")
     rows = vectors.join(gappy, ["tile_id", "band"]).withColumn("_chunk", F.floor(F.col("row") / chunk).cast("int"))
     chunks = F.sequence(F.lit(0), F.floor(F.col("_last_row") / chunk).cast("int"))
-    receivers = rows.filter("gaps > 0").withColumn("rc", F.col("_chunk")).withColumn("dc", F.explode(chunks))
-    donors = rows.withColumn("dc", F.col("_chunk")).withColumn("rc", F.explode(chunks))
+    # One tagged table, so both roles of a row reach a chunk pair through one shuffle.
+    receivers = rows.filter("gaps > 0").withColumn("rc", F.col("_chunk")).withColumn("dc", F.explode(chunks)).withColumn(
+        "receiver", F.lit(True))
+    donors = rows.withColumn("dc", F.col("_chunk")).withColumn("rc", F.explode(chunks)).withColumn("receiver", F.lit(False))
     pair = ["tile_id", "band", "rc", "dc"]
     tile_type = dict(df.dtypes)["tile_id"]
 
@@ -54,8 +56,9 @@ def knn_fill(df: DataFrame, columns, k: int = 5, chunk: int = CHUNK_ROWS) -> Dat
                     out[i, c["col"]] = c["value"]
         return out
 
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def nearest(both: pd.DataFrame) -> pd.DataFrame:
         names = ["tile_id", "band", "row", "col", "dist", "donor", "value"]
+        left, right = both[both["receiver"]], both[~both["receiver"]]
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
         width = int(left["_last_col"].iloc[0]) + 1
@@ -84,8 +87,7 @@ def knn_fill(df: DataFrame, columns, k: int = 5, chunk: int = CHUNK_ROWS) -> Dat
         out.insert(0, "tile_id", left["tile_id"].iloc[0])
         return out[names]
 
-    found = receivers.groupBy(*pair).cogroup(donors.groupBy(*pair)).applyInPandas(
-        nearest, _CANDIDATES.format(tile=tile_type))
+    found = receivers.unionByName(donors).groupBy(*pair).applyInPandas(nearest, _CANDIDATES.format(tile=tile_type))
     rank = F.struct((F.col("dist").isNull() | F.isnan("dist")).alias("far"), "dist", "donor", "value")
     best = found.groupBy("tile_id", "band", "row", "col").agg(
         F.slice(F.array_sort(F.collect_list(rank)), 1, k).alias("near"))
