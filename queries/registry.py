@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
-_MODULES = ("indices", "classes", "quality", "statistics")
+_MODULES = ("indices", "classes", "quality", "statistics", "tiles", "raster", "focal", "clouds")
 
 
 def query(name: str, sql: str | None = None):

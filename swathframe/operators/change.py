@@ -47,7 +47,8 @@ def neighbourhoods(diff: DataFrame, channels, k: int = 4, shape=None) -> DataFra
     before, after = k // 2, (k - 1) // 2
     runs = {d: (-before, after) for d in range(-before, after + 1)}
     out = focal_runs(diff, {f"_n_{c}": F.col(c) for c in channels}, "collect", runs, mirror=True, shape=shape)
-    return out.select("tile_id", "row", "col", F.concat(*[F.col(f"_n_{c}") for c in channels]).alias("vector"))
+    return out.select("tile_id", "row", "col", F.concat(*[F.col(f"_n_{c}") for c in channels]).alias("vector")).filter(
+        F.size("vector") == k * k * len(list(channels)))
 
 
 def _features(df: DataFrame) -> DataFrame:

@@ -70,13 +70,38 @@ def with_halo(df: DataFrame, radius: int, keys=("tile_id",), block: int = BLOCK,
     return out.repartition(*keys, _BR, _BC)
 
 
+def _fill_rows(df: DataFrame, values, lo: int, hi: int, keys, block: int, margin: int = 0) -> DataFrame:
+    """Add empty positions beside gaps, so sums along a row exist wherever a column needs them.
+
+    The row pass stores its result at pixels; where a pixel is absent the
+    column pass would miss the neighbours of that row.  Each pixel next to a
+    gap (or an edge) adds the positions its value reaches inside its block;
+    complete rows add none.  Added rows have NULL values and ``_real`` false.
+    """
+    order = Window.partitionBy(*keys, _BR, _BC, "row").orderBy("col")
+    col, first, last = F.col("col"), F.col(_BC) * block - margin, F.col(_BC) * block + (block - 1 + margin)
+    out = df.withColumn("_prev", F.lag("col").over(order)).withColumn("_next", F.lead("col").over(order))
+    after = F.least(col - lo, F.col("_next") - 1, last)
+    before = F.greatest(col - hi, F.col("_prev") - lo + 1, first)
+    none = F.expr("cast(array() as array<int>)")
+    places = F.concat(F.array(col), F.when(after > col, F.sequence(col + 1, after)).otherwise(none),
+                      F.when(before < col, F.sequence(before, col - 1)).otherwise(none))
+    complete = (F.col("_next") == col + 1) & (F.col("_prev") == col - 1)
+    out = out.withColumn("_place", F.explode(F.when(complete, F.array(col)).otherwise(places)))
+    real = F.col("_place") == col
+    hidden = {v: F.when(real, F.col(v)) for v in values}
+    return out.withColumns({**hidden, "_real": real}).withColumn("col", F.col("_place")).drop("_prev", "_next", "_place")
+
+
 def _owned(df: DataFrame, block: int, mirror: bool) -> DataFrame:
     """Drop the halo again: keep a pixel only in the block it belongs to."""
     own = (F.floor(F.col("row") / block) == F.col(_BR)) & (F.floor(F.col("col") / block) == F.col(_BC))
     if mirror:
         own = own & (F.col("row") >= 0) & (F.col("row") < F.col("_n_rows")) \
             & (F.col("col") >= 0) & (F.col("col") < F.col("_n_cols"))
-    return df.filter(own).drop(_BR, _BC, "_n_rows", "_n_cols")
+    if "_real" in df.columns:
+        own = own & F.col("_real")
+    return df.filter(own).drop(_BR, _BC, "_n_rows", "_n_cols", "_real")
 
 
 def _windows(keys, lo_c: int, hi_c: int, lo_r: int, hi_r: int):
@@ -86,28 +111,32 @@ def _windows(keys, lo_c: int, hi_c: int, lo_r: int, hi_r: int):
 
 
 def focal_square(df: DataFrame, values: dict, agg: str, radius: int, keys=("tile_id",),
-                 block: int = BLOCK, counts: bool = False) -> DataFrame:
+                 block: int = BLOCK, counts: bool = False, dense: bool = False) -> DataFrame:
     """Separable statistic over a (2r+1) square: ``mean``, ``sum``, ``min`` or ``max``.
 
     ``values`` maps an output name to a Column over ``df``.  Pixels outside the
-    image or NULL do not take part.  ``counts`` adds ``<name>_n``.
+    image, absent or NULL do not take part.  ``counts`` adds ``<name>_n``.
+    ``dense`` promises that no pixel row is absent and saves one sort.
     """
     if agg not in ("mean", "sum", "min", "max"):
         raise ValueError(f"unknown focal aggregate {agg!r}")
     base = df.columns
     src = df.select("*", *[as_col(c).alias(f"_v_{n}") for n, c in values.items()])
     src = with_halo(src, radius, keys, block)
+    flag = []
+    if not dense:
+        src, flag = _fill_rows(src, [f"_v_{n}" for n in values], -radius, radius, keys, block), ["_real"]
     across, down = _windows(keys, -radius, radius, -radius, radius)
     need_n = counts or agg == "mean"
     fold = {"mean": F.sum, "sum": F.sum, "min": F.min, "max": F.max}[agg]
     first = [fold(f"_v_{n}").over(across).alias(f"_a_{n}") for n in values]
     if need_n:
         first += [F.count(f"_v_{n}").over(across).alias(f"_n_{n}") for n in values]
-    src = src.select(*base, _BR, _BC, *first)
+    src = src.select(*base, *flag, _BR, _BC, *first)
     second = [fold(f"_a_{n}").over(down).alias(f"_s_{n}") for n in values]
     if need_n:
         second += [F.sum(f"_n_{n}").over(down).alias(f"_m_{n}") for n in values]
-    src = _owned(src.select(*base, _BR, _BC, *second), block, mirror=False)
+    src = _owned(src.select(*base, *flag, _BR, _BC, *second), block, mirror=False)
     out = []
     for n in values:
         result = F.try_divide(F.col(f"_s_{n}"), F.col(f"_m_{n}")) if agg == "mean" else F.col(f"_s_{n}")
@@ -135,7 +164,7 @@ def diamond_runs(radius: int) -> dict[int, tuple[int, int]]:
 
 
 def focal_runs(df: DataFrame, values: dict, agg: str, runs: dict[int, tuple[int, int]], keys=("tile_id",),
-               block: int = BLOCK, mirror: bool = False, shape=None) -> DataFrame:
+               block: int = BLOCK, mirror: bool = False, shape=None, dense: bool = False) -> DataFrame:
     """Statistic over any footprint given as one column run per row offset.
 
     ``min``/``max``/``sum``/``median`` reduce the neighbourhood, ``collect``
@@ -145,23 +174,35 @@ def focal_runs(df: DataFrame, values: dict, agg: str, runs: dict[int, tuple[int,
     """
     base = df.columns
     src = df.select("*", *[as_col(c).alias(f"_v_{n}") for n, c in values.items()])
-    reach = max(max(abs(d), abs(a), abs(b)) for d, (a, b) in runs.items())
-    src = with_halo(src, reach, keys, block, mirror, shape)
+    src = with_halo(src, runs_reach(runs), keys, block, mirror, shape)
     extent = ["_n_rows", "_n_cols"] if mirror else []
+    src = _runs_pass(src, list(values), agg, runs, keys, block, base + extent, dense)
+    return _owned(src, block, mirror).select(*base, *values)
+
+
+def runs_reach(runs) -> int:
+    return max(max(abs(d), abs(a), abs(b)) for d, (a, b) in runs.items())
+
+
+def _runs_pass(src: DataFrame, names, agg: str, runs, keys, block: int, keep, dense: bool, margin: int = 0) -> DataFrame:
+    """One neighbourhood pass inside the blocks: reads ``_v_<name>``, adds ``<name>``."""
     fold = {"min": F.min, "max": F.max, "sum": F.sum, "median": F.collect_list, "collect": F.collect_list}[agg]
-    spans = sorted(set(runs.values()))
+    reach, spans, keep = runs_reach(runs), sorted(set(runs.values())), [*keep, _BR, _BC]
+    if not dense:
+        lo, hi = min(a for a, _ in runs.values()), max(b for _, b in runs.values())
+        src, keep = _fill_rows(src, [f"_v_{n}" for n in names], lo, hi, keys, block, margin), keep + ["_real"]
     first, second = [], []
-    for n in values:
+    for n in names:
         for i, (lo, hi) in enumerate(spans):
             across, _ = _windows(keys, lo, hi, 0, 0)
             first.append(fold(f"_v_{n}").over(across).alias(f"_a_{n}_{i}"))
         for d, span in sorted(runs.items()):
             _, down = _windows(keys, 0, 0, d, d)
             second.append(F.first(f"_a_{n}_{spans.index(span)}").over(down).alias(f"_b_{n}_{d + reach}"))
-    src = src.select(*base, *extent, _BR, _BC, *first)
-    src = _owned(src.select(*base, *extent, _BR, _BC, *second), block, mirror)
-    return src.select(*base, *[_combine(agg, [F.col(f"_b_{n}_{d + reach}") for d in sorted(runs)]).alias(n)
-                               for n in values])
+    src = src.select(*keep, *first)
+    src = src.select(*keep, *second)
+    return src.select(*keep, *[_combine(agg, [F.col(f"_b_{n}_{d + reach}") for d in sorted(runs)]).alias(n)
+                               for n in names])
 
 
 def _combine(agg: str, parts: list[Column]) -> Column:
@@ -189,12 +230,6 @@ def median_of(values: Column) -> Column:
     return F.when(n > 0, middle)
 
 
-def repeat(step, times: int, df: DataFrame) -> DataFrame:
-    for _ in range(times):
-        df = step(df)
-    return df
-
-
 def erode_diamond(df: DataFrame, value: str, keys=("tile_id",), radius: int = 2, name: str = "eroded") -> DataFrame:
     """Minimum over the diamond; positions outside the image do not constrain."""
     return focal_runs(df, {name: value}, "min", diamond_runs(radius), keys)
@@ -207,19 +242,22 @@ def median_denoise(df: DataFrame, value: str, size: int = 3, keys=("tile_id",),
 
 
 def opened(df: DataFrame, value: str, erode: float, dilate: float, iterations: int = 3,
-           keys=("tile_id",), name: str = "opened") -> DataFrame:
-    """Repeated circular minimum, then repeated circular maximum."""
-    out = df.withColumn(name, F.col(value))
-    keep = out.columns
-
-    def once(agg, radius):
-        def step(d):
-            return (focal_runs(d, {"_focal": name}, agg, circle_runs(radius), keys)
-                    .withColumn(name, F.col("_focal")).select(*keep))
-        return step
-
-    out = repeat(once("min", erode), iterations, out)
-    return repeat(once("max", dilate), iterations, out)
+           keys=("tile_id",), name: str = "opened", block: int = BLOCK, dense: bool = False) -> DataFrame:
+    """Repeated circular minimum, then repeated circular maximum.
+
+    The border covers the reach of all passes together, so the whole sequence
+    runs inside the blocks after one shuffle.
+    """
+    base = df.columns
+    passes = [("min", circle_runs(erode))] * iterations + [("max", circle_runs(dilate))] * iterations
+    reach = sum(runs_reach(r) for _, r in passes)
+    src = with_halo(df.withColumn("_v_x", F.col(value)), reach, keys, block)
+    for agg, runs in passes:
+        src = _runs_pass(src, ["x"], agg, runs, keys, block, base, dense, margin=reach)
+        if not dense:
+            src = src.filter("_real").drop("_real")
+        src = src.withColumnRenamed("x", "_v_x")
+    return _owned(src, block, mirror=False).select(*base, F.col("_v_x").alias(name))
 
 
 def lee_filter(df: DataFrame, value: str, size: int = 9, looks: float = 1.0, keys=("tile_id",),
