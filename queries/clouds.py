@@ -108,9 +108,9 @@ def dark_pixels(spark, sf):
     return scored(spark, sf).select(*SCENE, cd.dark_pixel(1.0).alias("dark"))
 
 
-@query("quality_score", f"""WITH {SQL_SCORED}, q AS (SELECT scene_id, "row", col, greatest(cloud_score, b12) AS q FROM scored), w AS ({window_sql('AVG(b.q) AS q', square(5), 'q')})
+@query("quality_score", f"""WITH {SQL_SCORED}, q AS (SELECT scene_id, "row", col, greatest(cloud_score, sqrt(b12)) AS q FROM scored), w AS ({window_sql('AVG(b.q) AS q', square(5), 'q')})
   SELECT {SCENE_SQL}, {rd('-q', 12)} AS cloud_shadow_score FROM w""")
 def quality_score(spark, sf):
-    """The darkest band stands in for the shadow score."""
-    px = scored(spark, sf).withColumn("shadow_score", F.col("b12"))
+    """The root of the darkest band stands in for the shadow score."""
+    px = scored(spark, sf).withColumn("shadow_score", F.sqrt("b12"))
     return cd.quality_score(px).select(*SCENE, rounded("cloud_shadow_score", 12).alias("cloud_shadow_score"))

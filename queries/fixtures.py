@@ -95,6 +95,13 @@ SQL_FLAT = """pix_flat AS (
 
 # --- bands13: 32 x 32 scenes of reflectances with gaps, from lineitem by order
 
+# Long factors keep sums and means away from exact decimals, where engines round differently.
+_BANDS13 = {"b1": ("t1", 2.98765432101, 0.0812345678912), "b2": ("d1", 3.01234567891, 0.0512345678912),
+            "b3": ("d0", 3.01234567891, 0.0498765432109), "b4": ("q1", 0.00987654321012, 0.0),
+            "b8": ("q1", 0.0123456789123, 0.0), "b10": ("t0", 0.987654321012, 0.0),
+            "b11": ("q0", 0.0123456789321, 0.0201234567891), "b12": ("q0", 0.00987654321098, 0.0)}
+
+
 def bands13(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     by_order = li.groupBy("l_orderkey").agg(
@@ -104,16 +111,13 @@ def bands13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_order.select(
         F.floor(F.col("l_orderkey") / 1024).cast("long").alias("scene_id"),
         F.floor(pos / 32).cast("int").alias("row"), (pos % 32).cast("int").alias("col"),
-        (F.col("t1") * 3 + 0.08).alias("b1"), (F.col("d1") * 3 + 0.05).alias("b2"), (F.col("d0") * 3 + 0.05).alias("b3"),
-        (F.col("q1") / 100).alias("b4"), (F.col("q1") / 80).alias("b8"), F.col("t0").alias("b10"),
-        (F.col("q0") / 80 + 0.02).alias("b11"), (F.col("q0") / 100).alias("b12"))
+        *[(F.col(c) * scale + shift).alias(b) for b, (c, scale, shift) in _BANDS13.items()])
 
 
-SQL_BANDS = """bands13 AS (
+SQL_BANDS = f"""bands13 AS (
   SELECT CAST(l_orderkey // 1024 AS BIGINT) AS scene_id, CAST((l_orderkey % 1024) // 32 AS INT) AS "row",
     CAST(l_orderkey % 32 AS INT) AS col,
-    t1*3e0+0.08e0 AS b1, d1*3e0+0.05e0 AS b2, d0*3e0+0.05e0 AS b3, q1/100e0 AS b4, q1/80e0 AS b8, t0 AS b10,
-    q0/80e0+0.02e0 AS b11, q0/100e0 AS b12
+    {', '.join(f'{c}*{scale!r}::DOUBLE+{shift!r}::DOUBLE AS {b}' for b, (c, scale, shift) in _BANDS13.items())}
   FROM (SELECT l_orderkey, MAX(l_discount) d1, MIN(l_discount) d0, MAX(l_tax) t1, MIN(l_tax) t0,
                MAX(l_quantity) q1, MIN(l_quantity) q0 FROM lineitem GROUP BY l_orderkey))"""
 

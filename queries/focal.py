@@ -80,22 +80,22 @@ def mmse_sql(z, m, v, noise):
     return f"{m}+least(COALESCE({signal}/NULLIF({v},0), 0e0), 1e0)*({z}-{m})"
 
 
-@query("lee_filter", f"""WITH {SQL_BANDS}, z AS (SELECT scene_id, "row", col, b8*b8 AS z FROM bands13),
+@query("lee_filter", f"""WITH {SQL_BANDS}, z AS (SELECT scene_id, "row", col, sqrt(b8+0.01e0) AS z FROM bands13),
   w AS ({window_sql('MAX(a.z) AS z, AVG(b.z) AS m, AVG(b.z*b.z) AS m2', square(4), 'z')})
   SELECT {SCENE_SQL}, {rd(mmse_sql('z', 'm', '(m2-m*m)', '0.1e0'), 10)} AS filtered FROM w""")
 def lee_filter(spark, sf):
-    z = bands13(spark, sf).select(*SCENE, (F.col("b8") * F.col("b8")).alias("z"))
+    z = bands13(spark, sf).select(*SCENE, F.sqrt(F.col("b8") + 0.01).alias("z"))
     return fo.lee_filter(z, "z", 9, looks=10.0, keys=("scene_id",)).select(*SCENE, rounded("filtered", 10).alias("filtered"))
 
 
-@query("lee_sigma_filter", f"""WITH {SQL_BANDS}, z AS (SELECT scene_id, "row", col, b8*b8 AS z FROM bands13),
+@query("lee_sigma_filter", f"""WITH {SQL_BANDS}, z AS (SELECT scene_id, "row", col, sqrt(b8+0.01e0) AS z FROM bands13),
   w AS ({window_sql('MAX(a.z) AS z, AVG(b.z) AS m, AVG(b.z*b.z) AS m2', square(2), 'z')}),
   prior AS (SELECT scene_id, "row", col, z, {mmse_sql('z', 'm', '(m2-m*m)', '1e0')} AS p FROM w),
   s AS (SELECT a.scene_id, a."row", a.col, MAX(a.z) AS z, MAX(a.p) AS p, COUNT(b.z) AS n, AVG(b.z) AS m, AVG(b.z*b.z) AS m2 FROM prior a LEFT JOIN prior b
     ON a.scene_id = b.scene_id AND {square(4)} AND b.z >= 0.084e0*a.p AND b.z <= 3.941e0*a.p GROUP BY a.scene_id, a."row", a.col)
   SELECT {SCENE_SQL}, {rd(f"CASE WHEN n > 0 THEN {mmse_sql('z', 'm', '(m2-m*m)', '0.67092481e0')} ELSE p END", 10)} AS filtered FROM s""")
 def lee_sigma_filter(spark, sf):
-    z = bands13(spark, sf).select(*SCENE, (F.col("b8") * F.col("b8")).alias("z"))
+    z = bands13(spark, sf).select(*SCENE, F.sqrt(F.col("b8") + 0.01).alias("z"))
     return fo.lee_sigma_filter(z, "z", keys=("scene_id",)).select(*SCENE, rounded("filtered", 10).alias("filtered"))
 
 

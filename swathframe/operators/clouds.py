@@ -14,6 +14,7 @@ from swathframe.functions.geometry import box_area, box_intersection
 from swathframe.functions.indices import normalized_difference
 from swathframe.functions.rescale import threshold_ramp
 from swathframe.operators.focal import focal_square, opened
+from swathframe.operators.layout import attach
 
 
 def pixel_cloud_score(scale: float = REFLECTANCE_SCALE) -> Column:
@@ -53,7 +54,6 @@ def cloud_stats(scored: DataFrame, zones: DataFrame, pixel_area: float, keys=("s
 
 
 def clip_to_zone(df: DataFrame, zones: DataFrame, keys=("scene_id",), x: str = "x", y: str = "y") -> DataFrame:
-    from swathframe.operators.layout import attach
     z = attach(df, zones.select(*keys, F.col("zone").alias("_zone")), keys)
     return z.filter((F.col(x) >= F.col("_zone.xmin")) & (F.col(x) <= F.col("_zone.xmax"))
                     & (F.col(y) >= F.col("_zone.ymin")) & (F.col(y) <= F.col("_zone.ymax"))).drop("_zone")
@@ -75,20 +75,24 @@ def dilated_erosion(df: DataFrame, value: str, keys=("scene_id",), name: str = "
 def shadow_mean(df: DataFrame, res: float, keys=("scene_id",), heights=CLOUD_HEIGHTS) -> DataFrame:
     """Mean of the cloud score displaced away from the sun for every assumed cloud height.
 
-    Needs ``cloud_score``, ``azimuth`` and ``zenith`` (degrees).  A pixel sends
-    its score to the positions it would shade; equal positions meet in one
-    aggregate, so heights that round to the same shift cost one partial row.
+    Needs ``cloud_score``, ``azimuth`` and ``zenith`` (degrees, one per scene).
+    The shifts are worked out once per scene, heights that round to the same
+    shift become one weighted shift; a pixel then sends its score to the
+    positions it would shade and equal positions meet in one aggregate.
     """
     low, high, step = heights
-    az = F.radians(F.col("azimuth") + 180)
-    tangent = F.tan(F.radians(F.col("zenith")))
-    dx = lambda h: -F.sin(az) * tangent * h / F.lit(float(res))
-    dy = lambda h: -F.cos(az) * tangent * h / F.lit(float(res))
-    shift = F.transform(F.sequence(F.lit(low), F.lit(high), F.lit(step)), lambda h: F.struct(
-        (-F.floor(-dy(h) + 0.5)).cast("int").alias("dr"), (-F.floor(dx(h) + 0.5)).cast("int").alias("dc")))
-    moved = df.select(*keys, "row", "col", "cloud_score", F.explode(shift).alias("_s"))
+    sun = df.groupBy(*keys).agg(F.max("azimuth").alias("_az"), F.max("zenith").alias("_zen"))
+    away = F.radians(F.col("_az") + 180)
+    reach = F.tan(F.radians(F.col("_zen"))) * F.col("_h") / F.lit(float(res))
+    per_height = sun.withColumn("_h", F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step))))
+    shifts = per_height.groupBy(*keys, (-F.floor(F.cos(away) * reach + 0.5)).cast("int").alias("dr"),
+                                (-F.floor(-F.sin(away) * reach + 0.5)).cast("int").alias("dc")).agg(F.count(F.lit(1)).alias("w"))
+    # At most one entry per height and scene.
+    table = shifts.groupBy(*keys).agg(F.collect_list(F.struct("dr", "dc", "w")).alias("_shifts"))
+    moved = attach(df.select(*keys, "row", "col", "cloud_score"), table, keys).select(
+        *keys, "row", "col", "cloud_score", F.explode("_shifts").alias("_s"))
     return moved.groupBy(*keys, (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col")).agg(
-        F.avg("cloud_score").alias("shadow_mean"))
+        F.try_divide(F.sum(F.col("cloud_score") * F.col("_s.w")), F.sum("_s.w")).alias("shadow_mean"))
 
 
 def dark_pixel(scale: float = REFLECTANCE_SCALE) -> Column:

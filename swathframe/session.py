@@ -16,6 +16,10 @@ def build_session(name: str = "swathframe", master: str | None = None, shuffle_p
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # Small local data: keep enough partitions after coalescing to use every core.
+            b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k").config(
+                "spark.python.sql.dataFrameDebugging.enabled", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in extra.items():
