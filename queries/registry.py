@@ -6,7 +6,8 @@ import importlib
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
-_MODULES = ("indices", "classes", "quality", "statistics", "tiles", "raster", "focal", "clouds")
+_MODULES = ("indices", "classes", "quality", "statistics", "tiles", "raster", "focal", "clouds", "scenes",
+            "geometry", "change", "sources")
 
 
 def query(name: str, sql: str | None = None):

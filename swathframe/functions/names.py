@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from swathframe.constants import GRID_CELL_DEGREES
-from swathframe.functions.common import as_col
+from swathframe.functions.common import as_col, let
 
 
 def pad2(value) -> Column:
@@ -111,9 +111,9 @@ def gridcell_bounds(name) -> Column:
 
 def gridcell_overlaps(name, west, east, south, north) -> Column:
     """Inclusive overlap of a named cell with a bounding box on both axes."""
-    b = gridcell_bounds(name)
-    return ((b["east"] >= as_col(west)) & (b["west"] <= as_col(east))
-            & (b["south"] <= as_col(north)) & (b["north"] >= as_col(south)))
+    return let(name, lambda n: let(gridcell_bounds(n), lambda b: (
+        (b["east"] >= as_col(west)) & (b["west"] <= as_col(east))
+        & (b["south"] <= as_col(north)) & (b["north"] >= as_col(south)))))
 
 
 def gridcell_size(sat_id) -> Column:

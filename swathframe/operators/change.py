@@ -35,8 +35,9 @@ def block_vectors(diff: DataFrame, channels, k: int = 4, centre: str = "tile") -
     cells = F.array_sort(F.collect_list(F.struct("_pos", *channels)))
     blocks = positioned.groupBy("tile_id", "block_row", "block_col").agg(cells.alias("_cells")).filter(
         F.size("_cells") == k * k)
+    # A field of an array of structs is the array of that field.
     return blocks.select("tile_id", "block_row", "block_col", F.concat(*[
-        F.transform("_cells", lambda s, c=c: s[c]) for c in channels]).alias("vector"))
+        F.col(f"_cells.{c}") for c in channels]).alias("vector"))
 
 
 def neighbourhoods(diff: DataFrame, channels, k: int = 4, shape=None) -> DataFrame:

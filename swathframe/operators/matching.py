@@ -33,7 +33,7 @@ def nearest_scene_join(s2: DataFrame, s1: DataFrame, max_days: int, direction: s
     if max_days < 1:
         raise ValueError("max_days must be at least 1")
     on = list(on)
-    micros = F.unix_micros(time)
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
     day, tod = F.floor(micros / _DAY_US).cast("long"), F.pmod(micros, F.lit(_DAY_US))
     radar = s1.select(*on, day.alias("_day"), tod.alias("_tod"), F.lit(1).alias("_kind"),
                       F.lit(None).cast(dict(s2.dtypes)["scene_id"]).alias("_s2"), F.lit(None).cast("int").alias("_k"),

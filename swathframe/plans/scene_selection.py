@@ -32,7 +32,7 @@ def best_scene_per_group(scenes: DataFrame, criterion: str = "lessclouds", cloud
     column, ascending = CRITERIA[criterion]
     value = F.col(column)
     if column == "acquired_at":
-        value = F.unix_micros(value)
+        value = F.unix_micros(value.cast("timestamp"))
     rank = value if ascending else -value
     best = filter_cloud(scenes, cloud_limit).groupBy(group).agg(
         F.min(F.struct(rank.alias("rank"), F.col("scene_id"), *[F.col(c) for c in keep if c != "scene_id"])).alias("_b"))
