@@ -7,24 +7,27 @@ from queries.registry import query
 from swathframe.functions import geometry as ge
 from swathframe.functions import projection as pr
 
-RING = ge.box_ring("xmin", "ymin", "xmax", "ymax")
 OTHER = (149.32, -34.98, 149.62, -34.85)
 LIT_BOX = "149.32e0 AS a, -34.98e0 AS b, 149.62e0 AS c, -34.85e0 AS d"
 SQL_Z = f"{SQL_SCENES}, z AS (SELECT *, {LIT_BOX} FROM scenes)"
 
 
+def scene_ring():
+    return ge.box_ring("xmin", "ymin", "xmax", "ymax")
+
+
 def zone_box():
     return ge.box(*[F.lit(v) for v in OTHER])
 
 
 @query("polygon_area", f"WITH {SQL_SCENES} SELECT scene_id, {rd('(xmax-xmin)*(ymax-ymin)', 9)} AS area FROM scenes")
 def polygon_area(spark, sf):
-    return scenes(spark, sf).select("scene_id", rounded(ge.polygon_area(RING), 9).alias("area"))
+    return scenes(spark, sf).select("scene_id", rounded(ge.polygon_area(scene_ring()), 9).alias("area"))
 
 
 @query("spherical_area", f"WITH {SQL_SCENES} SELECT scene_id, {rd('abs(radians(xmax-xmin)*(sin(radians(ymax))-sin(radians(ymin))))*6371008.8e0*6371008.8e0/1e6', 3)} AS km2 FROM scenes")
 def spherical_area(spark, sf):
-    return scenes(spark, sf).select("scene_id", rounded(ge.spherical_area(RING) / 1e6, 3).alias("km2"))
+    return scenes(spark, sf).select("scene_id", rounded(ge.spherical_area(scene_ring()) / 1e6, 3).alias("km2"))
 
 
 @query("boxes", f"""WITH {SQL_Z}, t AS (SELECT *, (xmin <= c AND xmax >= a AND ymin <= d AND ymax >= b) AS meets FROM z)
@@ -51,7 +54,7 @@ def clip_zone(spark, sf):
 def polygon_relations(spark, sf):
     """General polygon tests; on boxes they must agree with the box formulas."""
     zone = ge.box_ring(*[F.lit(v) for v in OTHER])
-    out = scenes(spark, sf).withColumn("ring", RING)
+    out = scenes(spark, sf).withColumn("ring", scene_ring())
     return out.select("scene_id", ge.polygons_intersect("ring", zone).alias("meets"), ge.polygon_contains(zone, "ring").alias("inside"),
                       rounded(ge.polygon_area(ge.clip_convex("ring", zone)), 8).alias("shared"))
 
@@ -144,7 +147,7 @@ def mgrs_square(spark, sf):
 
 @query("centroid")
 def centroid(spark, sf):
-    ring = scenes(spark, sf).select("scene_id", RING.alias("ring"))
+    ring = scenes(spark, sf).select("scene_id", scene_ring().alias("ring"))
     c = ring.withColumn("epsg", ge.utm_epsg("ring")).select("scene_id", ge.centroid("ring", "epsg").alias("c"))
     return c.select("scene_id", rounded("c.lon").alias("lon"), rounded("c.lat").alias("lat"))
 

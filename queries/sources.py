@@ -35,7 +35,8 @@ def flatten_catalogue_features(spark, sf):
 
 def described(spark, sf):
     """Scenes with every description field, some missing by family."""
-    s, sid = scenes(spark, sf), F.col("scene_id")
+    # Text work costs far more per row than the shuffle that spreads one small file over all cores.
+    s, sid = scenes(spark, sf).repartition(spark.sparkContext.defaultParallelism), F.col("scene_id")
     return s.select(
         F.concat(F.lit("P"), sid.cast("string")).alias("scene_id"), F.col("sat_id").alias("satellite"), F.lit("OLCI").alias("instrument"), "product_type",
         F.lit("Level-2A").alias("processing_level"), F.when(sid % 4 != 0, F.col("xmin")).alias("centroid_lon"), F.when(sid % 4 != 0, F.col("ymin")).alias("centroid_lat"),
@@ -94,7 +95,7 @@ def _s1_xml():
     concat(substr(pass_direction, 1, 1), lower(substr(pass_direction, 2))) AS pass_direction, 5 AS n_vertices, {rd('xmin')} AS lon, {rd('ymin')} AS lat FROM scenes WHERE sat_id = 'S1A'""")
 def normalise_manifests_s1(spark, sf):
     """Manifests of every radar scene; where the product type is missing the file name gives it."""
-    s = scenes(spark, sf).filter("sat_id = 'S1A'")
+    s = scenes(spark, sf).filter("sat_id = 'S1A'").repartition(spark.sparkContext.defaultParallelism)
     name = F.format_string("/in/%d/S1A_IW_RAW_0S.zip", "scene_id")
     out = manifests.normalise_manifests(s1=s.select(name.alias("path"), _s1_xml().alias("xml")))
     return out.select(F.get(F.split("path", "/"), F.lit(2)).cast("long").alias("scene_id"), "sat_id", "product_type", F.array_join("polarisations", "+").alias("polarisations"),
@@ -136,7 +137,7 @@ def _flat_corners():
     {rd('scene_id % 100 + 0.5e0')} AS cloud_pct, 1e4 AS scale_value, CASE WHEN scene_id % 2 = 0 THEN 1000e0 END AS aot_scale_value, 0 AS nodata_value, 65535 AS saturated_value, 4 AS n_vertices FROM scenes WHERE sensor = 2""")
 def normalise_manifests_s2(spark, sf):
     """Every second product has the list of quantification values instead of the single one."""
-    s = scenes(spark, sf).filter("sensor = 2")
+    s = scenes(spark, sf).filter("sensor = 2").repartition(spark.sparkContext.defaultParallelism)
     t = F.date_format("acquired_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     scale = F.when(F.col("scene_id") % 2 == 0, _tags(QUANTIFICATION_VALUES_LIST=_tags(
         BOA_QUANTIFICATION_VALUE="10000", AOT_QUANTIFICATION_VALUE="1000.0", WVP_QUANTIFICATION_VALUE="1000.0"))).otherwise(_tags(QUANTIFICATION_VALUE="10000"))

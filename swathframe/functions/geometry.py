@@ -9,12 +9,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swathframe.constants import EARTH_RADIUS_M
 from swathframe.functions.common import as_col, let
 from swathframe.functions.projection import from_utm, to_utm
 
-RING_TYPE = "array<struct<lon:double,lat:double>>"
+RING_TYPE = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 
 
 def point(lon, lat) -> Column:

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 256
-_CANDIDATES = "tile_id {tile}, band string, row int, col int, dist double, donor int, value double"
+_CANDIDATES = ("tile_id {tile}, band string, row int, col int, dist double, donor int, value double, "
+               "column_sum double, column_n long")
 
 
 def knn_fill(df: DataFrame, columns, k: int = 5, chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -31,8 +32,9 @@ def knn_fill(df: DataFrame, columns, k: int = 5, chunk: int = CHUNK_ROWS) -> Dat
                                                   for c in columns])).alias("_e")).select(*keys, "_e.band", "_e.value")
     # Rows of one tile and band, as arrays: bounded by the image width.
     vectors = cells.groupBy("tile_id", "band", "row").agg(
-        F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"),
-        F.count_if(F.col("value").isNull()).alias("gaps"))
+        F.array_sort(F.collect_list(F.struct("col", "value"))).alias("_cells"),
+        F.count_if(F.col("value").isNull()).alias("gaps")).select(
+        "tile_id", "band", "row", "gaps", F.col("_cells.col").alias("cols"), F.col("_cells.value").alias("vals"))
     tiles = df.groupBy("tile_id").agg(
         F.max("row").alias("_last_row"), F.max("col").alias("_last_col"),
         *[F.count_if(F.col(c).isNull()).alias(f"_gaps_{i}") for i, c in enumerate(columns)])
@@ -45,59 +47,69 @@ def knn_fill(df: DataFrame, columns, k: int = 5, chunk: int = CHUNK_ROWS) -> Dat
     receivers = rows.filter("gaps > 0").withColumn("rc", F.col("_chunk")).withColumn("dc", F.explode(chunks)).withColumn(
         "receiver", F.lit(True))
     donors = rows.withColumn("dc", F.col("_chunk")).withColumn("rc", F.explode(chunks)).withColumn("receiver", F.lit(False))
-    pair = ["tile_id", "band", "rc", "dc"]
+    pair = ["tile_id", "rc", "dc"]
     tile_type = dict(df.dtypes)["tile_id"]
 
+    names = ["row", "col", "dist", "donor", "value", "column_sum", "column_n"]
+
     def dense(pdf, width):
-        out = np.full((len(pdf), width), np.nan)
-        for i, cs in enumerate(pdf["cells"]):
-            for c in cs:
-                if c["value"] is not None:
-                    out[i, c["col"]] = c["value"]
-        return out
+        """Values with NaN for missing, and which cells exist at all."""
+        values, exists = np.full((len(pdf), width), np.nan), np.zeros((len(pdf), width), bool)
+        for i, (cols, vals) in enumerate(zip(pdf["cols"], pdf["vals"])):
+            values[i, cols] = np.asarray(vals, dtype=float)
+            exists[i, cols] = True
+        return values, exists
 
-    def nearest(both: pd.DataFrame) -> pd.DataFrame:
-        names = ["tile_id", "band", "row", "col", "dist", "donor", "value"]
+    def one_band(both: pd.DataFrame) -> list:
         left, right = both[both["receiver"]], both[~both["receiver"]]
         if left.empty or right.empty:
-            return pd.DataFrame(columns=names)
-        width = int(left["_last_col"].iloc[0]) + 1
-        left, right = left.sort_values("row"), right.sort_values("row")
-        a, b = dense(left, width), dense(right, width)
-        have = ~np.isnan(b)
-        donor_rows = right["row"].to_numpy()
-        parts = []
+            return []
+        width = int(both["_last_col"].iloc[0]) + 1
+        a, exists = dense(left, width)
+        b, _ = dense(right, width)
+        have, donor_rows = ~np.isnan(b), right["row"].to_numpy()
+        filled = np.where(have, b, 0.0)
+        sums, counts = filled.sum(axis=0), have.sum(axis=0)
+        out = []
         for i, row in enumerate(left["row"].to_numpy()):
-            shared = (have & ~np.isnan(a[i])).sum(axis=1)
-            gap = np.where(have, b, np.nan) - a[i]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.sqrt(np.nansum(gap * gap, axis=1) * width / shared)
+            own = ~np.isnan(a[i])
+            shared = have & own
+            n = shared.sum(axis=1)
+            gap = np.where(shared, filled - np.where(own, a[i], 0.0), 0.0)
+            dist = np.full(len(b), np.nan)
+            np.sqrt(np.divide((gap * gap).sum(axis=1) * width, n, out=dist, where=n > 0), out=dist, where=n > 0)
             order = np.lexsort((donor_rows, dist))  # NaN sorts last
-            present = {c["col"] for c in left["cells"].iloc[i]}
-            for col in np.flatnonzero(np.isnan(a[i])):
-                if col not in present:
-                    continue
-                pick = order[have[order, col]][:k]
-                parts.append(pd.DataFrame({"row": row, "col": col, "dist": dist[pick],
-                                           "donor": donor_rows[pick], "value": b[pick, col]}))
+            missing = np.flatnonzero(exists[i] & ~own)
+            usable = have[np.ix_(order, missing)]
+            # The first k usable donors of each missing column, in distance order.
+            rank = usable.cumsum(axis=0)
+            at, which = np.nonzero(usable & (rank <= k))
+            donor, col = order[at], missing[which]
+            once = rank[at, which] == 1  # column totals ride on the first candidate only
+            out.append((np.full(len(col), row), col, dist[donor], donor_rows[donor], b[donor, col],
+                        np.where(once, sums[col], 0.0), np.where(once, counts[col], 0)))
+        return out
+
+    def nearest(both: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for band, rows_of_band in both.groupby("band", sort=False):
+            found = one_band(rows_of_band)
+            if found:
+                part = pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*found)))))
+                parts.append(part.assign(band=band))
         if not parts:
-            return pd.DataFrame(columns=names)
-        out = pd.concat(parts)
-        out.insert(0, "band", left["band"].iloc[0])
-        out.insert(0, "tile_id", left["tile_id"].iloc[0])
-        return out[names]
+            return pd.DataFrame(columns=["tile_id", "band", *names])
+        return pd.concat(parts).assign(tile_id=both["tile_id"].iloc[0])[["tile_id", "band", *names]]
 
     found = receivers.unionByName(donors).groupBy(*pair).applyInPandas(nearest, _CANDIDATES.format(tile=tile_type))
     rank = F.struct((F.col("dist").isNull() | F.isnan("dist")).alias("far"), "dist", "donor", "value")
     best = found.groupBy("tile_id", "band", "row", "col").agg(
-        F.slice(F.array_sort(F.collect_list(rank)), 1, k).alias("near"))
+        F.slice(F.array_sort(F.collect_list(rank)), 1, k).alias("near"),
+        F.try_divide(F.sum("column_sum"), F.sum("column_n")).alias("column_mean"))
     mean = F.aggregate("near", F.lit(0.0), lambda s, n: s + n["value"]) / F.size("near")
     # No comparable row at all: the column mean of the tile.
-    column_mean = cells.join(gappy.select("tile_id", "band"), ["tile_id", "band"], "left_semi").groupBy(
-        "tile_id", "band", "col").agg(F.avg("value").alias("column_mean"))
-    fills = best.join(column_mean, ["tile_id", "band", "col"]).select(
-        "tile_id", "row", "col", "band",
-        F.when(F.get("near", F.lit(0))["far"], F.col("column_mean")).otherwise(mean).alias("fill"))
+    fills = best.select("tile_id", "row", "col", "band", F.when(
+        F.get("near", F.lit(0))["far"], F.col("column_mean")).otherwise(mean).alias("fill"))
     wide = fills.groupBy(*keys).agg(*[F.max(F.when(F.col("band") == c, F.col("fill"))).alias(f"_fill_{i}")
                                       for i, c in enumerate(columns)])
     position = {c: i for i, c in enumerate(columns)}

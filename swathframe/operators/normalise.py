@@ -13,6 +13,7 @@ from swathframe.functions.rescale import rescale, statistic_for, to_db
 from swathframe.operators.knn_fill import knn_fill
 from swathframe.operators.layout import attach
 from swathframe.operators.statistics import band_stats_wide, column_aggregates, pooled
+from swathframe.session import write_once
 
 
 def rescale_bands(df: DataFrame, columns: dict, methods: dict, keys=("tile_id",)) -> DataFrame:
@@ -144,6 +145,8 @@ def normalise_dataset(df: DataFrame, sar_groups: dict | None = None, optical_gro
     optical = optical_groups or OPTICAL_GROUPS
     ready = prepare_sar(df, [c for cs in sar.values() for c in cs], k, log)
     if scalers is None:
+        if log:
+            ready = write_once(ready)  # gap filling is costly; the fit and the transform both read it
         scalers = fit_scaler(ready, sar, sar_factor).unionByName(fit_scaler(ready, optical, optical_factor))
     out = apply_scaler(ready, scalers, sar)
     out = apply_scaler(out, scalers, optical, bounds=OPTICAL_RANGE if clip_optical else None)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "swathframe", master: str | None = None, shuffle_partitions: int | None = None,
@@ -25,3 +28,28 @@ def build_session(name: str = "swathframe", master: str | None = None, shuffle_p
     for key, value in extra.items():
         b = b.config(key.replace("__", "."), str(value))
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    A local session without the setting gets a temporary folder; a cluster
+    session without it fails, because a machine-local folder would lose data.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="swathframe-")
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """Store an intermediate result that several plans read, and continue from the stored table.
+
+    The table is columnar, so later plans read only their columns, and it
+    survives the loss of executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
