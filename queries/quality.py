@@ -103,15 +103,15 @@ def _bce(x, z):
 
 
 @query("score_losses", f"""WITH {SQL_FLAT}, s AS (SELECT r_t0*4e0-1e0 AS r, nir_t0*3e0-1.5e0 AS f, r_t1 AS truth, r_pred AS pred FROM pix_flat)
-  SELECT {rd('AVG(abs(truth-pred))*100')} AS l1, {rd(_bce('r', '1e0'))} AS bce_real, {rd(_bce('f', '0e0'))} AS bce_fake,
-    {rd(_bce('f', '1e0'))} AS bce_generator, {rd(_bce('r', '0.9e0'))} AS bce_real_smoothed,
-    {rd('-AVG(ln(1/(1+exp(-r))))')} AS log_real, {rd('-AVG(ln(1-1/(1+exp(-f))))')} AS log_fake, {rd('-AVG(ln(1/(1+exp(-f))))')} AS log_generator,
-    {rd('AVG(f)-AVG(r)')} AS wasserstein_critic, {rd('-AVG(f)')} AS wasserstein_generator FROM s""")
+  SELECT {rd('AVG(abs(truth-pred))*100', 9)} AS l1, {rd(_bce('r', '1e0'), 9)} AS bce_real, {rd(_bce('f', '0e0'), 9)} AS bce_fake,
+    {rd(_bce('f', '1e0'), 9)} AS bce_generator, {rd(_bce('r', '0.9e0'), 9)} AS bce_real_smoothed,
+    {rd('-AVG(ln(1/(1+exp(-r))))', 9)} AS log_real, {rd('-AVG(ln(1-1/(1+exp(-f))))', 9)} AS log_fake, {rd('-AVG(ln(1/(1+exp(-f))))', 9)} AS log_generator,
+    {rd('AVG(f)-AVG(r)', 9)} AS wasserstein_critic, {rd('-AVG(f)', 9)} AS wasserstein_generator FROM s""")
 def score_losses(spark, sf):
     s = pix_flat(spark, sf).select((F.col("r_t0") * 4 - 1).alias("real_score"), (F.col("nir_t0") * 3 - 1.5).alias("fake_score"),
                                    F.col("r_t1").alias("truth"), F.col("r_pred").alias("pred"))
     out = iq.score_losses(s, smoothing=0.1)
-    return out.select(*[rounded(c).alias(c) for c in out.columns])
+    return out.select(*[rounded(c, 9).alias(c) for c in out.columns])
 
 
 def _stand_in_model():

@@ -263,10 +263,11 @@ def class_histogram(spark, sf):
     return st.class_histogram(px, "class_id", 24, weights).select("class_id", "n", rounded("share").alias("share"))
 
 
-@query("cluster_summary", f"WITH {SQL_FLAT} SELECT class_id, COUNT(*) AS n, {rd('AVG(r_t0)')} AS mean_value, {rd('MIN(r_t0)')} AS min_value, {rd('MAX(r_t0)')} AS max_value, {rd('(SELECT AVG(r_t0) FROM pix_flat)')} AS overall_mean FROM pix_flat GROUP BY class_id")
+@query("cluster_summary", f"WITH {SQL_FLAT} SELECT class_id, COUNT(*) AS n, {rd('AVG(r_t0)', 9)} AS mean_value, {rd('MIN(r_t0)')} AS min_value, {rd('MAX(r_t0)')} AS max_value, {rd('(SELECT AVG(r_t0) FROM pix_flat)', 9)} AS overall_mean FROM pix_flat GROUP BY class_id")
 def cluster_summary(spark, sf):
     out = st.cluster_summary(pix_flat(spark, sf), "class_id", "r_t0")
-    return out.select("class_id", "n", *[rounded(c).alias(c) for c in ("mean_value", "min_value", "max_value", "overall_mean")])
+    return out.select("class_id", "n", rounded("mean_value", 9).alias("mean_value"), rounded("min_value").alias("min_value"),
+                      rounded("max_value").alias("max_value"), rounded("overall_mean", 9).alias("overall_mean"))
 
 
 @query("band_info", f"WITH {SQL_FLAT} " + " UNION ALL ".join(f"SELECT '{b}' AS band, 'double' AS data_type, COUNT({b}) AS n, {rd(f'MIN({b})')} AS min_value, {rd(f'MAX({b})')} AS max_value, COUNT(*) FILTER (WHERE {b} = 0.05e0) AS n_missing FROM pix_flat" for b in ("r_t0", "nir_t0", "b_t0")))

@@ -104,7 +104,7 @@ def test_scene_xml_optional_elements(spark, tmp_path):
     (tmp_path / "a.xml").write_text(_xml())
     (tmp_path / "b.xml").write_text(_xml(
         "  <CENTROID longitude='149.5' latitude='-35' />\n  <ESA_CLOUD_COVER percentage='7' />\n  <MODE value='IW' />\n"
-        "  <MGRSTILES source='OTHER' >\n    99XXX\n  </MGRSTILES>\n  <MGRSTILES source='AUSCOPHUB' >\n    55HFA\n    55HFB\n  </MGRSTILES>\n"
+        "  <MGRSTILES source='OTHER' >\n    99XXX\n  </MGRSTILES>\n  <MGRSTILES source='%s' >\n    55HFA\n    55HFB\n  </MGRSTILES>\n" % scene_xml.SCENE_XML_TILE_SOURCE +
         "  <ZIPFILE size_bytes='12' md5_local='AB' md5_esa='' />\n", "datetime_utc='2015-01-02 03:04:05'"))
     rows = {r.start_time.year: r for r in scene_xml.read_scene_xml(spark, str(tmp_path / "*.xml")).collect()}
     a, b = rows[2019], rows[2015]
