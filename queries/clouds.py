@@ -26,19 +26,19 @@ def scored(spark, sf):
     return cd.cloud_score(bands13(spark, sf), scale=1.0)
 
 
-@query("threshold_ramp", f"WITH {SQL_BANDS} SELECT {SCENE_SQL}, {rd(_ramp('b4', 0.2, 0.8), 9)} AS ramp FROM bands13")
+@query("threshold_ramp", f"WITH {SQL_BANDS} SELECT {SCENE_SQL}, {rd(_ramp('b4', 0.2, 0.8), 7)} AS ramp FROM bands13")
 def threshold_ramp_q(spark, sf):
-    return bands13(spark, sf).select(*SCENE, rounded(threshold_ramp("b4", 0.2, 0.8), 9).alias("ramp"))
+    return bands13(spark, sf).select(*SCENE, rounded(threshold_ramp("b4", 0.2, 0.8), 7).alias("ramp"))
 
 
-@query("pixel_cloud_score", f"WITH {SQL_BANDS} SELECT {SCENE_SQL}, {rd(SCORE, 12)} AS score FROM bands13")
+@query("pixel_cloud_score", f"WITH {SQL_BANDS} SELECT {SCENE_SQL}, {rd(SCORE, 7)} AS score FROM bands13")
 def pixel_cloud_score(spark, sf):
-    return bands13(spark, sf).select(*SCENE, rounded(cd.pixel_cloud_score(1.0), 12).alias("score"))
+    return bands13(spark, sf).select(*SCENE, rounded(cd.pixel_cloud_score(1.0), 7).alias("score"))
 
 
-@query("cloud_score", f"WITH {SQL_SCORED} SELECT {SCENE_SQL}, {rd('cloud_score', 12)} AS cloud_score FROM scored")
+@query("cloud_score", f"WITH {SQL_SCORED} SELECT {SCENE_SQL}, {rd('cloud_score', 7)} AS cloud_score FROM scored")
 def cloud_score(spark, sf):
-    return scored(spark, sf).select(*SCENE, rounded("cloud_score", 12).alias("cloud_score"))
+    return scored(spark, sf).select(*SCENE, rounded("cloud_score", 7).alias("cloud_score"))
 
 
 def zones(spark, sf):
@@ -86,9 +86,9 @@ def with_sun(spark, sf):
         "zenith", F.lit(20.0) + F.col("scene_id") % 30)
 
 
-@query("shadow_mean", f"WITH {SQL_SHADOW} SELECT {SCENE_SQL}, {rd('shadow_mean', 10)} AS shadow_mean FROM shadow")
+@query("shadow_mean", f"WITH {SQL_SHADOW} SELECT {SCENE_SQL}, {rd('shadow_mean', 7)} AS shadow_mean FROM shadow")
 def shadow_mean(spark, sf):
-    return cd.shadow_mean(with_sun(spark, sf), 200.0).select(*SCENE, rounded("shadow_mean", 10).alias("shadow_mean"))
+    return cd.shadow_mean(with_sun(spark, sf), 200.0).select(*SCENE, rounded("shadow_mean", 7).alias("shadow_mean"))
 
 
 _DARK = "(b8+b11+b12 < 0.3e0 AND NOT COALESCE((b8-b4)/NULLIF(b8+b4,0) < -0.1e0, FALSE) AND NOT cloud_score > 0.2e0)"
@@ -98,9 +98,9 @@ SQL_PROJECTED = f"""{SQL_SHADOW}, masked AS (SELECT scored.scene_id, scored."row
   projected AS ({window_sql('MAX(b.v) AS shadow_score', square(1), _LAST)})"""
 
 
-@query("project_shadows", f"WITH {SQL_PROJECTED} SELECT {SCENE_SQL}, {rd('shadow_score', 10)} AS shadow_score FROM projected")
+@query("project_shadows", f"WITH {SQL_PROJECTED} SELECT {SCENE_SQL}, {rd('shadow_score', 7)} AS shadow_score FROM projected")
 def project_shadows(spark, sf):
-    return cd.project_shadows(with_sun(spark, sf), 200.0, scale=1.0).select(*SCENE, rounded("shadow_score", 10).alias("shadow_score"))
+    return cd.project_shadows(with_sun(spark, sf), 200.0, scale=1.0).select(*SCENE, rounded("shadow_score", 7).alias("shadow_score"))
 
 
 @query("dark_pixels", f"WITH {SQL_SCORED} SELECT {SCENE_SQL}, {_DARK} AS dark FROM scored")
@@ -109,8 +109,8 @@ def dark_pixels(spark, sf):
 
 
 @query("quality_score", f"""WITH {SQL_SCORED}, q AS (SELECT scene_id, "row", col, greatest(cloud_score, sqrt(b12)) AS q FROM scored), w AS ({window_sql('AVG(b.q) AS q', square(5), 'q')})
-  SELECT {SCENE_SQL}, {rd('-q', 12)} AS cloud_shadow_score FROM w""")
+  SELECT {SCENE_SQL}, {rd('-q', 7)} AS cloud_shadow_score FROM w""")
 def quality_score(spark, sf):
     """The root of the darkest band stands in for the shadow score."""
     px = scored(spark, sf).withColumn("shadow_score", F.sqrt("b12"))
-    return cd.quality_score(px).select(*SCENE, rounded("cloud_shadow_score", 12).alias("cloud_shadow_score"))
+    return cd.quality_score(px).select(*SCENE, rounded("cloud_shadow_score", 7).alias("cloud_shadow_score"))

@@ -29,17 +29,17 @@ DISC1 = {-1: (-1, 1), 0: (-1, 1), 1: (-1, 1)}
 DIAMOND = {-2: (0, 0), -1: (-1, 1), 0: (-2, 2), 1: (-1, 1), 2: (0, 0)}
 
 
-@query("focal_mean", f"WITH {SQL_BANDS} {window_sql(rd('AVG(b.b4)', 9) + ' AS b4, ' + rd('AVG(b.b11)', 9) + ' AS b11, COUNT(b.b4) AS n', square(2))}")
+@query("focal_mean", f"WITH {SQL_BANDS} {window_sql(rd('AVG(b.b4)', 7) + ' AS b4, ' + rd('AVG(b.b11)', 7) + ' AS b11, COUNT(b.b4) AS n', square(2))}")
 def focal_mean(spark, sf):
     out = fo.focal_square(bands13(spark, sf).select(*SCENE, "b4", "b11"), {"m4": F.col("b4"), "m11": F.col("b11")}, "mean", 2, ("scene_id",), counts=True)
-    return out.select(*SCENE, rounded("m4", 9).alias("b4"), rounded("m11", 9).alias("b11"), F.col("m4_n").alias("n"))
+    return out.select(*SCENE, rounded("m4", 7).alias("b4"), rounded("m11", 7).alias("b11"), F.col("m4_n").alias("n"))
 
 
-@query("focal_mean_blocks", f"WITH {SQL_BANDS} {window_sql(rd('AVG(b.b4)', 9) + ' AS b4', square(5))}")
+@query("focal_mean_blocks", f"WITH {SQL_BANDS} {window_sql(rd('AVG(b.b4)', 7) + ' AS b4', square(5))}")
 def focal_mean_blocks(spark, sf):
     """Small blocks: every scene is cut into sixteen independent pieces with a border."""
     out = fo.focal_square(bands13(spark, sf).select(*SCENE, "b4"), {"m4": F.col("b4")}, "mean", 5, ("scene_id",), block=8)
-    return out.select(*SCENE, rounded("m4", 9).alias("b4"))
+    return out.select(*SCENE, rounded("m4", 7).alias("b4"))
 
 
 @query("focal_min_max_sum", f"WITH {SQL_BANDS} {window_sql(rd('MIN(b.b4)') + ' AS lo, ' + rd('MAX(b.b4)') + ' AS hi, ' + rd('SUM(b.b4)') + ' AS total', square(1))}")
@@ -82,10 +82,10 @@ def mmse_sql(z, m, v, noise):
 
 @query("lee_filter", f"""WITH {SQL_BANDS}, z AS (SELECT scene_id, "row", col, sqrt(b8+0.01e0) AS z FROM bands13),
   w AS ({window_sql('MAX(a.z) AS z, AVG(b.z) AS m, AVG(b.z*b.z) AS m2', square(4), 'z')})
-  SELECT {SCENE_SQL}, {rd(mmse_sql('z', 'm', '(m2-m*m)', '0.1e0'), 10)} AS filtered FROM w""")
+  SELECT {SCENE_SQL}, {rd(mmse_sql('z', 'm', '(m2-m*m)', '0.1e0'), 7)} AS filtered FROM w""")
 def lee_filter(spark, sf):
     z = bands13(spark, sf).select(*SCENE, F.sqrt(F.col("b8") + 0.01).alias("z"))
-    return fo.lee_filter(z, "z", 9, looks=10.0, keys=("scene_id",)).select(*SCENE, rounded("filtered", 10).alias("filtered"))
+    return fo.lee_filter(z, "z", 9, looks=10.0, keys=("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))
 
 
 @query("lee_sigma_filter", f"""WITH {SQL_BANDS}, z AS (SELECT scene_id, "row", col, sqrt(b8+0.01e0) AS z FROM bands13),
@@ -93,10 +93,10 @@ def lee_filter(spark, sf):
   prior AS (SELECT scene_id, "row", col, z, {mmse_sql('z', 'm', '(m2-m*m)', '1e0')} AS p FROM w),
   s AS (SELECT a.scene_id, a."row", a.col, MAX(a.z) AS z, MAX(a.p) AS p, COUNT(b.z) AS n, AVG(b.z) AS m, AVG(b.z*b.z) AS m2 FROM prior a LEFT JOIN prior b
     ON a.scene_id = b.scene_id AND {square(4)} AND b.z >= 0.084e0*a.p AND b.z <= 3.941e0*a.p GROUP BY a.scene_id, a."row", a.col)
-  SELECT {SCENE_SQL}, {rd(f"CASE WHEN n > 0 THEN {mmse_sql('z', 'm', '(m2-m*m)', '0.67092481e0')} ELSE p END", 10)} AS filtered FROM s""")
+  SELECT {SCENE_SQL}, {rd(f"CASE WHEN n > 0 THEN {mmse_sql('z', 'm', '(m2-m*m)', '0.67092481e0')} ELSE p END", 7)} AS filtered FROM s""")
 def lee_sigma_filter(spark, sf):
     z = bands13(spark, sf).select(*SCENE, F.sqrt(F.col("b8") + 0.01).alias("z"))
-    return fo.lee_sigma_filter(z, "z", keys=("scene_id",)).select(*SCENE, rounded("filtered", 10).alias("filtered"))
+    return fo.lee_sigma_filter(z, "z", keys=("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))
 
 
 def opened_sql(table, value):

@@ -80,10 +80,10 @@ def resample_down(spark, sf):
   w AS (SELECT t.scene_id, tr, tc, b.b4, b.b8, (1-abs((tr+0.5e0)/2-0.5e0-b."row"))*(1-abs((tc+0.5e0)/2-0.5e0-b.col)) AS w FROM t JOIN bands13 b ON b.scene_id = t.scene_id
     AND b."row" BETWEEN tr//2-1 AND tr//2+1 AND b.col BETWEEN tc//2-1 AND tc//2+1
     AND abs((tr+0.5e0)/2-0.5e0-b."row") < 1 AND abs((tc+0.5e0)/2-0.5e0-b.col) < 1)
-  SELECT scene_id, CAST(tr AS INT) AS "row", CAST(tc AS INT) AS col, {rd('SUM(b4*w)/SUM(w)', 9)} AS b4, {rd('SUM(b8*w)/SUM(w)', 9)} AS b8 FROM w GROUP BY scene_id, tr, tc""")
+  SELECT scene_id, CAST(tr AS INT) AS "row", CAST(tc AS INT) AS col, {rd('SUM(b4*w)/SUM(w)', 7)} AS b4, {rd('SUM(b8*w)/SUM(w)', 7)} AS b8 FROM w GROUP BY scene_id, tr, tc""")
 def resample_up(spark, sf):
     return gr.upsample_bilinear(bands13(spark, sf), ["b4", "b8"], 2, ("scene_id",)).select(
-        "scene_id", "row", "col", rounded("b4", 9).alias("b4"), rounded("b8", 9).alias("b8"))
+        "scene_id", "row", "col", rounded("b4", 7).alias("b4"), rounded("b8", 7).alias("b8"))
 
 
 @query("multilook", f"WITH {SQL_BANDS} SELECT scene_id, CAST(\"row\"//2 AS INT) AS \"row\", CAST(col//2 AS INT) AS col, {rd('AVG(b4)')} AS b4, {rd('AVG(b11)')} AS b11 FROM bands13 GROUP BY scene_id, \"row\"//2, col//2")
