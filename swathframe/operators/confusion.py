@@ -21,7 +21,7 @@ def severity_maps(df: DataFrame, pre: dict, truth: dict, predicted: dict, vi: st
     out = df
     if max_tiles is not None:
         first = df.select("tile_id").distinct().orderBy("tile_id").limit(max_tiles)
-        out = df.join(first, "tile_id", "left_semi")
+        out = df.join(F.broadcast(first), "tile_id", "left_semi")  # max_tiles rows
     return out.select(*keep, fire_severity(vi_difference(vi, pre, truth)).alias("truth"),
                       fire_severity(vi_difference(vi, pre, predicted)).alias("predicted"))
 
@@ -31,13 +31,18 @@ def confusion_counts(df: DataFrame, truth: str = "truth", predicted: str = "pred
 
 
 def confusion_matrix(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    """Counts for every pair of labels in the sorted union of both sides, zeros included."""
-    counts = confusion_counts(df, truth, predicted)
-    labels = counts.agg(F.sort_array(F.array_union(F.collect_set(truth), F.collect_set(predicted))).alias("l")).scalar()
-    pairs = df.sparkSession.range(1).select(F.explode(labels).alias(truth)).select(
-        truth, F.explode(labels).alias(predicted))
-    return pairs.join(counts, [truth, predicted], "left").select(
-        truth, predicted, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """Counts for every pair of labels in the sorted union of both sides, zeros included.
+
+    Rows without a class on either side are not counted.
+    """
+    counts = confusion_counts(df, truth, predicted).filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    # At most classes x classes rows from here on: one row holds them all, so nothing is read twice or joined.
+    whole = counts.agg(F.sort_array(F.array_union(F.collect_set(truth), F.collect_set(predicted))).alias("_labels"),
+                       F.map_from_entries(F.collect_list(F.struct(F.struct(F.col(truth).alias("t"), F.col(predicted).alias("p")), "n"))).alias("_n"))
+    pairs = whole.select("_n", "_labels", F.explode("_labels").alias(truth)).select(
+        "_n", truth, F.explode("_labels").alias(predicted))
+    n = F.try_element_at("_n", F.struct(F.col(truth).alias("t"), F.col(predicted).alias("p")))
+    return pairs.select(truth, predicted, F.coalesce(n, F.lit(0)).cast("long").alias("n"))
 
 
 def confusion_wide(matrix: DataFrame, classes, truth: str = "truth", predicted: str = "predicted") -> DataFrame:

@@ -25,9 +25,12 @@ def combine_bands(images: DataFrame, bands, keys=("x", "y"), value: str = "value
 
 
 def mosaic(images: DataFrame, bands, order: str = "source_order", keys=("x", "y")) -> DataFrame:
-    """Overlay on one grid: where images overlap, the later one in ``order`` wins."""
-    top = images.groupBy(*keys).agg(F.max_by(F.struct(*bands), F.col(order)).alias("_top"))
-    return top.select(*keys, *[F.col(f"_top.{b}").alias(b) for b in bands])
+    """Overlay on one grid: where images overlap, the later one in ``order`` wins.
+
+    ``order`` is unique per position.  One maximum per band keeps the buffers
+    primitive, so this is a hash aggregate.
+    """
+    return images.groupBy(*keys).agg(*[F.max_by(b, order).alias(b) for b in bands])
 
 
 def mosaic_all(images: list[DataFrame], bands, keys=("x", "y")) -> DataFrame:

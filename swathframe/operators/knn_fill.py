@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swathframe.operators.layout import attach
+
 CHUNK_ROWS = 256
 _CANDIDATES = ("tile_id {tile}, band string, row int, col int, dist double, donor int, value double, "
                "column_sum double, column_n long")
@@ -41,7 +43,7 @@ def knn_fill(df: DataFrame, columns, k: int = 5, chunk: int = CHUNK_ROWS) -> Dat
     gappy = tiles.select("tile_id", "_last_row", "_last_col", F.inline(F.array(*[
         F.struct(F.lit(c).alias("band"), F.col(f"_gaps_{i}").alias("_gaps")) for i, c in enumerate(columns)]))).filter(
         F.col("_gaps") > 0).drop("_gaps")
-    rows = vectors.join(gappy, ["tile_id", "band"]).withColumn("_chunk", F.floor(F.col("row") / chunk).cast("int"))
+    rows = attach(vectors, gappy, ["tile_id", "band"], salt_by=["row"]).withColumn("_chunk", F.floor(F.col("row") / chunk).cast("int"))
     chunks = F.sequence(F.lit(0), F.floor(F.col("_last_row") / chunk).cast("int"))
     # One tagged table, so both roles of a row reach a chunk pair through one shuffle.
     receivers = rows.filter("gaps > 0").withColumn("rc", F.col("_chunk")).withColumn("dc", F.explode(chunks)).withColumn(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swathframe.constants import CLOUD_MASK_VALUES, CLOUD_PIXEL_LIMIT, MIN_NONZERO_SHARE, SPLITS, TILE_SIZE
 from swathframe.functions.common import total
+from swathframe.operators.layout import attach
 
 
 def tile_checks(df: DataFrame, bands, size: int = TILE_SIZE, min_nonzero: float = MIN_NONZERO_SHARE,
@@ -57,7 +58,8 @@ def unconformed_tiles(checked: list[DataFrame]) -> DataFrame:
 
 
 def conformed_tiles(tiles: DataFrame, bad: DataFrame) -> DataFrame:
-    return tiles.join(bad.select("tile_id"), "tile_id", "left_anti")
+    """Rows (tiles or their pixels) whose tile is not rejected; a large tile is spread over several tasks."""
+    return attach(tiles, bad.select("tile_id").distinct(), ["tile_id"], salt_by=tiles.columns, how="left_anti")
 
 
 def shuffle_key(column: str, seed) -> Column:
