@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +23,26 @@ def range_class(value, ranges, default: int) -> Column:
     return chain.otherwise(F.lit(default))
 
 
+def _reaches(value: Column, bound: float, digits: int) -> Column:
+    """``bround(value, digits) >= bound`` as a plain comparison.
+
+    Decimal rounding per row is slow.  The rounded value reaches the bound
+    exactly when the value reaches the tie just below the smallest rounded
+    number that does; half-even rounding takes the tie up only to an even digit.
+    """
+    step = Decimal(1).scaleb(-digits)
+    smallest = (Decimal(repr(bound)) / step).to_integral_value(ROUND_CEILING)
+    tie = F.lit(float((smallest - Decimal("0.5")) * step))
+    return value >= tie if smallest % 2 == 0 else value > tie
+
+
 def fire_severity(difference, classes=None) -> Column:
     """Burn class of a vegetation-index difference rounded half-even to 4 decimals, -1 if none."""
-    table = classes or SEVERITY_CLASSES
-    rounded = F.bround(as_col(difference), 4)
-    return range_class(rounded, [(i, lo, hi) for i, (_, lo, hi) in enumerate(table)], -1)
+    v, chain = as_col(difference), None
+    for i, (_, lo, hi) in enumerate(classes or SEVERITY_CLASSES):
+        hit = _reaches(v, float(lo), 4) & ~_reaches(v, float(hi), 4)
+        chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
+    return chain.otherwise(F.lit(-1))
 
 
 def slope_class(slope, classes=None) -> Column:

@@ -56,6 +56,19 @@ def test_severity_boundaries(spark):
     assert got == [0, -1, 0, 1, 1, 2, 3, 4, 5, 5, -1, -1]
 
 
+def test_severity_equals_rounding_first(spark):
+    """The comparison form against decimal half-even rounding, on ties and their neighbours, also for odd bounds."""
+    classes = [("a", -1.0, 0.0901), ("b", 0.0901, 0.14), ("c", 0.14, 0.34005), ("d", 0.34005, 2.0)]
+    values = [b + d for b in (0.09, 0.0901, 0.14, 0.34, 0.34005, -1.0, 2.0) for d in (-1.5e-4, -1e-4, -5e-5, -4.9999e-5, 0.0, 5e-5, 1e-4)]
+    values += [0.09005, 0.09015, 0.13995, 0.33995, 0.34005, 0.34015, -1.00005, 1.99995, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rounded = F.bround("v", 4)
+    want = cl.range_class(rounded, [(i, lo, hi) for i, (_, lo, hi) in enumerate(classes)], -1)
+    assert df.filter(cl.fire_severity("v", classes) != want).collect() == []
+    want = cl.range_class(rounded, [(i, lo, hi) for i, (_, lo, hi) in enumerate(cl.SEVERITY_CLASSES)], -1)
+    assert df.filter(cl.fire_severity("v") != want).collect() == []
+
+
 def test_slope_and_aspect(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([0.0, 10.0, 25.0, 35.0, 90.0, -1.0])], "i int, v double")
     assert [r.c for r in df.select("i", cl.slope_class("v").alias("c")).orderBy("i").collect()] == [0, 1, 2, 3, 1, 1]
