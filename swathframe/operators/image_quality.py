@@ -100,7 +100,7 @@ def score_losses(df: DataFrame, real: str = "real_score", fake: str = "fake_scor
                  predicted: str = "pred", weight: float = 100.0, smoothing: float = 0.0) -> DataFrame:
     """Mean losses of a table of scores: L1, cross-entropy, log, smoothed and Wasserstein forms."""
     r, f = F.col(real), F.col(fake)
-    d_real, d_fake = F.sigmoid(r) if hasattr(F, "sigmoid") else 1 / (1 + F.exp(-r)), 1 / (1 + F.exp(-f))
+    d_real, d_fake = 1 / (1 + F.exp(-r)), 1 / (1 + F.exp(-f))
     return df.agg(
         (F.avg(F.abs(F.col(truth) - F.col(predicted))) * F.lit(float(weight))).alias("l1"),
         F.avg(bce_with_logits(r, F.lit(1.0))).alias("bce_real"),
