@@ -5,9 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 
 from swathframe.llm.byte_bpe import encode_documents
+from swathframe.llm.embedding_dedup import link_vectors
+from swathframe.llm.lm_scoring import score_documents
+from swathframe.llm.near_dup import link_documents
 from swathframe.llm.packing import pack_documents
 from swathframe.llm.quality_classifier import fit_quality, score_quality
 from swathframe.llm.quality_rules import judge_documents
+from swathframe.llm.substring_dedup import remove_repeats
 from swathframe.llm.url_filters import Rule, apply_rules
 
 URL_RULES = [Rule("com/", True), Rule("example.com/en/", False), Rule("www.example.com/en/", True),
@@ -22,10 +26,23 @@ def op1_url_filters(spark, sf_dir):
     return apply_rules(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dup(spark, sf_dir):
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
+
+
 def op6_byte_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN)
@@ -41,7 +58,13 @@ def op9_quality_classifier(spark, sf_dir):
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_quality_rules, op6_byte_bpe, op8_packing, op9_quality_classifier)}
+def op10_embedding_near_dup(spark, sf_dir):
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_substring_dedup, op3_quality_rules, op4_minhash_near_dup,
+                                   op5_lm_scoring, op6_byte_bpe, op8_packing, op9_quality_classifier,
+                                   op10_embedding_near_dup)}
 
 ORACLES = {
     "op1_url_filters": r"""
