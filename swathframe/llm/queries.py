@@ -12,6 +12,7 @@ from swathframe.llm.packing import pack_documents
 from swathframe.llm.quality_classifier import fit_quality, score_quality
 from swathframe.llm.quality_rules import judge_documents
 from swathframe.llm.substring_dedup import remove_repeats
+from swathframe.llm.suffix_dedup import repeated_passages
 from swathframe.llm.url_filters import Rule, apply_rules
 
 URL_RULES = [Rule("com/", True), Rule("example.com/en/", False), Rule("www.example.com/en/", True),
@@ -48,6 +49,10 @@ def op6_byte_bpe(spark, sf_dir):
                             public_tokenizers.PATTERN)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                           public_tokenizers.PATTERN)
@@ -63,8 +68,8 @@ def op10_embedding_near_dup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_substring_dedup, op3_quality_rules, op4_minhash_near_dup,
-                                   op5_lm_scoring, op6_byte_bpe, op8_packing, op9_quality_classifier,
-                                   op10_embedding_near_dup)}
+                                   op5_lm_scoring, op6_byte_bpe, op7_suffix_dedup, op8_packing,
+                                   op9_quality_classifier, op10_embedding_near_dup)}
 
 ORACLES = {
     "op1_url_filters": r"""
