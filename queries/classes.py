@@ -35,11 +35,9 @@ def fire_severity(spark, sf):
     return pixels(spark, sf).select(*KEYS, cl.fire_severity(vi_difference("ndvi", PRE, POST)).alias("severity"))
 
 
-@query("severity_maps", f"""WITH {SQL_PREDICTIONS} SELECT {KEYS_SQL}, {severity_sql(D_TRUE)} AS truth, {severity_sql(D_PRED)} AS predicted
-  FROM predictions WHERE tile_id IN (SELECT DISTINCT tile_id FROM predictions ORDER BY tile_id LIMIT 100)""")
+@query("severity_maps", f"""WITH {SQL_PREDICTIONS} SELECT {KEYS_SQL}, {severity_sql(D_TRUE)} AS truth, {severity_sql(D_PRED)} AS predicted FROM predictions""")
 def severity_maps(spark, sf):
-    """At most the first hundred tiles: the cap is the feature (evaluation of a sample)."""
-    return cf.severity_maps(predictions(spark, sf), PRE, POST, PREDICTED, max_tiles=100)
+    return cf.severity_maps(predictions(spark, sf), PRE, POST, PREDICTED)
 
 
 @query("confusion_matrix", f"WITH {SQL_MATRIX} SELECT truth, predicted, n FROM matrix")

@@ -138,8 +138,8 @@ def albers_round_trip(spark, sf):
 
 @query("mgrs_square")
 def mgrs_square(spark, sf):
-    """Grid squares of centroids between 80 degrees south and 84 north."""
-    pts = far(spark, sf).filter("lat between -80 and 83")
+    """Grid squares of all points."""
+    pts = far(spark, sf)
     code = F.when(F.col("lat") < 0, _epsg() + 100).otherwise(_epsg())
     u = pts.withColumn("epsg", code).withColumn("u", pr.to_utm("lon", "lat", F.col("epsg")))
     return u.select("scene_id", "lon", "lat", pr.mgrs_square("epsg", "u.easting", "u.northing").alias("square"))

@@ -41,9 +41,11 @@ def filter_product_id(spark, sf):
     return sc.filter_product_id(scenes(spark, sf), 123).select("scene_id", "sensor")
 
 
-@query("filter_params", f"WITH {SQL_SCENES} SELECT scene_id FROM scenes WHERE sensor = 1 AND mode = 'IW' AND product_type = 'GRD' AND pass_direction = 'DESCENDING' AND CAST(acquired_at AS DATE) BETWEEN DATE '2024-01-09' AND DATE '2024-01-11'")
+@query("filter_params", f"WITH {SQL_SCENES} SELECT scene_id FROM scenes WHERE sensor = 1 AND scene_id % 11 <> 0 AND mode = 'IW' AND product_type = 'GRD' AND pass_direction = 'DESCENDING' AND CAST(acquired_at AS DATE) BETWEEN DATE '2024-01-09' AND DATE '2024-01-11'")
 def filter_params(spark, sf):
-    return sc.filter_params(scenes(spark, sf).filter("sensor = 1"), {"pass_direction": "DESCENDING"}, 1, around="2024-01-10").select("scene_id")
+    instrument = F.when(F.col("scene_id") % 11 == 0, "OTHER").otherwise("C-SAR")
+    radar = scenes(spark, sf).filter("sensor = 1").withColumn("instrument", instrument)
+    return sc.filter_params(radar, {"pass_direction": "DESCENDING"}, 1, around="2024-01-10").select("scene_id")
 
 
 @query("prune_by_month", f"WITH {SQL_SCENES} SELECT scene_id, strftime(acquired_at, '%Y-%m-%d') AS ymd FROM scenes WHERE strftime(acquired_at, '%Y%m%d') BETWEEN '20231215' AND '20240110'")
@@ -152,8 +154,8 @@ SQL_MATCH = """s2 AS (SELECT scene_id AS s2_id, tile_no, epoch_us(acquired_at) A
   c AS (SELECT s2_id, s1_id, area, zone_area, s1.t - s2.t AS d FROM s2 JOIN s1 USING (tile_no)),
   r AS (SELECT *, CAST(CASE WHEN d >= 0 THEN d // 86400000000 + 1 ELSE (-d + 86399999999) // 86400000000 END AS INT) AS ring FROM c WHERE %s),
   k AS (SELECT *, MIN(CASE WHEN area >= zone_area THEN ring END) OVER (PARTITION BY s2_id) AS stop_ring FROM r WHERE ring <= %d)
-  SELECT s2_id, s1_id, %s AS s1_area, ring, stop_ring, stop_ring IS NOT NULL AS all_found FROM (
-    SELECT *, row_number() OVER (PARTITION BY s2_id ORDER BY area DESC, ring, s1_id) AS rk FROM k WHERE stop_ring IS NULL OR ring <= stop_ring) WHERE rk = 1"""
+  SELECT s2_id, s1_id, %s AS s1_area, ring, stop_ring, stop_ring IS NOT NULL AS all_found FROM s2 LEFT JOIN (SELECT * EXCLUDE (zone_area) FROM (
+    SELECT *, row_number() OVER (PARTITION BY s2_id ORDER BY area DESC, ring, s1_id) AS rk FROM k WHERE stop_ring IS NULL OR ring <= stop_ring) WHERE rk = 1) b USING (s2_id)"""
 
 
 def match_inputs(spark, sf):
@@ -170,7 +172,7 @@ def _match(direction, days):
     return run
 
 
-for _name, _side, _test, _days in (("nearest_scene_join", "both", "TRUE", 5), ("nearest_scene_before", "before", "d < 0", 3), ("nearest_scene_after", "after", "d >= 0", 2)):
+for _name, _side, _test, _days in (("nearest_scene_join", "both", "TRUE", 5), ("nearest_scene_before", "before", "d < 0", 3), ("nearest_scene_after", "after", "d >= 0", 2), ("nearest_scene_day", "both", "TRUE", 1)):
     query(_name, f"WITH {SQL_SCENES}, " + SQL_MATCH % (_test, _days, rd("area")))(_match(_side, _days))
 
 
@@ -238,7 +240,7 @@ def _plan_sql(zone, limit):
       k AS (SELECT *, MIN(CASE WHEN area >= zone_area THEN ring END) OVER (PARTITION BY period, s2_id) AS stop FROM r WHERE ring <= 6),
       p AS (SELECT *, row_number() OVER (PARTITION BY period, s2_id ORDER BY area DESC, ring, s1_id) AS rk FROM k WHERE stop IS NULL OR ring <= stop)
       SELECT period, 2 AS sensor, scene_id, strftime(acquired_at, '%Y-%m-%d') AS day, NULL AS matched_to FROM o
-      UNION ALL SELECT period, 1, s1_id, strftime(t1, '%Y-%m-%d'), s2_id FROM p WHERE rk = 1"""
+      UNION ALL SELECT o.period, 1, s1_id, strftime(t1, '%Y-%m-%d'), o.scene_id FROM o LEFT JOIN (SELECT * FROM p WHERE rk = 1) q ON q.period = o.period AND q.s2_id = o.scene_id"""
 
 
 PERIODS = [("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-31")]
@@ -267,10 +269,11 @@ def sorted_scenes(spark, sf):
     return scenes(spark, sf).orderBy("acquired_at", "scene_id").select("scene_id", "sensor")
 
 
-@query("first_thousand", f"WITH {SQL_SCENES} SELECT scene_id FROM scenes ORDER BY acquired_at DESC, scene_id LIMIT 1000")
-def first_thousand(spark, sf):
-    """A collection listing stops after a thousand scenes."""
-    return scenes(spark, sf).orderBy(F.desc("acquired_at"), "scene_id").limit(1000).select("scene_id")
+@query("newest_of_tile", f"WITH {SQL_SCENES} SELECT tile_no, sensor, scene_id, CAST(rk AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY tile_no, sensor ORDER BY acquired_at DESC, scene_id) AS rk FROM scenes) WHERE rk <= 5")
+def newest_of_tile(spark, sf):
+    """Top-k report: the five newest scenes of every tile and sensor; ranks are cut in each task before the shuffle."""
+    newest = F.row_number().over(Window.partitionBy("tile_no", "sensor").orderBy(F.desc("acquired_at"), "scene_id"))
+    return scenes(spark, sf).withColumn("position", newest).filter("position <= 5").select("tile_no", "sensor", "scene_id", "position")
 
 
 @query("scene_difference", f"WITH {SQL_SCENES} SELECT tile_no, orbit_no FROM scenes WHERE sensor = 2 EXCEPT SELECT tile_no, orbit_no FROM scenes WHERE sensor = 1 AND mode = 'WV'")

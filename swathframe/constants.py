@@ -5,10 +5,6 @@ comparable; they are data, not logic.
 """
 
 # --- fixed values: bands --------------------------------------------------
-S1_BANDS = ["VV", "VH"]
-S2_BANDS = ["B04", "B03", "B02", "B08"]
-BAND_NAMES = {"B2": "B", "B3": "G", "B4": "R", "B8": "NIR"}
-
 # Channel order of the two tile roles.
 X_CHANNELS = ["vv_t0", "vh_t0", "vv_t1", "vh_t1", "r_t0", "g_t0", "b_t0", "nir_t0"]
 LABEL_CHANNELS = ["r_t1", "g_t1", "b_t1", "nir_t1"]
@@ -55,14 +51,6 @@ ASPECT_CLASSES = [("North", 1, 0.0, 22.5), ("NorthEast", 2, 22.5, 67.5), ("East"
                   ("SouthWest", 6, 202.5, 247.5), ("West", 7, 247.5, 292.5),
                   ("NorthWest", 8, 292.5, 337.5), ("North", 1, 337.5, 360.0)]
 ASPECT_FLAT = (-1.0, 0)
-LAND_CLASSES = [
-    "", "Acacia", "Callitris", "Casuarina", "Eucalypt Mallee Open", "Eucalypt Mallee Woodland",
-    "Eucalypt Low Close", "Eucalypt Low Open", "Eucalypt Low Woodland", "Eucalypt Medium Close",
-    "Eucalypt Medium Open", "Eucalypt Medium Woodland", "Eucalypt Tall Close", "Eucalypt Tall Open",
-    "Eucalypt Tall Woodland", "Mangrove", "Melaleuca", "RainForest", "Hardwood plantation",
-    "Softwood plantation", "Mixed species plantation", "Other native forest",
-    "Other forest ? unallocated type", "Non Forest",
-]
 N_LAND_CLASSES = 24
 
 # --- fixed values: tile rejection -------------------------------------------
@@ -84,8 +72,6 @@ S1_DEFAULTS = {"product_type": "GRD", "mode": "IW", "instrument": "C-SAR"}
 S2_DEFAULTS = {"instrument": "MSI", "processing_level": "L2A"}
 AREA_FACTOR = 1.0
 GRID_CELL_DEGREES = {1: 5, 2: 5, 3: 40}
-EPSG_SCENES = 32755
-EPSG_LANDCLASS = 3577
 
 # --- fixed values: scene-description file format ----------------------------
 SCENE_XML_ROOT = "AUSCOPHUB_SAFE_FILEDESCRIPTION"

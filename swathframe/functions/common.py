@@ -26,11 +26,6 @@ def clip(value, lo, hi) -> Column:
     return F.when(v.isNotNull(), F.least(F.greatest(v, as_col(lo)), as_col(hi)))
 
 
-def nan_to_null(value) -> Column:
-    v = as_col(value)
-    return F.when(~F.isnan(v), v)
-
-
 def total(cols) -> Column:
     """Sum of several Columns."""
     return reduce(lambda a, b: a + b, [as_col(c) for c in cols])
@@ -40,10 +35,6 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def floor_div(value, step) -> Column:
     """Integer division rounding down, also below zero."""
     return F.floor(as_col(value) / F.lit(float(step))).cast("int")

@@ -311,12 +311,6 @@ def dateline_parts(ring) -> Column:
     return F.when(crosses_dateline(r), split).otherwise(F.array(part("whole", r)))
 
 
-def ring_wkt(ring) -> Column:
-    """WKT polygon text of a ring."""
-    pairs = F.transform(as_col(ring), lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string")))
-    return F.concat(F.lit("POLYGON (("), F.array_join(pairs, ", "), F.lit("))"))
-
-
 def tile_centre(ulx, uly, n_rows, n_cols, step: float = 10.0) -> Column:
     """Centre of a tile in its own projection: whole cells from the upper-left corner."""
     half = lambda n: F.floor(as_col(n) / 2)

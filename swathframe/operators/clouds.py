@@ -46,7 +46,9 @@ def cloud_stats(scored: DataFrame, zones: DataFrame, pixel_area: float, keys=("s
     cloudy = F.sum(F.when(F.col("cloud_score") > CLOUD_THRESHOLD, F.lit(float(pixel_area))).otherwise(F.lit(0.0)))
     area = scored.groupBy(*keys).agg(cloudy.alias("_cloudy"))
     fp, zone = F.col("footprint"), F.col("zone")
-    return zones.join(area, list(keys)).select(
+    # A scene without a pixel in the zone has no cloud there.
+    known = zones.join(area, list(keys), "left").withColumn("_cloudy", F.coalesce("_cloudy", F.lit(0.0)))
+    return known.select(
         *keys,
         (F.try_divide(F.col("_cloudy"), box_area(fp)) * 100).alias("cloud_pct"),
         (F.try_divide(F.coalesce(box_area(box_intersection(zone, fp)), F.lit(0.0)), box_area(zone)) * 100).alias("zone_coverage_pct"),

@@ -17,14 +17,10 @@ from swathframe.operators.layout import attach
 
 
 def severity_maps(df: DataFrame, pre: dict, truth: dict, predicted: dict, vi: str = "ndvi",
-                  max_tiles: int | None = None, keep=("tile_id", "row", "col")) -> DataFrame:
-    """Burn class from the true and from the predicted image; only the first ``max_tiles`` tiles if given."""
-    out = df
-    if max_tiles is not None:
-        first = df.select("tile_id").distinct().orderBy("tile_id").limit(max_tiles)
-        out = df.join(F.broadcast(first), "tile_id", "left_semi")  # max_tiles rows
-    return out.select(*keep, fire_severity(vi_difference(vi, pre, truth)).alias("truth"),
-                      fire_severity(vi_difference(vi, pre, predicted)).alias("predicted"))
+                  keep=("tile_id", "row", "col")) -> DataFrame:
+    """Burn class from the true and from the predicted image."""
+    return df.select(*keep, fire_severity(vi_difference(vi, pre, truth)).alias("truth"),
+                     fire_severity(vi_difference(vi, pre, predicted)).alias("predicted"))
 
 
 def confusion_counts(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -70,9 +66,10 @@ def confusion_summary(matrix: DataFrame, truth: str = "truth", predicted: str =
 
 
 def class_shares(df: DataFrame, value: str = "truth") -> DataFrame:
-    everything = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "share", F.try_divide(F.col("n").cast("double"), everything.cast("double")))
+    """Count and share of each value; the total is the sum of the few grouped counts, not a second pass."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    everything = F.sum("n").over(Window.partitionBy()).cast("double")  # one row for each class
+    return counts.withColumn("share", F.try_divide(F.col("n").cast("double"), everything))
 
 
 def landclass_shares(df: DataFrame, value: str = "class_id", n_classes: int = N_LAND_CLASSES, keys=("tile_id",)) -> DataFrame:
@@ -97,13 +94,17 @@ def top_landclasses(shares: DataFrame, k: int = 3, n_classes: int = N_LAND_CLASS
 
 
 def class_errors(df: DataFrame, class_col: str, is_error, n_classes: int = N_LAND_CLASSES) -> DataFrame:
-    """(class_id, n, n_error) for every class 0..n-1 in one pass over the pixels."""
+    """(class_id, n, n_error) in one pass over the pixels: every class 0..n-1, and whatever else the pixels hold.
+
+    Pixels with another class or none keep a row of their own, so the counts
+    add up to all pixels.
+    """
     wrong = as_col(is_error)
     counts = df.groupBy(F.col(class_col).cast("int").alias("class_id")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("n_error"))
-    every = df.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("class_id"))
-    return every.join(counts, "class_id", "left").select(
-        "class_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_error", F.lit(0)).alias("n_error"))
+    every = df.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("class_id"), F.lit(0).cast("long").alias("n"),
+                                                    F.lit(0).cast("long").alias("n_error"))
+    return every.unionByName(counts).groupBy("class_id").agg(F.sum("n").alias("n"), F.sum("n_error").alias("n_error"))
 
 
 def class_error_rate(df: DataFrame, class_col: str, is_error, n_classes: int = N_LAND_CLASSES) -> DataFrame:
@@ -143,11 +144,6 @@ def keep_changed_tiles(df: DataFrame, changed: DataFrame, keys=("tile_id",)) ->
     return attach(df, changed.filter("changed").select(*keys), keys)
 
 
-def precise_confusion_share(df: DataFrame, truth: str, predicted: str, label_class: int, predicted_class: int) -> DataFrame:
-    hit = (F.col(truth) == label_class) & (F.col(predicted) == predicted_class)
-    return df.agg(F.count_if(hit).alias("n_confused"), F.count(F.lit(1)).alias("n"))
-
-
 def mask_values(df: DataFrame, mask) -> DataFrame:
     return df.filter(as_col(mask))
 

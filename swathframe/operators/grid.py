@@ -163,14 +163,6 @@ def reproject(df: DataFrame, target: DataFrame, to_source, origin: tuple[float,
                                        for b in bands])
 
 
-def target_grid(spark, xmin: float, ymax: float, n_rows: int, n_cols: int, res: float) -> DataFrame:
-    """Cell centres of an output grid, generated in parallel."""
-    cells = spark.range(n_rows * n_cols).select(F.floor(F.col("id") / n_cols).cast("int").alias("row"),
-                                                (F.col("id") % n_cols).cast("int").alias("col"))
-    return cells.withColumn("x", F.lit(xmin) + (F.col("col") + 0.5) * res).withColumn(
-        "y", F.lit(ymax) - (F.col("row") + 0.5) * res)
-
-
 def merge_view_angles(angles: DataFrame, value: str = "value") -> DataFrame:
     """Detector grids overlaid in order: the last detector with a value wins."""
     v = F.col(value)

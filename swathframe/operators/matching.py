@@ -18,7 +18,8 @@ def nearest_scene_join(s2: DataFrame, s1: DataFrame, max_days: int, direction: s
     before, ``[t, t+i)`` after) until one holds a radar scene whose area is at
     least ``factor * zone_area``; the largest radar scene seen so far is
     returned (nearer window, then lower id on ties).  If none qualifies within
-    ``max_days`` the largest overall is returned with ``all_found = false``.
+    ``max_days`` the largest overall is returned with ``all_found = false``;
+    without any radar scene in reach the match is NULL.
 
     ``s2``: scene_id, keys, time, zone_area.  ``s1``: scene_id, keys, time, area.
 
@@ -61,11 +62,12 @@ def nearest_scene_join(s2: DataFrame, s1: DataFrame, max_days: int, direction: s
     earlier_side = F.filter(F.when(k <= 0, before).otherwise(F.expr("array()").cast(_ring_type(radar))), lambda c: c["ring"] >= 1)
     sides = {"after": later_side, "before": earlier_side, "both": F.concat(later_side, earlier_side)}[direction]
     usable = F.filter(sides, lambda c: (c["ring"] <= max_days) & c["best"].isNotNull())
-    found = answered.select("_s2", "_zone_area", F.explode(usable).alias("_c")).groupBy("_s2").agg(
+    found = answered.select("_s2", "_zone_area", F.explode_outer(usable).alias("_c")).groupBy("_s2").agg(
         F.max("_zone_area").alias("zone_area"),
         # at most 2 * (2 * max_days + 1) candidates per scene
-        F.collect_list(F.struct(F.col("_c.best.neg_area").alias("neg_area"), F.col("_c.ring").alias("ring"),
-                                F.col("_c.best.s1_id").alias("s1_id"))).alias("_cands"))
+        F.collect_list(F.when(F.col("_c.ring").isNotNull(), F.struct(
+            F.col("_c.best.neg_area").alias("neg_area"), F.col("_c.ring").alias("ring"),
+            F.col("_c.best.s1_id").alias("s1_id")))).alias("_cands"))
     good = F.filter("_cands", lambda c: -c["neg_area"] >= F.lit(factor) * F.col("zone_area"))
     found = found.withColumn("stop_ring", F.array_min(F.transform(good, lambda c: c["ring"])))
     pick = F.array_min(F.filter("_cands", lambda c: F.col("stop_ring").isNull() | (c["ring"] <= F.col("stop_ring"))))

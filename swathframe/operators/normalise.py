@@ -26,11 +26,6 @@ def rescale_bands(df: DataFrame, columns: dict, methods: dict, keys=("tile_id",)
     return _apply(out, columns, methods, done)
 
 
-def rescale_by_stats(df: DataFrame, stats: DataFrame, columns: dict, methods: dict, keys=("tile_id",)) -> DataFrame:
-    """As ``rescale_bands`` with given statistics: one row per key, ``<band>_s1``, ``<band>_s2``."""
-    return _apply(attach(df, stats, keys), columns, methods, df.columns)
-
-
 def _apply(out: DataFrame, columns: dict, methods: dict, done) -> DataFrame:
     band_of = {c: b for b, cs in columns.items() for c in cs}
     return out.select(*[

@@ -60,10 +60,13 @@ def filter_params(scenes: DataFrame, params: dict, sensor: int | None = None, ar
                   time: str = "acquired_at") -> DataFrame:
     """name = value conditions, all of them, with the sensor's defaults merged in.
 
-    ``around`` keeps scenes from the day before to the day after a date.
+    ``around`` keeps scenes from the day before to the day after a date.  A
+    condition on a column that the catalogue lacks is an error.
     """
-    defaults = {1: S1_DEFAULTS, 2: S2_DEFAULTS}.get(sensor, {})
-    wanted = {**params, **{k: v for k, v in defaults.items() if k in scenes.columns}}
+    wanted = {**params, **{1: S1_DEFAULTS, 2: S2_DEFAULTS}.get(sensor, {})}
+    lacking = sorted(set(wanted) - set(scenes.columns))
+    if lacking:
+        raise ValueError(f"no column {', '.join(lacking)} to compare with")
     out = reduce(lambda d, kv: d.filter(F.col(kv[0]) == F.lit(kv[1])), wanted.items(), scenes)
     if around is None:
         return out
@@ -81,7 +84,8 @@ def prune_by_month(scenes: DataFrame, start: str, end: str, daily: bool = False,
     dash = lambda d: f"{d[:4]}-{d[4:6]}-{d[6:]}"
     s, e = dash(start), dash(end)
     coarse = F.col("ymd").between(s, e) if daily else F.col("ym").between(s[:7], e[:7])
-    return scenes.filter(coarse).filter(F.date_format(time, "yyyyMMdd").between(start, end))
+    first, last = F.to_timestamp(F.lit(s)), F.to_timestamp(F.lit(e)) + F.expr("interval 1 day")
+    return scenes.filter(coarse).filter((F.col(time) >= first) & (F.col(time) < last))  # plain bounds reach the scan
 
 
 def prune_by_gridcell(scenes: DataFrame, west, east, south, north, column: str = "gridcell") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathframe.functions.common import clip, total
@@ -97,7 +97,7 @@ def tile_vi_minmax(df: DataFrame, stats: DataFrame, vi: str, bands: dict, keys=(
 def value_frequency(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with count and share of all rows."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    everything = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    everything = counts.agg(F.sum("n").alias("n")).scalar()  # reads the same exchange as the counts
     return counts.withColumn("share", F.try_divide(F.col("n").cast("double"), everything.cast("double")))
 
 
@@ -111,12 +111,12 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float, hi: float, keys=(
 
 def class_histogram(df: DataFrame, value: str, n_classes: int, weights: DataFrame | None = None) -> DataFrame:
     """Share of each class 0..n-1, optionally divided by a per-class weight (``class_id``, ``weight``)."""
-    counts = df.groupBy(F.col(value).cast("int").alias("class_id")).agg(F.count(F.lit(1)).alias("n"))
-    everything = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    full = df.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("class_id")).join(
-        counts, "class_id", "left")
-    share = F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), everything.cast("double"))
-    out = full.select("class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), share.alias("share"))
+    # One row of n_classes counts and the total: one pass, nothing to join.
+    v = F.col(value).cast("int")
+    row = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(v == i).alias(f"_{i}") for i in range(n_classes)])
+    each = F.array(*[F.struct(F.lit(i).alias("class_id"), F.col(f"_{i}").alias("n")) for i in range(n_classes)])
+    out = row.select("_all", F.inline(each)).select(
+        "class_id", "n", F.try_divide(F.col("n").cast("double"), F.col("_all").cast("double")).alias("share"))
     if weights is None:
         return out
     return out.join(weights, "class_id", "left").select(
@@ -125,10 +125,11 @@ def class_histogram(df: DataFrame, value: str, n_classes: int, weights: DataFram
 
 def cluster_summary(df: DataFrame, label: str, value: str) -> DataFrame:
     """Per cluster: size and mean of a score (e.g. silhouette), next to the overall mean."""
-    overall = df.agg(F.avg(value).alias("m")).scalar()
-    return df.groupBy(label).agg(F.count(value).alias("n"), F.avg(value).alias("mean_value"),
-                                 F.min(value).alias("min_value"), F.max(value).alias("max_value")).withColumn(
-        "overall_mean", overall)
+    per = df.groupBy(label).agg(F.count(value).alias("n"), F.avg(value).alias("mean_value"), F.min(value).alias("min_value"),
+                                F.max(value).alias("max_value"), F.sum(F.col(value).cast("double")).alias("_sum"))
+    clusters = Window.partitionBy()  # one row for each cluster
+    return per.withColumn("overall_mean", F.try_divide(F.sum("_sum").over(clusters), F.sum("n").over(clusters).cast("double"))
+                          ).drop("_sum")
 
 
 def silhouette(df: DataFrame, features: str = "features", prediction: str = "prediction") -> float:

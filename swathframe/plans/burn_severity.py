@@ -14,9 +14,9 @@ PREDICTED = {"R": "r_pred", "G": "g_pred", "B": "b_pred", "NIR": "nir_pred"}
 
 
 def severity_confusion(pixels: DataFrame, vi: str = "ndvi", pre=None, post=None, predicted=None,
-                       max_tiles: int | None = None, keep=("tile_id",)) -> DataFrame:
+                       keep=("tile_id",)) -> DataFrame:
     """Confusion matrix of true and predicted burn classes."""
-    maps = severity_maps(pixels, pre or PRE, post or POST, predicted or PREDICTED, vi, max_tiles, keep)
+    maps = severity_maps(pixels, pre or PRE, post or POST, predicted or PREDICTED, vi, keep)
     return confusion_matrix(maps)
 
 

@@ -39,14 +39,6 @@ def best_scene_per_group(scenes: DataFrame, criterion: str = "lessclouds", cloud
     return best.select(group, "_b.scene_id", *[f"_b.{c}" for c in keep if c != "scene_id"])
 
 
-def require_rows(df: DataFrame, message: str) -> DataFrame:
-    """Fail instead of returning nothing (checked when the plan runs)."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    check = df.sparkSession.range(1).select(F.when(n > 0, F.lit(True)).otherwise(
-        F.raise_error(F.lit(message)).cast("boolean")).alias("_ok"))
-    return df.join(F.broadcast(check), F.col("_ok"), "inner").drop("_ok")
-
-
 def with_zone_area(s2: DataFrame, zone) -> DataFrame:
     """Area the radar scene has to cover: the zone cut to the optical footprint."""
     wanted = box(*[F.lit(float(v)) for v in zone])
@@ -58,7 +50,9 @@ def selection_plan(scenes: DataFrame, periods, zone, criterion: str = "lesscloud
     """Scenes to fetch: per period the chosen optical scenes and the radar scene matched to each.
 
     ``periods`` is a list of (begin, end); ``names`` optionally gives the
-    optical scene of each period.  Output: period, sensor, scene_id, day, matched_to.
+    optical scene of each period.  Output: period, sensor, scene_id, day,
+    matched_to; an optical scene without a radar scene in reach has a radar row
+    without scene and day.
     """
     columns = ("acquired_at", "tile_no", "xmin", "ymin", "xmax", "ymax")
     radar = filter_s1(scenes.filter(F.col("sensor") == 1), mode, polarisations).withColumn(
@@ -80,7 +74,7 @@ def selection_plan(scenes: DataFrame, periods, zone, criterion: str = "lesscloud
         parts.append(optical.select(F.lit(i).alias("period"), F.lit(2).alias("sensor"), "scene_id",
                                     F.date_format("acquired_at", "yyyy-MM-dd").alias("day"),
                                     F.lit(None).cast(dict(scenes.dtypes)["scene_id"]).alias("matched_to")))
-        parts.append(matched.join(days, "s1_id").select(
+        parts.append(matched.join(days, "s1_id", "left").select(
             F.lit(i).alias("period"), F.lit(1).alias("sensor"), F.col("s1_id").alias("scene_id"), "day",
             F.col("s2_id").alias("matched_to")))
     return reduce(lambda a, b: a.unionByName(b), parts)

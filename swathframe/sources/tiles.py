@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from io import BytesIO
 
 import numpy as np
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 _CHUNKS = "path string, tile_id string, band string, n_rows int, n_cols int, values array<double>"
 
 
+def glob_literal(path: str) -> str:
+    """The path as a pattern that matches only itself."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def read_npy_tiles(spark: SparkSession, path: str, limit: int | None = None, bands=None) -> DataFrame:
     """``*.npy`` arrays (rows, cols[, channels]) of a directory as one row per tile and band.
 
@@ -21,13 +27,12 @@ def read_npy_tiles(spark: SparkSession, path: str, limit: int | None = None, ban
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
     if limit is not None:
         # Choose by name only: file contents never pass through the sort.
-        chosen = files.select("path").orderBy("path").limit(limit)
-        files = files.join(F.broadcast(chosen), "path", "left_semi") if limit <= 100_000 else files.join(
-            chosen, "path", "left_semi")
-    first = files.select("path", "content").orderBy("path").limit(1).collect()
-    if not first:
+        files = files.join(files.select("path").orderBy("path").limit(limit), "path", "left_semi")
+    first = files.agg(F.min("path").alias("path")).first()["path"]
+    if first is None:
         raise FileNotFoundError(f"no .npy files under {path}")
-    shape = np.load(BytesIO(first[0]["content"])).shape
+    content = spark.read.format("binaryFile").load(glob_literal(first)).select("content").first()["content"]
+    shape = np.load(BytesIO(content)).shape
     names = list(bands) if bands else None
 
     def parse(batches):

@@ -283,7 +283,7 @@ def test_nearest_scene_exact_time_and_one_day(spark):
     after = matching.nearest_scene_join(s2, s1, 3, "after").first()
     assert (after.s1_id, after.ring) == (10, 1)              # exactly one day after lies in the second
     before = matching.nearest_scene_join(s2, s1.filter("scene_id <> 11"), 3, "before").collect()
-    assert before == []
+    assert [(r.s2_id, r.s1_id, r.ring, r.all_found) for r in before] == [(1, None, None, False)]  # no match, but a row
 
 
 def test_grid_cell_names(spark):
@@ -361,3 +361,26 @@ def test_change_map_finds_the_changed_corner(spark, tmp_path):
     with_clean = change.change_map(change.change_clusters(diff, ["d"], model))
     clean = back(with_clean, a.shape, "clean")
     assert (clean <= got).all() and clean[15, 15] == 255
+
+
+def test_filter_params_needs_its_columns(spark):
+    from swathframe.operators import scenes as sc
+    with pytest.raises(ValueError, match="instrument"):
+        sc.filter_params(spark.createDataFrame([(1, "GRD", "IW")], "scene_id int, product_type string, mode string"), {}, 1)
+
+
+def test_scene_without_pixels_has_no_cloud(spark):
+    from swathframe.operators import clouds
+    box = "struct<xmin: double, ymin: double, xmax: double, ymax: double>"
+    zones = spark.createDataFrame([(1, (0.0, 0.0, 2.0, 2.0), (0.0, 0.0, 1.0, 1.0)), (2, (5.0, 5.0, 6.0, 6.0), (0.0, 0.0, 1.0, 1.0))],
+                                  f"scene_id int, footprint {box}, zone {box}")
+    scored = spark.createDataFrame([(1, 0.9)], "scene_id int, cloud_score double")
+    got = {r.scene_id: (r.zone_cloud_pct, r.zone_coverage_pct) for r in clouds.cloud_stats(scored, zones, 1.0).collect()}
+    assert got == {1: (100.0, 100.0), 2: (0.0, 0.0)}
+
+
+def test_classes_beyond_the_list_are_counted(spark):
+    df = spark.createDataFrame([(0, True), (30, False), (None, True)], "class_id int, wrong boolean")
+    from swathframe.operators import confusion
+    got = {r.class_id: (r.n, r.n_error) for r in confusion.class_errors(df, "class_id", "wrong", 2).collect()}
+    assert got == {0: (1, 1), 1: (0, 0), 30: (1, 0), None: (1, 1)}
