@@ -100,9 +100,13 @@ def fold_of(key: str, k: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % k
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """The rows stored once, for several later plans."""
-    return write_once(df)
+def dealt(df: DataFrame, rows: int | None = None, per_file: int = 20_000) -> DataFrame:
+    """The rows stored once, for several later plans.
+
+    With a bound on the number of ``rows`` a small table does not become a file
+    for each shuffle partition; a large one keeps its partitions.
+    """
+    return write_once(df if rows is None else df.coalesce(max(8, rows // per_file)))
 
 
 def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
@@ -114,13 +118,14 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     """
     both = dealt(edges.select(F.col(low).alias("x"), F.col(high).alias("y"))
                  .unionByName(edges.select(F.col(high).alias("x"), F.col(low).alias("y"))).distinct())
-    labels = dealt(both.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.col("x")).alias("label")))
+    n = both.count()
+    labels = dealt(both.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.col("x")).alias("label")), n)
     while True:
         near = (both.join(labels.withColumnRenamed("v", "y"), "y").groupBy(F.col("x").alias("v"))
                 .agg(F.min("label").alias("near")))
         step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("root"))
-        new = dealt(step.join(jump, "label").select("v", "old", F.least("label", "root").alias("label")))
+        new = dealt(step.join(jump, "label").select("v", "old", F.least("label", "root").alias("label")), n)
         if new.filter("old <> label").isEmpty():
             return new.select("v", "label")
         labels = new.select("v", "label")

@@ -174,17 +174,18 @@ def link_documents(docs: DataFrame) -> DataFrame:
     vertex and stay or go together.  Other columns are left out.
     """
     rows = dealt(describe(docs))
-    classes = dealt(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
+    n = rows.count()
+    classes = dealt(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), n)
     reps = dealt(rows.join(classes, (rows.key == classes.key) & (rows.doc_id == classes.rep))
-                 .select("doc_id", "bands"))
+                 .select("doc_id", "bands"), n, 4_000)
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = dealt(buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-                   .filter("a < z").select("bucket", "a"))
+                   .filter("a < z").select("bucket", "a"), n)
     candidates = buckets.join(shared, "bucket").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     groups = components(candidates)
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
     block = F.greatest(F.lit(64.0), F.least(F.lit(4096.0), F.col("n") / 64))
-    placed = (groups.join(dealt(sizes.select("label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))), "label")
+    placed = (groups.join(dealt(sizes.select("label", F.ceil(F.col("n") / block).cast("int").alias("blocks")), n), "label")
               .select(F.col("v").alias("doc"), "label", "blocks",
                       F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block")))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_compress, "doc long, packed binary")
@@ -194,9 +195,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
                       "doc", "packed"))
     links = (spread.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
              .mapInArrow(_verify, "a long, b long"))
-    final = components(dealt(links.distinct()))
+    final = components(dealt(links.distinct(), n))
     by_class = dealt(classes.join(final, classes.rep == final.v, "left")
-                     .select("key", F.coalesce("label", "rep").alias("component")))
+                     .select("key", F.coalesce("label", "rep").alias("component")), n)
     component = F.coalesce("component", "doc_id")
     return (rows.select("doc_id", "n_shingles", "key").join(by_class, "key", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
