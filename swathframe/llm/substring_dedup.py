@@ -32,7 +32,7 @@ from swathframe.llm.common import dealt, gram_hashes, minimisers, signed, word_h
 
 WINDOW, GRAM = 35, 8
 #: Reference windows in a shard, and streamed anchors that one copy of a shard serves.
-SHARD, STREAM = 16_384, 256
+SHARD, STREAM = 16_384, 64
 _PIECE = "shard long, block int, salt int, kind int, tid long, start int, text binary"
 _FOUND = "tid long, s int, e int, digest binary"
 
