@@ -146,9 +146,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     own = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     rows = dealt(own.mapInArrow(_identify, "doc_id long, key binary, n_words long"))
+    n = rows.count()
     names = dealt(rows.filter(F.col("n_words") >= KEY).groupBy("key")
                   .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.max("n_words").alias("n"))
-                  .withColumn("tid", F.monotonically_increasing_id()))
+                  .withColumn("tid", F.monotonically_increasing_id()), n)
     suffixes = own.select("text").mapInArrow(_suffixes, "key binary, h array<long>, at array<int>").filter(F.size("h") > 0)
     each = suffixes.groupBy("key").agg(F.first("h").alias("h"), F.first("at").alias("at")).join(names.select("key", "tid"), "key")
     places = dealt(each.select("tid", F.explode(F.arrays_zip("h", "at")).alias("x")).select("x.h", "tid", "x.at"))
@@ -174,5 +175,5 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copied = F.col("copies") > 1
     result = dealt(names.join(extended, "tid", "left").filter(copied | F.col("n_repeated").isNotNull())
                    .select("key", F.when(copied, F.col("n")).otherwise(F.col("n_repeated")).alias("n_repeated"),
-                           F.when(copied, whole).otherwise(F.col("spans")).alias("spans")))
+                           F.when(copied, whole).otherwise(F.col("spans")).alias("spans")), n)
     return rows.join(result, "key").select("doc_id", "n_words", "n_repeated", "spans")
