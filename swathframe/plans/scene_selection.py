@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathframe.functions.geometry import box, box_area, clip_zone_box
 from swathframe.operators.matching import nearest_scene_join, zone_cover_short_circuit
-from swathframe.operators.scenes import filter_cloud, filter_product_id, filter_s1, filter_scenes
+from swathframe.operators.scenes import filter_cloud, filter_s1, filter_scenes
 
 CRITERIA = {"begin": ("acquired_at", True), "end": ("acquired_at", False), "lessclouds": ("zone_cloud_pct", True)}
 
@@ -22,10 +20,11 @@ def scene_groups(scenes: DataFrame, sensor: int, zone) -> DataFrame:
 
 
 def best_scene_per_group(scenes: DataFrame, criterion: str = "lessclouds", cloud_limit: float = 20.0,
-                         group: str = "group_id", keep=("acquired_at",)) -> DataFrame:
+                         group="group_id", keep=("acquired_at",)) -> DataFrame:
     """Earliest, latest or clearest scene of each group below the cloud limit (lowest id on ties).
 
-    A running minimum per group, combined before the shuffle, not a sort of the group.
+    ``group`` is a column or several.  A running minimum per group, combined
+    before the shuffle, not a sort of the group.
     """
     if criterion not in CRITERIA:
         raise ValueError(f"criterion must be one of {sorted(CRITERIA)}")
@@ -34,9 +33,10 @@ def best_scene_per_group(scenes: DataFrame, criterion: str = "lessclouds", cloud
     if column == "acquired_at":
         value = F.unix_micros(value.cast("timestamp"))
     rank = value if ascending else -value
-    best = filter_cloud(scenes, cloud_limit).groupBy(group).agg(
-        F.min(F.struct(rank.alias("rank"), F.col("scene_id"), *[F.col(c) for c in keep if c != "scene_id"])).alias("_b"))
-    return best.select(group, "_b.scene_id", *[f"_b.{c}" for c in keep if c != "scene_id"])
+    groups, kept = [group] if isinstance(group, str) else list(group), [c for c in keep if c != "scene_id"]
+    best = filter_cloud(scenes, cloud_limit).groupBy(*groups).agg(
+        F.min(F.struct(rank.alias("rank"), F.col("scene_id"), *[F.col(c) for c in kept])).alias("_b"))
+    return best.select(*groups, "_b.scene_id", *[f"_b.{c}" for c in kept])
 
 
 def with_zone_area(s2: DataFrame, zone) -> DataFrame:
@@ -53,28 +53,42 @@ def selection_plan(scenes: DataFrame, periods, zone, criterion: str = "lesscloud
     optical scene of each period.  Output: period, sensor, scene_id, day,
     matched_to; an optical scene without a radar scene in reach has a radar row
     without scene and day.
+
+    A scene finds its periods in a constant array, so every step runs once for
+    all periods; the scans are bounded by the first and the last date.
     """
     columns = ("acquired_at", "tile_no", "xmin", "ymin", "xmax", "ymax")
-    radar = filter_s1(scenes.filter(F.col("sensor") == 1), mode, polarisations).withColumn(
+    id_type = dict(scenes.dtypes)["scene_id"]
+    stamp = lambda d: F.lit(d).cast("timestamp")
+    begin, end = (pick(F.array(*[stamp(p[k]) for p in periods])) for pick, k in ((F.array_min, 0), (F.array_max, 1)))
+    table = F.array(*[F.struct(F.lit(i).alias("period"), stamp(b).alias("begin"), stamp(e).alias("end"),
+                               F.lit(names[i] if names else None).cast(id_type).alias("wanted"))
+                      for i, (b, e) in enumerate(periods)])
+    time = F.col("acquired_at").cast("timestamp")
+    inside = F.filter(table, lambda p: (time >= p["begin"]) & (time < p["end"]))
+    candidates = filter_scenes(scenes, begin, end, zone, 2).withColumn("_p", F.explode(inside)).withColumns(
+        {"period": F.col("_p.period"), "group_id": F.col("tile_no")})
+
+    free = filter_cloud(candidates.filter("_p.wanted is null"), cloud_limit)
+    x0, y0, x1, y1 = (float(v) for v in zone)
+    first = free.groupBy("period", "group_id").agg(
+        F.min_by(F.struct("xmin", "ymin", "xmax", "ymax"), F.struct("acquired_at", "scene_id")).alias("f"))
+    alone = first.filter((F.col("f.xmin") <= x0) & (F.col("f.ymin") <= y0) & (F.col("f.xmax") >= x1) & (F.col("f.ymax") >= y1)
+                         ).groupBy("period").agg(F.min("group_id").alias("_alone"))
+    grouped = free.join(F.broadcast(alone), "period", "left").filter("_alone is null or _alone = group_id")  # a row a period
+    chosen = with_zone_area(best_scene_per_group(grouped, criterion, cloud_limit, ("period", "group_id"), columns), zone)
+    optical = chosen.select("period", "scene_id", "tile_no", "acquired_at", "zone_area")
+    if names and any(n is not None for n in names):
+        named = candidates.filter("_p.wanted = scene_id").withColumn("zone_area", box_area(box("xmin", "ymin", "xmax", "ymax")))
+        optical = optical.unionByName(named.select(optical.columns))
+
+    reach = F.make_dt_interval(F.lit(max_days + 1))
+    radar = filter_s1(filter_scenes(scenes, begin - reach, end + reach, None, 1), mode, polarisations).withColumn(
         "area", box_area(box("xmin", "ymin", "xmax", "ymax")))
-    parts = []
-    for i, (begin, end) in enumerate(periods):
-        candidates = filter_scenes(scenes, begin, end, zone, 2)
-        given = names[i] if names else None
-        if given is None:
-            groups = scene_groups(filter_cloud(candidates, cloud_limit), 2, zone)
-            chosen = best_scene_per_group(groups, criterion, cloud_limit, keep=columns)
-            chosen = with_zone_area(chosen, zone)
-        else:
-            chosen = filter_product_id(candidates, given)
-            chosen = chosen.withColumn("zone_area", box_area(box("xmin", "ymin", "xmax", "ymax")))
-        optical = chosen.select("scene_id", "tile_no", "acquired_at", "zone_area")
-        matched = nearest_scene_join(optical, radar, max_days)
-        days = radar.select(F.col("scene_id").alias("s1_id"), F.date_format("acquired_at", "yyyy-MM-dd").alias("day"))
-        parts.append(optical.select(F.lit(i).alias("period"), F.lit(2).alias("sensor"), "scene_id",
-                                    F.date_format("acquired_at", "yyyy-MM-dd").alias("day"),
-                                    F.lit(None).cast(dict(scenes.dtypes)["scene_id"]).alias("matched_to")))
-        parts.append(matched.join(days, "s1_id", "left").select(
-            F.lit(i).alias("period"), F.lit(1).alias("sensor"), F.col("s1_id").alias("scene_id"), "day",
-            F.col("s2_id").alias("matched_to")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    keyed = optical.withColumn("scene_id", F.struct("period", "scene_id"))
+    matched = nearest_scene_join(keyed, radar, max_days)
+    day = F.date_format("acquired_at", "yyyy-MM-dd").alias("day")
+    days = radar.select(F.col("scene_id").alias("s1_id"), day)
+    return optical.select("period", F.lit(2).alias("sensor"), "scene_id", day, F.lit(None).cast(id_type).alias("matched_to")).unionByName(
+        matched.join(days, "s1_id", "left").select(F.col("s2_id.period").alias("period"), F.lit(1).alias("sensor"),
+                                                   F.col("s1_id").alias("scene_id"), "day", F.col("s2_id.scene_id").alias("matched_to")))
