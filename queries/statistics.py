@@ -1,5 +1,7 @@
 """Band statistics, rescaling, scalers, imputation, histograms."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from queries.fixtures import CHANNELS, SQL_FLAT, SQL_PIXELS, SQL_SCENES, pix_flat, pixels, rd, rounded, scenes
@@ -12,6 +14,7 @@ from swathframe.operators import normalise as nm
 from swathframe.operators import statistics as st
 from swathframe.operators.knn_fill import knn_fill
 from swathframe.operators.layout import pooled_columns
+from swathframe.session import shared_folder
 
 POOLED = pooled_columns(X_BANDS, LABEL_BANDS)
 # Long form of the pixels: (tile_id, band, value).
@@ -183,13 +186,13 @@ SQL_NORMALISED = f"""{SQL_PIXELS.replace('pixels AS (', 'raw AS (', 1)}, {_knn_s
 @query("normalise_dataset", f"WITH {SQL_NORMALISED} SELECT {KEYS_SQL}, {_norm_cols()} FROM pixels")
 def normalise_dataset(spark, sf):
     """The whole normaliser: gap filling, decibels, group scalers fitted on input and label, clipping."""
-    out, _ = nm.normalise_dataset(pixels(spark, sf))
+    out, _ = nm.normalise_dataset(pixels(spark, sf), stage=f"{shared_folder(spark)}/filled-{uuid.uuid4().hex}")
     return out.select(*KEYS, *[rounded(c, 5).alias(c) for c in SAR + _OPT])
 
 
 @query("dataset_scalers", f"WITH {SQL_NORMALISED} SELECT band_group, {rd('mean', 5)} AS mean, {rd('std', 5)} AS std, factor, n FROM s")
 def dataset_scalers(spark, sf):
-    _, scalers = nm.normalise_dataset(pixels(spark, sf))
+    _, scalers = nm.normalise_dataset(pixels(spark, sf))  # only the fit reads the filled table: nothing to store
     return scalers.select("band_group", rounded("mean", 5).alias("mean"), rounded("std", 5).alias("std"), "factor", "n")
 
 

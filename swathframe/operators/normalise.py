@@ -13,7 +13,6 @@ from swathframe.functions.rescale import rescale, statistic_for, to_db
 from swathframe.operators.knn_fill import knn_fill
 from swathframe.operators.layout import attach
 from swathframe.operators.statistics import band_stats_wide, column_aggregates, pooled
-from swathframe.session import write_once
 
 
 def rescale_bands(df: DataFrame, columns: dict, methods: dict, keys=("tile_id",)) -> DataFrame:
@@ -130,18 +129,21 @@ def prepare_sar(df: DataFrame, columns, k: int = 5, log: bool = True) -> DataFra
 def normalise_dataset(df: DataFrame, sar_groups: dict | None = None, optical_groups: dict | None = None,
                       sar_factor: float = SAR_FACTOR, optical_factor: float = OPTICAL_FACTOR,
                       clip_optical: bool = True, log: bool = True, k: int = 5,
-                      scalers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                      scalers: DataFrame | None = None, stage: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Normalise input and label together; returns (pixels, scalers).
 
     Optical groups pool the input (t0) and label (t1) columns in one scaler.
-    Pass the training scalers to normalise validation or test data.
+    Pass the training scalers to normalise validation or test data.  ``stage``
+    is a folder of the caller's for the gap-filled table, which both the fit and
+    the transform read; without it the gaps are filled in both plans.
     """
     sar = sar_groups or SAR_GROUPS
     optical = optical_groups or OPTICAL_GROUPS
     ready = prepare_sar(df, [c for cs in sar.values() for c in cs], k, log)
     if scalers is None:
-        if log:
-            ready = write_once(ready)  # gap filling is costly; the fit and the transform both read it
+        if stage is not None:
+            ready.write.mode("overwrite").parquet(stage)
+            ready = df.sparkSession.read.schema(ready.schema).parquet(stage)
         scalers = fit_scaler(ready, sar, sar_factor).unionByName(fit_scaler(ready, optical, optical_factor))
     out = apply_scaler(ready, scalers, sar)
     out = apply_scaler(out, scalers, optical, bounds=OPTICAL_RANGE if clip_optical else None)

@@ -44,7 +44,7 @@ def with_split(pixels: DataFrame, split: DataFrame) -> DataFrame:
 def normalised_splits(pixels: DataFrame, path: str, **options) -> dict:
     """Normalise ``train`` and reuse its scalers for ``val`` and ``test``; each split is written once."""
     out = {}
-    train, scalers = normalise_dataset(pixels.filter(F.col("split") == "train"), **options)
+    train, scalers = normalise_dataset(pixels.filter(F.col("split") == "train"), stage=f"{path}/filled", **options)
     kept = materialize_once(scalers, f"{path}/scalers")
     out["train"] = materialize_once(train, f"{path}/train")
     for name in ("val", "test"):
