@@ -96,24 +96,28 @@ def dateline_parts(spark, sf):
     return out.select("scene_id", "p.part", F.size("p.ring").alias("n"), rounded(ge.polygon_area("p.ring")).alias("area"))
 
 
-def _utm_sql(lon, lat, zone, south):
-    """Series of the transverse Mercator projection, written out with its coefficients."""
-    n = pr._N
-    c = 2 * n ** 0.5 / (1 + n)
+# Fixed values of the WGS84 transverse Mercator series (fourth order), as literals: the checking SQL shares no code
+# with the projection it checks.
+UTM_SCALE, UTM_ECC = "6364902.16616508594e0", "0.0818191908426214943e0"
+UTM_ALPHA = ("0.000837731820630352897e0", "7.60852771424899860e-7", "1.19763800156052304e-9", "2.44337619452206391e-12")
+
+
+def _utm_sql(lon, lat, zone):
     lam, phi = f"radians({lon}-({zone}*6-183))", f"radians({lat})"
-    t = f"sinh(atanh(sin({phi}))-{c!r}::DOUBLE*atanh({c!r}::DOUBLE*sin({phi})))"
-    base = f"SELECT scene_id, {zone} AS zone, atan2({t}, cos({lam})) AS xi, atanh(sin({lam})/sqrt(1+{t}*{t})) AS eta FROM far"
-    e = "eta+" + "+".join(f"{a!r}::DOUBLE*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, a in enumerate(pr._ALPHA, 1))
-    nn = "xi+" + "+".join(f"{a!r}::DOUBLE*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, a in enumerate(pr._ALPHA, 1))
-    return base, f"500000e0+{pr._SCALE!r}::DOUBLE*({e})", f"{south}+{pr._SCALE!r}::DOUBLE*({nn})"
+    t = f"sinh(atanh(sin({phi}))-{UTM_ECC}*atanh({UTM_ECC}*sin({phi})))"
+    base = f"SELECT scene_id, {lat} AS lat, {zone} AS zone, atan2({t}, cos({lam})) AS xi, atanh(sin({lam})/sqrt(1+{t}*{t})) AS eta FROM far"
+    e = "eta+" + "+".join(f"{a}*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, a in enumerate(UTM_ALPHA, 1))
+    nn = "xi+" + "+".join(f"{a}*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, a in enumerate(UTM_ALPHA, 1))
+    return base, f"500000e0+{UTM_SCALE}*({e})", f"(CASE WHEN lat < 0 THEN 10000000e0 ELSE 0e0 END)+{UTM_SCALE}*({nn})"
 
 
 _ZONE = "(CAST(trunc((lon+180)/6) AS INT)+1)"
-_BASE, _E, _NORTH = _utm_sql("lon", "lat", _ZONE, "0e0")
+_BASE, _E, _NORTH = _utm_sql("lon", "lat", _ZONE)
 
 
 def _epsg():
-    return F.lit(32600) + ((F.col("lon") + 180) / 6).cast("int") + 1
+    """Zone code of the point's own hemisphere."""
+    return F.when(F.col("lat") < 0, F.lit(32700)).otherwise(F.lit(32600)) + ((F.col("lon") + 180) / 6).cast("int") + 1
 
 
 @query("to_utm", f"WITH {SQL_SCENES}, {SQL_FAR}, p AS ({_BASE}) SELECT scene_id, {rd(_E, 3)} AS easting, {rd(_NORTH, 3)} AS northing FROM p")
@@ -136,20 +140,35 @@ def albers_round_trip(spark, sf):
     return back.select("scene_id", rounded("b.lon").alias("lon"), rounded("b.lat").alias("lat"))
 
 
+# Albers equal area on GRS80, parallels 18 and 36 south, origin 0, 132 east; q is the authalic function of the latitude.
+SQL_ALBERS = """k AS (SELECT 0.0818191910428158e0 AS e), q AS (SELECT *, lon/10e0+130 AS x0, sin(radians(lat/6e0-25)) AS s, sin(radians(-18e0)) AS s1, sin(radians(-36e0)) AS s2 FROM far, k),
+  w AS (SELECT *, (1-e*e)*(s/(1-e*e*s*s)-ln((1-e*s)/(1+e*s))/(2*e)) AS q, (1-e*e)*(s1/(1-e*e*s1*s1)-ln((1-e*s1)/(1+e*s1))/(2*e)) AS q1,
+    (1-e*e)*(s2/(1-e*e*s2*s2)-ln((1-e*s2)/(1+e*s2))/(2*e)) AS q2, (1-s1*s1)/(1-e*e*s1*s1) AS m1, (1-s2*s2)/(1-e*e*s2*s2) AS m2 FROM q),
+  v AS (SELECT *, (m1-m2)/(q2-q1) AS n FROM w), u AS (SELECT *, m1+n*q1 AS c FROM v)"""
+
+
+@query("to_albers", f"""WITH {SQL_SCENES}, {SQL_FAR}, {SQL_ALBERS} SELECT scene_id, {rd('6378137e0/n*sqrt(c-n*q)*sin(n*radians(x0-132))', 3)} AS x,
+    {rd('6378137e0/n*sqrt(c)-6378137e0/n*sqrt(c-n*q)*cos(n*radians(x0-132))', 3)} AS y FROM u""")
+def to_albers(spark, sf):
+    near = far(spark, sf).select("scene_id", (F.col("lon") / 10 + 130).alias("lon"), (F.col("lat") / 6 - 25).alias("lat"))
+    out = near.select("scene_id", pr.to_albers("lon", "lat").alias("a"))
+    return out.select("scene_id", rounded("a.x", 3).alias("x"), rounded("a.y", 3).alias("y"))
+
+
 @query("mgrs_square")
 def mgrs_square(spark, sf):
     """Grid squares of all points."""
     pts = far(spark, sf)
-    code = F.when(F.col("lat") < 0, _epsg() + 100).otherwise(_epsg())
-    u = pts.withColumn("epsg", code).withColumn("u", pr.to_utm("lon", "lat", F.col("epsg")))
+    u = pts.withColumn("epsg", _epsg()).withColumn("u", pr.to_utm("lon", "lat", F.col("epsg")))
     return u.select("scene_id", "lon", "lat", pr.mgrs_square("epsg", "u.easting", "u.northing").alias("square"))
 
 
-@query("centroid")
+@query("centroid", f"WITH {SQL_SCENES} SELECT scene_id, {rd('(xmin+xmax)/2', 3)} AS lon, {rd('(ymin+ymax)/2', 3)} AS lat FROM scenes")
 def centroid(spark, sf):
+    """A box of a tenth of a degree: to three digits the projected centroid is the middle of the box."""
     ring = scenes(spark, sf).select("scene_id", scene_ring().alias("ring"))
     c = ring.withColumn("epsg", ge.utm_epsg("ring")).select("scene_id", ge.centroid("ring", "epsg").alias("c"))
-    return c.select("scene_id", rounded("c.lon").alias("lon"), rounded("c.lat").alias("lat"))
+    return c.select("scene_id", rounded("c.lon", 3).alias("lon"), rounded("c.lat", 3).alias("lat"))
 
 
 @query("convex_hull", f"WITH {SQL_SCENES} SELECT scene_id, 5 AS n, {rd('(xmax-xmin)*(ymax-ymin)', 9)} AS area FROM scenes")
