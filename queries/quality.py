@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from queries.fixtures import SQL_FLAT, SQL_PREDICTIONS, pix_flat, predictions, rd, rounded
+from queries.fixtures import SQL_FLAT, SQL_PLACED, SQL_PREDICTIONS, pix_flat, placed, predictions, rd, rounded
 from queries.indices import KEYS, KEYS_SQL
 from queries.registry import query
 from swathframe.operators import image_quality as iq
 from swathframe.operators.layout import join_predictions
-from swathframe.operators.scoring import pack_tiles, score_tiles, unpack_tiles
+from swathframe.operators.normalise import fit_scaler
+from swathframe.operators.scoring import pack_tiles, score_pixels, score_tiles, unpack_tiles
+from swathframe.plans.prediction import predict_mosaic
 
 BANDS = ["r", "g", "b", "nir"]
 
@@ -126,3 +128,28 @@ def score_tiles_q(spark, sf):
     packed = pack_tiles(predictions(spark, sf), ["r_t0", "g_t0", "b_t0", "nir_t0"])
     out = unpack_tiles(score_tiles(packed, _stand_in_model), ["p0", "p1"])
     return out.select(*KEYS, rounded("p0").alias("p0"), rounded("p1").alias("p1"))
+
+
+@query("score_pixels", f"""WITH {SQL_PREDICTIONS} SELECT {KEYS_SQL}, {rd('CAST(CAST(r_t0 AS FLOAT) AS DOUBLE)*0.5e0')} AS p0,
+  {rd('CAST(greatest(CAST(g_t0 AS FLOAT), CAST(b_t0 AS FLOAT)) AS DOUBLE)')} AS p1 FROM predictions""")
+def score_pixels_q(spark, sf):
+    """Tiles cut into blocks of 5 pixels with a margin of 2."""
+    out = score_pixels(predictions(spark, sf), ["r_t0", "g_t0", "b_t0", "nir_t0"], _stand_in_model, ["p0", "p1"], 5, 2)
+    return out.select(*KEYS, rounded("p0").alias("p0"), rounded("p1").alias("p1"))
+
+
+_FIT = "(SELECT AVG(v) AS m, stddev_pop(v) AS s FROM (SELECT r_t0 AS v FROM placed UNION ALL SELECT r_t1 FROM placed)) f"
+
+
+@query("predict_mosaic", f"""WITH {SQL_PLACED}, p AS (SELECT *, (r_t0-f.m)/f.s AS a, (r_t1-f.m)/f.s AS b FROM placed, {_FIT}),
+  q AS (SELECT x, y, source_order, CAST(CAST(a AS FLOAT) AS DOUBLE)*0.5e0*s+m AS p0, CAST(CAST(greatest(a, b) AS FLOAT) AS DOUBLE)*s+m AS p1 FROM p)
+  SELECT x*10e0 AS x, 6000000e0-y*10e0 AS y, {rd('arg_max(p0, source_order)', 3)} AS p0, {rd('arg_max(p1, source_order)', 3)} AS p1 FROM q GROUP BY 1, 2""")
+def predict_mosaic_q(spark, sf):
+    """Stored scalers, model, inverse scaling, map position and mosaic in one plan."""
+    px = placed(spark, sf)
+    scalers = fit_scaler(px, {"R": ["r_t0", "r_t1"]})
+    tiles = px.groupBy("tile_id").agg((F.min("x") * 10.0).alias("x0"), (F.lit(6000000.0) - F.min("y") * 10.0).alias("y0"),
+                                      F.min("source_order").alias("source_order"))
+    out = predict_mosaic(px, scalers, {"R": ["r_t0", "r_t1"]}, ["r_t0", "r_t0", "r_t1"], _stand_in_model, ["p0", "p1"],
+                         {"R": ["p0", "p1"]}, tiles, 10.0, block=5, margin=1)
+    return out.select("x", "y", rounded("p0", 3).alias("p0"), rounded("p1", 3).alias("p1"))
