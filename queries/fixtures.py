@@ -32,10 +32,14 @@ def rd(expression: str, digits: int = 6) -> str:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
+    # The last tile takes its missing bands from the first vectors, so every vector is in some tile.
+    n = emb.agg(F.count(F.lit(1)).alias("n")).scalar()
+    wrapped = emb.filter(F.col("vec_id") < (12 - n % 12) % 12).withColumn("vec_id", F.col("vec_id") + n)
+    emb = emb.unionByName(wrapped)
     k = F.col("vec_id") % 12
     per_tile = emb.groupBy(F.floor(F.col("vec_id") / 12).cast("long").alias("tile_id")).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(F.when(k == 0, F.col("label"))).alias("_label"),
-        *[F.max(F.when(k == i, F.col("embedding"))).alias(f"_e{i}") for i in range(12)]).filter("_n = 12")
+        F.max(F.when(k == 0, F.col("label"))).alias("_label"),
+        *[F.max(F.when(k == i, F.col("embedding"))).alias(f"_e{i}") for i in range(12)])
     cells = per_tile.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(63))))
 
     def band(i):
@@ -57,8 +61,11 @@ SQL_PIXELS = f"""pixels AS (
   SELECT CAST(v // 12 AS BIGINT) AS tile_id, CAST(pos // 8 AS INT) AS "row", CAST(pos % 8 AS INT) AS col,
          {', '.join(_band_sql(i, c) for i, c in enumerate(CHANNELS))},
          CAST(MAX(CASE WHEN v % 12 = 0 THEN (label * 2 + pos // 16) % 24 END) AS INT) AS class_id
-  FROM (SELECT vec_id AS v, label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS val FROM embeddings) e
-  GROUP BY v // 12, pos HAVING COUNT(*) = 12)"""
+  FROM (SELECT vec_id AS v, label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS val
+        FROM (SELECT vec_id, label, embedding FROM embeddings UNION ALL
+              SELECT vec_id + (SELECT COUNT(*) FROM embeddings), label, embedding FROM embeddings
+              WHERE vec_id < (12 - (SELECT COUNT(*) FROM embeddings) % 12) % 12)) e
+  GROUP BY v // 12, pos)"""
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
