@@ -307,7 +307,16 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h", "n").toArrow()
+    # Words by the size of their count: a few hundred rows tell which counts belong to at most FREQUENT words.
+    size = F.floor(F.log2("n") * 32)
+    by_size = sorted((r["size"], r["words"]) for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect())
+    least, words = float("inf"), 0
+    for s, n in reversed(by_size):
+        words += n
+        if words > FREQUENT:
+            break
+        least = s
+    top = counts.filter(size >= F.lit(least)).select("h", "n").toArrow()
     top_h = np.concatenate([top.column(0).to_numpy().astype(np.int64), signed(END_WORD)])
     top_n = np.concatenate([top.column(1).to_numpy(), [ends]]).astype(np.int64)
     order = np.argsort(top_h)
