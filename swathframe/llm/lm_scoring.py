@@ -137,7 +137,8 @@ def count_subwords(counts: DataFrame, ranks: dict[bytes, int], pattern: str) ->
 # --- model --------------------------------------------------------------------------------------------------------
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    x = x - x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
 
@@ -157,8 +158,8 @@ class Attention:
         return cls({"q": table(INPUTS, WIDTH), "k": table(INPUTS, WIDTH), "v": table(INPUTS, WIDTH), "r": table(INPUTS, WIDTH),
                     "d": table(CONTEXT + SCORED), "u": table(WIDTH, classes), "c": np.zeros(classes, np.float32)})
 
-    def forward(self, window: np.ndarray):
-        """Class probabilities of the tokens that follow the last ``SCORED`` places of each window (batch, places).
+    def logits(self, window: np.ndarray):
+        """Class scores of the tokens that follow the last ``SCORED`` places of each window (batch, places).
 
         Place i attends to itself and all before it in the window; later places
         are masked.
@@ -166,15 +167,19 @@ class Attention:
         p, last = self.p, window[:, CONTEXT:]
         q, k, v = p["q"][last], p["k"][window], p["v"][window]
         back = np.arange(CONTEXT, CONTEXT + SCORED)[:, None] - np.arange(CONTEXT + SCORED)[None, :]
-        score = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(WIDTH)) + p["d"][np.maximum(back, 0)]
-        score[:, back < 0] = -1e9
+        score = q @ k.transpose(0, 2, 1)
+        score /= np.float32(np.sqrt(WIDTH))
+        score += np.where(back < 0, np.float32(-1e9), p["d"][np.maximum(back, 0)])
         a = _softmax(score)
-        h = np.tanh(a @ v + p["r"][last])
-        return _softmax(h @ p["u"] + p["c"]), (q, k, v, back, a, h)
+        h = a @ v
+        h += p["r"][last]
+        np.tanh(h, out=h)
+        return h @ p["u"] + p["c"], (q, k, v, back, a, h)
 
     def gradients(self, window: np.ndarray, target: np.ndarray) -> tuple[dict, float]:
         """Gradients of the mean negative log likelihood of ``target`` (-1: not counted)."""
-        prob, (q, k, v, back, a, h) = self.forward(window)
+        out, (q, k, v, back, a, h) = self.logits(window)
+        prob = _softmax(out)
         wanted, p, last = target >= 0, self.p, window[:, CONTEXT:]
         n = max(int(wanted.sum()), 1)
         b, i = np.nonzero(wanted)
@@ -257,16 +262,19 @@ class LanguageModel:
         real = target < size[text][:, None]
         return window, np.where(real, ids[np.where(real, begin[text][:, None] + target, 0)], -1), text
 
-    def log10_texts(self, ids: np.ndarray, begin: np.ndarray, batch: int = 2048) -> np.ndarray:
+    def log10_texts(self, ids: np.ndarray, begin: np.ndarray, batch: int = 512) -> np.ndarray:
         """log10 probability of each text, every token scored in exactly one window."""
         window, target, text = self.windows(ids, begin)
         out = np.zeros(len(begin))
         for lo in range(0, len(window), batch):
-            prob, _ = self.attention.forward(window[lo:lo + batch])
+            x, _ = self.attention.logits(window[lo:lo + batch])
             want = target[lo:lo + batch]
             real = np.maximum(want, 0)
             b, i = np.ogrid[:len(want), :SCORED]
-            log = np.where(want >= 0, np.log10(prob[b, i, self.class_of[real]] + 1e-12) + self.log_share[real], 0.0)
+            x -= x.max(axis=-1, keepdims=True)
+            chosen = x[b, i, self.class_of[real]]  # log softmax of the wanted class only
+            np.exp(x, out=x)
+            log = np.where(want >= 0, (chosen - np.log(x.sum(axis=-1))) / np.log(10.0) + self.log_share[real], 0.0)
             out += np.bincount(text[lo:lo + batch], log.sum(1), len(begin))
         return out
 
