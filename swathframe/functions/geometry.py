@@ -6,7 +6,6 @@ ellipsoidal error of the spherical form is below one percent.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,28 +246,34 @@ def _as_lonlat(back: Column) -> Column:
     return let(back, lambda v: point(v["lon"], v["lat"]))
 
 
-@F.pandas_udf(RING_TYPE)
-def _hull(rings: pd.Series) -> pd.Series:
-    """Monotone-chain hull per array; arrays are single footprints, so small."""
-    def chain(points):
-        out = []
-        for p in points:
-            while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (p[1] - out[-2][1])
-                                    - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    def hull(ring):
-        if ring is None:
-            return None
-        points = sorted({(p["lon"], p["lat"]) for p in ring})
-        if len(points) < 3:
-            return [{"lon": x, "lat": y} for x, y in points]
-        corners = chain(points) + chain(points[::-1])
-        return [{"lon": x, "lat": y} for x, y in corners + corners[:1]]
-
-    return rings.map(hull)
+def _chain(points: Column) -> Column:
+    """Lower hull of points in order, without its last point.
+
+    A chain turns left throughout and the next point lies right of it, so the
+    edges that see that point on their left are a prefix: it stays, the rest goes.
+    """
+    def turns_left(out, k, p):
+        u, v = F.element_at(out, k - 1), F.element_at(out, k)
+        return (v["lon"] - u["lon"]) * (p["lat"] - u["lat"]) - (v["lat"] - u["lat"]) * (p["lon"] - u["lon"]) > 0
+
+    def step(out, p):
+        edges_ = F.when(F.size(out) > 1, F.sequence(F.lit(2), F.size(out))).otherwise(F.array().cast("array<int>"))
+        kept = F.size(F.filter(edges_, lambda k: turns_left(out, k, p))) + 1
+        return F.array_append(F.slice(out, 1, kept), p)
+
+    chain = F.aggregate(points, F.array().cast(RING_TYPE), step)
+    return let(chain, lambda c: F.slice(c, 1, F.size(c) - 1))
+
+
+def _hull(ring: Column) -> Column:
+    """Monotone-chain hull: lower chain forwards, upper chain backwards, closed."""
+    own = F.array_sort(F.array_distinct(F.transform(ring, lambda p: point(p["lon"], p["lat"]))))
+
+    def closed(points):
+        both = F.concat(_chain(points), _chain(F.reverse(points)))
+        return F.when(F.size(points) < 3, points).otherwise(let(both, lambda c: F.concat(c, F.slice(c, 1, 1))))
+
+    return let(own, closed)
 
 
 def convex_hull(points, epsg=None) -> Column:

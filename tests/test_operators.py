@@ -384,3 +384,43 @@ def test_classes_beyond_the_list_are_counted(spark):
     from swathframe.operators import confusion
     got = {r.class_id: (r.n, r.n_error) for r in confusion.class_errors(df, "class_id", "wrong", 2).collect()}
     assert got == {0: (1, 1), 1: (0, 0), 30: (1, 0), None: (1, 1)}
+
+
+def test_hull_of_random_points(spark):
+    import random
+    rng = random.Random(1)
+    rows = [(k, [(float(rng.randint(0, 6)), float(rng.randint(0, 6))) for _ in range(rng.randint(0, 14))]) for k in range(200)] + [(200, None)]
+
+    def half(points):
+        out = []
+        for p in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    def hull(ring):
+        points = None if ring is None else sorted(set(ring))
+        if points is None or len(points) < 3:
+            return points
+        corners = half(points) + half(points[::-1])
+        return corners + corners[:1]
+    df = spark.createDataFrame(rows, "k int, ring array<struct<lon: double, lat: double>>")
+    got = {r.k: r.hull and [tuple(p) for p in r.hull] for r in df.select("k", ge.convex_hull("ring").alias("hull")).collect()}
+    assert got == {k: hull(ring) for k, ring in rows}
+
+
+def test_blocks_with_margin_score_like_whole_tiles(spark):
+    rng = np.random.default_rng(3)
+    image = rng.normal(size=(11, 14)).astype("float32")
+    df = spark.createDataFrame([("t", r, c, float(image[r, c])) for r in range(11) for c in range(14)],
+                               "tile_id string, row int, col int, v double")
+
+    def build():
+        def blur(cube):  # looks one pixel around; outside is zero
+            p = np.pad(cube[:, :, 0], 1)
+            return sum(p[i:i + cube.shape[0], j:j + cube.shape[1]] for i in range(3) for j in range(3))[:, :, None]
+        return blur
+    got = {(r.row, r.col): r.p for r in scoring.score_pixels(df, ["v"], build, ["p"], block=4, margin=1).collect()}
+    whole = build()(image[:, :, None])[:, :, 0]
+    assert len(got) == image.size and all(abs(got[r, c] - whole[r, c]) < 1e-5 for r, c in got)

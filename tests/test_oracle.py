@@ -6,7 +6,7 @@ from queries.registry import all_oracles, all_queries
 from tests.compare import compare, connect
 
 QUERIES, ORACLES = all_queries(), all_oracles()
-PYTHON_STEPS = {"score_tiles", "score_pixels", "predict_mosaic", "knn_impute", "normalise_dataset", "dataset_scalers", "convex_hull"}
+PYTHON_STEPS = {"score_tiles", "score_pixels", "predict_mosaic", "knn_impute", "normalise_dataset", "dataset_scalers"}
 
 
 def check_plan(name, df):
