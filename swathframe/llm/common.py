@@ -95,6 +95,13 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def slices(batches, rows: int = 1000):
+    """The rows in smaller batches, so that fewer of them are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def fold_of(key: str, k: int) -> Column:
     """crc32 of the key as text, modulo ``k``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % k

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathframe.llm.common import dealt, fold_of, signed, word_hashes
+from swathframe.llm.common import dealt, fold_of, signed, slices, word_hashes
 
 #: Context tokens and scored tokens of a window; width of the model; classes of the output; rows of the input table.
 CONTEXT, SCORED, WIDTH, CLASSES, INPUTS = 16, 16, 16, 64, 4096
@@ -98,7 +98,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                                    pa.array([v[1] for v in held.values()], pa.int64())], names=["h", "word", "n"])
             held.clear()
             return out
-        for batch in batches:
+        for batch in slices(batches, 2500):
             for texts in _chunks(batch.column(0).to_pylist()):
                 words, h, inverse, _ = _hashed(texts)
                 for w, x, n in zip(words, signed(h).tolist(), np.bincount(inverse, minlength=len(words)).tolist()):
@@ -342,7 +342,7 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
 
     def run(batches):
         coder, pid, row = Subwords(ranks, pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, 2500):
             done = 0
             for texts in _chunks(batch.column(2).to_pylist()):
                 hashed = _hashed(texts)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swathframe.llm.common import dealt, gram_hashes, minimisers, signed, word_hashes, words
+from swathframe.llm.common import dealt, gram_hashes, minimisers, signed, slices, word_hashes
 
 WINDOW, GRAM = 35, 8
 #: Reference windows in a shard, and streamed anchors that one copy of a shard serves.
@@ -103,7 +103,7 @@ def runs(flags) -> list[tuple[int, int]]:
 
 
 def _describe(batches):
-    for batch in batches:
+    for batch in slices(batches):
         keys, found = [], []
         for text in batch.column(0).to_pylist():
             keys.append(text_key(text))
@@ -121,7 +121,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         small = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             columns = list(batch.columns)
             columns[at] = pa.array([None if t is None else small.compress(t.encode("utf-8", "surrogatepass"))
@@ -135,7 +135,7 @@ def packed(docs: DataFrame) -> DataFrame:
 def _cut(batches, window: int = WINDOW):
     """A text's windows with repeated anchors, as pieces for the shards of their references."""
     expand = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for tid, text, wants in zip(*(c.to_pylist() for c in batch.columns)):
             w = expand.decompress(text).split()
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     def run(batches):
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, copies, spans in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 w = expand.decompress(text).split() if text else []
@@ -300,7 +300,7 @@ def without_repeats(docs: DataFrame, length: str = "n_chars") -> DataFrame:
 
     def run(batches):
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             columns, texts, sizes = list(batch.columns[:len(names)]), [], []
             for text, copies, spans in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1))):
                 data = None if text is None else expand.decompress(text)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swathframe.llm.common import dealt, gram_hashes, minimisers, signed, word_hashes, words
+from swathframe.llm.common import dealt, gram_hashes, minimisers, signed, slices, word_hashes, words
 from swathframe.llm.substring_dedup import packed, runs, text_key
 
 #: Words of a repeat that is surely found; words of a suffix that it is sorted by; words of a gram.
@@ -38,14 +38,14 @@ def kept_suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _identify(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).to_pylist()
         yield pa.record_batch([batch.column(0), pa.array(map(text_key, texts), pa.binary()),
                                pa.array([len(words(t)) for t in texts], pa.int64())], names=["doc_id", "key", "n_words"])
 
 
 def _suffixes(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(0).to_pylist()
         found = [kept_suffixes(t) for t in texts]
         yield pa.record_batch([pa.array(map(text_key, texts), pa.binary()),
@@ -81,7 +81,7 @@ def _beside(rows):
 def _extend(batches):
     """Extends each match of two texts word by word; a text's matched words as (first, last)."""
     expand = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for tid, text, matches in zip(*(c.to_pylist() for c in batch.columns)):
             w = expand.decompress(text).split()
@@ -116,7 +116,7 @@ def _extend(batches):
 def _pieces(batches):
     """The words of the other text that its matches need."""
     expand = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for other, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
             w = expand.decompress(text).split()
