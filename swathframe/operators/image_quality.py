@@ -13,20 +13,28 @@ def _pair(band: str, suffixes) -> tuple[Column, Column]:
     return F.col(f"{band}_{suffixes[0]}"), F.col(f"{band}_{suffixes[1]}")
 
 
-def psnr(df: DataFrame, bands, max_value: float = 4095.0, suffixes=("true", "pred"), keys=("tile_id",)) -> DataFrame:
-    """Per tile: signal-to-noise ratio of each band (``psnr_<band>``, 100 when equal) and their mean."""
+def _squared_errors(bands, suffixes) -> list[Column]:
     aggs = []
     for b in bands:
         t, p = _pair(b, suffixes)
         d = t.cast("float").cast("double") - p.cast("float").cast("double")
         aggs.append(F.avg(d * d).alias(f"_mse_{b}"))
-    out = df.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def _mean_psnr(out: DataFrame, bands, max_value: float) -> DataFrame:
+    """Adds ``psnr_<band>`` and their mean to a table of mean squared errors."""
     for b in bands:
         mse = F.col(f"_mse_{b}")
         out = out.withColumn(f"psnr_{b}", F.when(mse == 0, F.lit(100.0)).otherwise(
             20 * F.log10(F.lit(float(max_value)) / F.sqrt(mse))))
-    mean = total([F.col(f"psnr_{b}") for b in bands]) / F.lit(float(len(bands)))
-    return out.select(*keys, *[f"psnr_{b}" for b in bands], mean.alias("psnr"))
+    return out.withColumn("psnr", total([F.col(f"psnr_{b}") for b in bands]) / F.lit(float(len(bands))))
+
+
+def psnr(df: DataFrame, bands, max_value: float = 4095.0, suffixes=("true", "pred"), keys=("tile_id",)) -> DataFrame:
+    """Per tile: signal-to-noise ratio of each band (``psnr_<band>``, 100 when equal) and their mean."""
+    out = _mean_psnr(df.groupBy(*keys).agg(*_squared_errors(bands, suffixes)), bands, max_value)
+    return out.select(*keys, *[f"psnr_{b}" for b in bands], "psnr")
 
 
 def spectral_angle(bands, suffixes=("true", "pred")) -> Column:
@@ -38,6 +46,12 @@ def spectral_angle(bands, suffixes=("true", "pred")) -> Column:
     return F.when(cosine.isNotNull(), F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))))
 
 
+def _mean_angle(bands, suffixes) -> Column:
+    """Mean angle; NULL if some pixel has none."""
+    angle = spectral_angle(bands, suffixes)
+    return F.when(F.count(angle) == F.count(F.lit(1)), F.avg(angle))
+
+
 def sam(df: DataFrame, bands, suffixes=("true", "pred"), keys=("tile_id",), zero: str = "null") -> DataFrame:
     """Mean spectral angle per tile.
 
@@ -81,14 +95,14 @@ def ssim(df: DataFrame, bands, data_range: float, size: int = 7, suffixes=("true
 def quality_report(df: DataFrame, bands, max_value: float = 4095.0, data_range: float = 2.0,
                    with_sam: bool = False, suffixes=("true", "pred"), keys=("tile_id",)) -> DataFrame:
     """(name, value): batch means of psnr, ssim and sam (NULL unless asked for)."""
-    rows = [psnr(df, bands, max_value, suffixes, keys).agg(F.avg("psnr").alias("value")).select(F.lit("psnr").alias("name"), "value"),
-            ssim(df, bands, data_range, suffixes=suffixes, keys=keys).agg(F.avg("ssim").alias("value")).select(
-                F.lit("ssim").alias("name"), "value")]
-    if with_sam:
-        rows.append(sam(df, bands, suffixes, keys).agg(F.avg("sam").alias("value")).select(F.lit("sam").alias("name"), "value"))
-    else:
-        rows.append(df.sparkSession.range(1).select(F.lit("sam").alias("name"), F.lit(None).cast("double").alias("value")))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    # psnr and sam are sums over the same pixels: one aggregate; ssim needs windows and is the other.
+    angle = [_mean_angle(bands, suffixes).alias("sam")] if with_sam else [F.lit(None).cast("double").alias("sam")]
+    per_tile = _mean_psnr(df.groupBy(*keys).agg(*_squared_errors(bands, suffixes), *angle), bands, max_value)
+    means = per_tile.agg(F.avg("psnr").alias("psnr"), F.avg("sam").alias("sam")).select(F.inline(F.array(
+        F.struct(F.lit("psnr").alias("name"), F.col("psnr").alias("value")),
+        F.struct(F.lit("sam").alias("name"), F.col("sam").alias("value")))))
+    return means.unionByName(ssim(df, bands, data_range, suffixes=suffixes, keys=keys).agg(
+        F.avg("ssim").alias("value")).select(F.lit("ssim").alias("name"), "value"))
 
 
 def bce_with_logits(logit, target) -> Column:

@@ -39,16 +39,19 @@ def knn_fill(df: DataFrame, columns, k: int = 5, chunk: int = CHUNK_ROWS) -> Dat
         "tile_id", "band", "row", "gaps", F.col("_cells.col").alias("cols"), F.col("_cells.value").alias("vals"))
     tiles = df.groupBy("tile_id").agg(
         F.max("row").alias("_last_row"), F.max("col").alias("_last_col"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_gaps_{i}") for i, c in enumerate(columns)])
+        # The chunks of each column that have gaps: at most one for each ``chunk`` rows.
+        *[F.collect_set(F.when(F.col(c).isNull(), F.floor(F.col("row") / chunk).cast("int"))).alias(f"_at_{i}")
+          for i, c in enumerate(columns)])
     gappy = tiles.select("tile_id", "_last_row", "_last_col", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("band"), F.col(f"_gaps_{i}").alias("_gaps")) for i, c in enumerate(columns)]))).filter(
-        F.col("_gaps") > 0).drop("_gaps")
+        F.struct(F.lit(c).alias("band"), F.col(f"_at_{i}").alias("_at")) for i, c in enumerate(columns)]))).filter(
+        F.size("_at") > 0)
     rows = attach(vectors, gappy, ["tile_id", "band"], salt_by=["row"]).withColumn("_chunk", F.floor(F.col("row") / chunk).cast("int"))
     chunks = F.sequence(F.lit(0), F.floor(F.col("_last_row") / chunk).cast("int"))
     # One tagged table, so both roles of a row reach a chunk pair through one shuffle.
     receivers = rows.filter("gaps > 0").withColumn("rc", F.col("_chunk")).withColumn("dc", F.explode(chunks)).withColumn(
         "receiver", F.lit(True))
-    donors = rows.withColumn("dc", F.col("_chunk")).withColumn("rc", F.explode(chunks)).withColumn("receiver", F.lit(False))
+    # A row is copied only to chunks with a gap in its band.
+    donors = rows.withColumn("dc", F.col("_chunk")).withColumn("rc", F.explode("_at")).withColumn("receiver", F.lit(False))
     pair = ["tile_id", "rc", "dc"]
     tile_type = dict(df.dtypes)["tile_id"]
 
