@@ -335,8 +335,10 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
     times[-1] += ends
     coder = Subwords(ranks, pattern)
     model = LanguageModel.fit_counts(times, coder.opens)
-    sample = [r["text"] for r in training.filter("doc_id is not null and text is not null")
-              .orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(SAMPLE_DOCS).collect()]
+    usable = training.filter("doc_id is not null and text is not null")
+    chosen = [r["doc_id"] for r in usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    sample = [r["text"] for r in usable.filter(F.col("doc_id").isin(chosen)).orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text"))
+              .limit(SAMPLE_DOCS).collect()]  # tasks send texts of the chosen ids only
     if sample:
         model.train(*_token_ids([t.encode("utf-8", "surrogatepass").lower() for t in sample], coder))
 
