@@ -14,6 +14,9 @@ from swathframe.llm.quality_rules import keep_passing
 from swathframe.llm.substring_dedup import without_repeats
 from swathframe.session import shared_folder
 
+#: Jaccard similarity of word shingles, in percent, at which the stage links documents; query op4 has its own.
+NEAR_PERCENT = 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trained classifier does not reject."""
@@ -26,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group."""
-    return keep_one(docs)
+    """The document with the least id of each group of documents linked at a similarity of ``NEAR_PERCENT`` or more."""
+    return keep_one(docs, NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

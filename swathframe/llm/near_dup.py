@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from swathframe.llm.common import components, dealt, gram_hashes, mix, signed, word_hashes
 
 SHINGLE, PERCENT = 5, 85
-#: A linked pair misses all bands with probability (1 - 0.85 ** 6) ** 36 < 5e-8.
+#: A pair at 0.85 misses all bands with probability (1 - 0.85 ** 6) ** 36 < 5e-8, one at 0.8 with about 2e-5.
 BANDS, ROWS = 36, 6
 _U = np.uint64
 
@@ -124,7 +124,7 @@ def spanning(pairs, n: int) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
-def _verify(batches):
+def _verify(batches, percent: int):
     """Links inside each (component, block, block): the rows of one come together and are bounded."""
     expand = zstandard.ZstdDecompressor()
 
@@ -133,7 +133,7 @@ def _verify(batches):
         sets = [shingle_set(expand.decompress(texts[k]).decode("utf-8", "surrogatepass")) for k in order]
         first = sum(s == 0 for s in sides) if 1 in sides else 0
         ids = [ids[k] for k in order]
-        root = spanning(link_pairs(sets, first), len(ids))
+        root = spanning(link_pairs(sets, first, percent), len(ids))
         return [(ids[r], ids[k]) for k, r in enumerate(root) if r != k]
 
     key, own, out = None, ([], [], []), []
@@ -159,9 +159,12 @@ def _compress(batches):
             names=["doc", "packed"])
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
+    Documents whose shingle sets have a Jaccard similarity of at least
+    ``percent`` in a hundred are linked; the bands are made for 80 and more.
+
     Equal sets are one class, represented by its least id; only representatives
     are sketched into buckets.  A bucket links its members to its least one
     only; the components of these candidates are cut into blocks, and every
@@ -194,7 +197,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
               .select("label", least.alias("i"), most.alias("j"), (F.col("block") > least).cast("int").alias("side"),
                       "doc", "packed"))
     links = (spread.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-             .mapInArrow(_verify, "a long, b long"))
+             .mapInArrow(lambda batches: _verify(batches, percent), "a long, b long"))
     final = components(dealt(links.distinct(), n))
     by_class = dealt(classes.join(final, classes.rep == final.v, "left")
                      .select("key", F.coalesce("label", "rep").alias("component")), n)
@@ -204,7 +207,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
                     F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents whose group has a smaller id, all columns as they are."""
-    gone = link_documents(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = link_documents(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs.doc_id.cast("long") == F.col("_gone"), "left_anti")
