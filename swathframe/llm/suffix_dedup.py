@@ -1,14 +1,17 @@
 """Repeated passages by sparse suffix arrays.
 
 Only suffixes at content-selected places (minimisers of eight-word grams) are
-kept, so two copies of a passage keep the same suffixes.  Suffixes are sorted
-by their first words, then by text and place, across all tasks; each is
-compared with its neighbour, and the match is extended word by word to the left
-and to the right.
+kept, so two copies of a passage keep the same suffixes.  Suffixes with equal
+first ``KEY`` words are sorted across all tasks in two orders: by the words that
+follow, and by the words before, backwards.  Each is compared with its
+neighbours in both, and the match is extended word by word to the left and to
+the right.
 
 Any repeat of at least ``LENGTH`` words holds a kept suffix in its first
-``LENGTH - KEY + 1`` words, and so shares at least ``KEY`` words from there with
-its neighbour: it is found, and nothing shorter than ``KEY`` words is.
+``LENGTH - KEY + 1`` words.  Of all suffixes with the same ``KEY`` words a
+neighbour in the first order shares the most words to the right, one in the
+second the most to the left, so both together cover every word of the repeat;
+nothing shorter than ``KEY`` words is reported.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from swathframe.llm.substring_dedup import packed, runs, text_key
 
 #: Words of a repeat that is surely found; words of a suffix that it is sorted by; words of a gram.
 LENGTH, KEY, GRAM = 50, 29, 8
+#: Words beyond the first ``KEY``, and before them, that suffixes are ordered by: no window of ``LENGTH`` has more.
+BEYOND = LENGTH - KEY
 #: Words on both sides of a match that its text carries: a longer extension meets a further kept suffix.
 MARGIN = LENGTH + KEY
 
@@ -37,6 +42,21 @@ def kept_suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return signed(gram_hashes(w, KEY)[at]), at
 
 
+def _orders(batches):
+    """Each suffix for both orders: the hashes of the words after its first ``KEY``, and of those before it, backwards."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in slices(batches):
+        for tid, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+            w = word_hashes(expand.decompress(text))
+            for lo in range(0, len(found), 5000):
+                part = found[lo:lo + 5000]
+                h, at = np.array([x["h"] for x in part], np.int64), [x["at"] for x in part]
+                near = [w[k + KEY:k + KEY + BEYOND].tobytes() for k in at] + [w[max(0, k - BEYOND):k][::-1].tobytes() for k in at]
+                yield pa.record_batch([pa.array(np.concatenate([h, ~h])), pa.array(near, pa.binary()),
+                                       pa.array([tid] * (2 * len(at)), pa.int64()), pa.array(at + at, pa.int32())],
+                                      names=["h", "near", "tid", "at"])
+
+
 def _identify(batches):
     for batch in slices(batches):
         texts = batch.column(1).to_pylist()
@@ -56,15 +76,13 @@ def _suffixes(batches):
 def _neighbours(batches):
     """Each suffix beside the one before it, if their first words agree; the first and last one of the part for the seams."""
     last, first = None, None
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        rows = list(zip(*columns))
+    for batch in slices(batches):
         out = []
-        for row in rows:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
             if last is None:
                 first = row
             elif last[0] == row[0]:
-                out += [(row[0], row[1], row[2], last[1], last[2], 0), (row[0], last[1], last[2], row[1], row[2], 0)]
+                out += [(row[0], None, row[2], row[3], last[2], last[3], 0), (row[0], None, last[2], last[3], row[2], row[3], 0)]
             last = row
         if out:
             yield _beside(out)
@@ -72,10 +90,13 @@ def _neighbours(batches):
         yield _beside([(*r, None, None, 1) for r in dict.fromkeys((first, last))])
 
 
+_BESIDE = "h long, near binary, tid long, at int, other long, place int, seam int"
+
+
 def _beside(rows):
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                           names=["h", "tid", "at", "other", "place", "seam"])
+                           names=["h", "near", "tid", "at", "other", "place", "seam"])
 
 
 def _extend(batches):
@@ -140,9 +161,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     without id count, and are returned, like others; columns beside id and text
     are left out.  Documents without a repeat do not appear.
 
-    A suffix meets two neighbours only, so what is gathered for a text is
-    bounded by its length, also in a large group of copies; and the sort is by
-    hash, text and place, so a common passage spreads over many tasks.
+    A suffix meets two neighbours in each order only, so what is gathered for a
+    text is bounded by its length, also in a large group of copies; and the sort
+    goes on by words, text and place, so a common passage spreads over many tasks.
     """
     own = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     rows = dealt(own.mapInArrow(_identify, "doc_id long, key binary, n_words long"))
@@ -154,17 +175,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     each = suffixes.groupBy("key").agg(F.first("h").alias("h"), F.first("at").alias("at")).join(names.select("key", "tid"), "key")
     places = dealt(each.select("tid", F.explode(F.arrays_zip("h", "at")).alias("x")).select("x.h", "tid", "x.at"))
     shared = dealt(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    candidates = dealt(places.join(shared, "h"))
-    beside = dealt(candidates.repartitionByRange("h", "tid", "at").sortWithinPartitions("h", "tid", "at")
-                   .mapInArrow(_neighbours, "h long, tid long, at int, other long, place int, seam int"))
+    bodies = packed(own.select("text")).groupBy("_key").agg(F.first("text").alias("body"))
+    bodies = dealt(bodies.join(names.select(F.col("key").alias("_key"), "tid"), "_key").select("tid", "body"))
+    found = places.join(shared, "h").groupBy("tid").agg(F.collect_list(F.struct("h", "at")).alias("found"))  # of one text
+    order = ["h", "near", "tid", "at"]
+    candidates = dealt(bodies.join(found, "tid").select("tid", "body", "found")
+                       .mapInArrow(_orders, "h long, near binary, tid long, at int"))
+    beside = dealt(candidates.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _BESIDE))
     # The seams between parts: two rows for each part, sorted together.
-    seam = beside.filter("seam = 1").select("h", "tid", "at").coalesce(1).sortWithinPartitions("h", "tid", "at").mapInArrow(
-        _neighbours, "h long, tid long, at int, other long, place int, seam int").filter("seam = 0")
+    seam = beside.filter("seam = 1").select(*order).coalesce(1).sortWithinPartitions(*order).mapInArrow(
+        _neighbours, _BESIDE).filter("seam = 0")
     pairs = beside.filter("seam = 0").unionByName(seam).select("tid", "at", "other", "place")
     matches = pairs.groupBy("tid", "other", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("at").alias("at"))
     wanted = matches.groupBy("other").agg(F.collect_list(F.struct("tid", "diagonal", "at")).alias("wanted"))
-    bodies = packed(own.select("text")).groupBy("_key").agg(F.first("text").alias("body"))
-    bodies = dealt(bodies.join(names.select(F.col("key").alias("_key"), "tid"), "_key").select("tid", "body"))
     pieces = (wanted.join(bodies.withColumnRenamed("tid", "other"), "other").select("other", "body", "wanted")
               .mapInArrow(_pieces, T.StructType.fromDDL(
                   "tid long, match struct<other: long, diagonal: int, at: array<int>, start: int, words: binary>")))
