@@ -1,4 +1,4 @@
-"""Language-model scoring: a causal self-attention model over subword ids, trained in numpy.
+"""Language-model scoring: a causal self-attention model over subword ids, trained in numpy by all tasks.
 
 Words and subwords are counted by Spark over all training documents.  The model
 predicts the class of the next subword (classes of equal mass in those counts);
@@ -25,8 +25,10 @@ from swathframe.llm.common import dealt, fold_of, signed, slices, word_hashes
 CONTEXT, SCORED, WIDTH, CLASSES, INPUTS = 16, 16, 16, 64, 4096
 #: Frequent words whose counts go to every task (2 MB at most); all others are joined.
 FREQUENT = 131_072
-#: Training documents (least hash of the id) and tokens that the model is trained on; the counts cover everything.
-SAMPLE_DOCS = 400
+#: Rounds of training, each over its own share of all training rows, and sums of weights that reach the driver in a round.
+ROUNDS, SUMS = 4, 16
+#: Windows of a training step, and those that small inputs are trained on at least, by passing over them again.
+STEP, LEAST_WINDOWS = 512, 76_800
 END_WORD = np.array([0x7E57_0E4D_0F_7E57], np.uint64)  # stands for the end token among word hashes
 _CHUNK = 1 << 21
 _COUNTS = "h long, word binary, n long"
@@ -143,6 +145,29 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _scatter(like: np.ndarray, at: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``d`` by their place in a table like ``like``."""
+    order = np.argsort(at, kind="stable")
+    own, first = np.unique(at[order], return_index=True)
+    out = np.zeros_like(like)
+    out[own] = np.add.reduceat(d[order], first, axis=0)
+    return out
+
+
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.t = p, 0
+        self.m, self.s = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        for n, x in g.items():
+            self.m[n] = 0.9 * self.m[n] + 0.1 * x
+            self.s[n] = 0.99 * self.s[n] + 0.01 * x * x
+            self.p[n] = (self.p[n] - rate * (self.m[n] / (1 - 0.9 ** self.t)) / (np.sqrt(self.s[n] / (1 - 0.99 ** self.t)) + 1e-7)
+                         ).astype(np.float32)
+
+
 @dataclass
 class Attention:
     """One causal attention layer with learned distances, a path from the last token, and a class output."""
@@ -187,7 +212,7 @@ class Attention:
         out = prob.copy()
         out[b, i, target[b, i]] -= 1
         out *= (wanted / np.float32(n))[:, :, None]
-        g = {"u": np.einsum("bid,bic->dc", h, out), "c": out.sum((0, 1))}
+        g = {"u": h.reshape(-1, WIDTH).T @ out.reshape(-1, out.shape[2]), "c": out.sum((0, 1))}
         dz = (out @ p["u"].T) * (1 - h * h)
         da = dz @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(-1, keepdims=True))
@@ -196,25 +221,18 @@ class Attention:
         ds = ds / np.float32(np.sqrt(WIDTH))
         for name, at, d in (("q", last, ds @ k), ("k", window, ds.transpose(0, 2, 1) @ q),
                             ("v", window, a.transpose(0, 2, 1) @ dz), ("r", last, dz)):
-            g[name] = np.zeros_like(p[name])
-            np.add.at(g[name], at.ravel(), d.reshape(-1, WIDTH))
+            g[name] = _scatter(p[name], at.ravel(), d.reshape(-1, WIDTH))
         return g, loss
 
     def train(self, window: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.03,
               seed: int = 5) -> list[float]:
         """Adam; returns the losses."""
-        rng, losses = np.random.default_rng(seed), []
-        m, s = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in range(2))
+        rng, losses, adam = np.random.default_rng(seed), [], Adam(self.p)
         for t in range(1, steps + 1):
             own = rng.integers(0, len(window), batch)
             g, loss = self.gradients(window[own], target[own])
             losses.append(loss)
-            step = rate * (1 - t / (steps + 1))
-            for n, x in g.items():
-                m[n] = 0.9 * m[n] + 0.1 * x
-                s[n] = 0.99 * s[n] + 0.01 * x * x
-                self.p[n] = (self.p[n] - step * (m[n] / (1 - 0.9 ** t)) / (np.sqrt(s[n] / (1 - 0.99 ** t)) + 1e-7)
-                             ).astype(np.float32)
+            adam.step(g, rate * (1 - t / (steps + 1)))
         return losses
 
 
@@ -299,6 +317,69 @@ def _token_ids(texts: list[bytes], coder: Subwords, hashed=None) -> tuple[np.nda
     return ids, begin
 
 
+def train_rows(training: DataFrame, model: LanguageModel, ranks: dict[bytes, int], pattern: str, tokens: int,
+               rate: float = 0.03) -> int:
+    """Trains the attention of ``model`` on all rows of ``training``; returns the tokens it was trained on.
+
+    Each row belongs to one of ``ROUNDS`` rounds.  A task runs steps over the
+    windows of its rows from the weights of the round before and returns
+    weights times counts (a row of an input table counts as often as it was
+    used), in one vector of fixed size; tasks add these up, and the sums make
+    the new weights.  No text leaves its task.
+    """
+    passes = max(1, -(-LEAST_WINDOWS * SCORED // max(tokens, 1)))
+    step = STEP if passes == 1 else STEP // 4
+    names = sorted(model.attention.p)
+    trained = 0
+    for r in range(ROUNDS):
+        def run(batches, r=r):
+            coder, net = Subwords(ranks, pattern), Attention(dict(model.attention.p))
+            part = TaskContext.get().partitionId()
+            adam, rng, used, n = Adam(net.p), np.random.default_rng((r, part)), np.zeros(INPUTS), 0
+            for batch in slices(batches, 2500):
+                for texts in _chunks(batch.column(0).to_pylist()):
+                    ids, begin = _token_ids(texts, coder)
+                    window, target, _ = model.windows(ids, begin)
+                    target = np.where(target >= 0, model.class_of[np.maximum(target, 0)], -1)
+                    used += np.bincount(window.ravel(), minlength=INPUTS)
+                    n += len(ids)
+                    for _ in range(passes):
+                        order = rng.permutation(len(window))
+                        for lo in range(0, len(order), step):
+                            own = order[lo:lo + step]
+                            adam.step(net.gradients(window[own], target[own])[0], rate * (1 - r / ROUNDS))
+            if n:
+                out = [net.p[x] * (used[:, None] if len(net.p[x]) == INPUTS else n) for x in names]
+                vector = np.concatenate([*(x.ravel() for x in out), used, [n]])
+                yield pa.record_batch([pa.array([part]), pa.array([vector.tobytes()], pa.binary())], names=["part", "w"])
+
+        def add(batches):
+            part, total = None, 0.0
+            for batch in slices(batches, 16):
+                for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    part, total = k if part is None else part, total + np.frombuffer(w)
+            if part is not None:
+                yield pa.record_batch([pa.array([part]), pa.array([total.tobytes()], pa.binary())], names=["part", "w"])
+
+        own = training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r).select("text")
+        rows = (own.mapInArrow(run, "part long, w binary").repartition(SUMS).sortWithinPartitions("part")
+                .mapInArrow(add, "part long, w binary").collect())  # SUMS vectors of fixed size
+        if rows:
+            total = sum(np.frombuffer(x["w"]) for x in sorted(rows, key=lambda x: x["part"]))
+            used, n, at, new = total[-INPUTS - 1:-1], total[-1], 0, {}
+            for x in names:
+                old = model.attention.p[x]
+                sums = total[at:at + old.size].reshape(old.shape)
+                at += old.size
+                if len(old) == INPUTS:
+                    new[x] = np.where(used[:, None] > 0, sums / np.maximum(used, 1)[:, None], old).astype(np.float32)
+                else:
+                    new[x] = (sums / n).astype(np.float32)
+            model.attention.p = new
+            trained += int(n)
+    return trained
+
+
 def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
 
@@ -335,12 +416,7 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
     times[-1] += ends
     coder = Subwords(ranks, pattern)
     model = LanguageModel.fit_counts(times, coder.opens)
-    usable = training.filter("doc_id is not null and text is not null")
-    chosen = [r["doc_id"] for r in usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    sample = [r["text"] for r in usable.filter(F.col("doc_id").isin(chosen)).orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text"))
-              .limit(SAMPLE_DOCS).collect()]  # tasks send texts of the chosen ids only
-    if sample:
-        model.train(*_token_ids([t.encode("utf-8", "surrogatepass").lower() for t in sample], coder))
+    train_rows(training, model, ranks, pattern, int(times.sum()))
 
     def run(batches):
         coder, pid, row = Subwords(ranks, pattern), TaskContext.get().partitionId(), 0
