@@ -115,8 +115,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, folds:
     """Model from at most ``sample`` labelled documents outside the held-out fold.
 
     The sample is the rows with the least hash of their id, so it is the same
-    in every run; it is the only bound, and only on training.  Null ids and
-    labels are left out; contradicting labels of one id count as their mean
+    in every run; it is the only bound, and only on training.  Rows of one id
+    with equal statistics, as copies have, are one row.  Null ids and labels are left out; contradicting labels of one id count as their mean
     rounded up.  Only the ids of the sample are broadcast.
     """
     chosen = (labels.filter("doc_id is not null and quality is not null").filter(fold_of("doc_id", folds) != held)
@@ -126,13 +126,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, folds:
 
     def run(batches):
         for batch in batches:
-            got = [(marks[d], statistics(t)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            got = [(d, marks[d], statistics(t)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                    if d in marks]
-            yield pa.record_batch([pa.array([g[0] for g in got], pa.int32()),
-                                   pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.record_batch([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()),
+                                   pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = (docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "y int, x array<double>")
-            .orderBy("x", "y").limit(sample).collect())  # ordered: sums of floats come out alike in every run
+    rows = (docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, y int, x array<double>")
+            .distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect())  # ordered: sums of floats come out alike in every run
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), FEATURES)
     return fit_trees(x, np.array([r["y"] for r in rows], float))
 
