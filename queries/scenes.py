@@ -176,6 +176,22 @@ for _name, _side, _test, _days in (("nearest_scene_join", "both", "TRUE", 5), ("
     query(_name, f"WITH {SQL_SCENES}, " + SQL_MATCH % (_test, _days, rd("area")))(_match(_side, _days))
 
 
+# The same search by place: all radar scenes whose footprint meets the optical one's, whatever tile they are filed under.
+SQL_BY_PLACE = SQL_MATCH.replace("s2_id, tile_no,", "s2_id, xmin, xmax, ymin, ymax,").replace("s1_id, tile_no,", "s1_id, xmin, xmax, ymin, ymax,").replace(
+    "JOIN s1 USING (tile_no)", "JOIN s1 ON s1.xmin <= s2.xmax AND s1.xmax >= s2.xmin AND s1.ymin <= s2.ymax AND s1.ymax >= s2.ymin")
+
+
+def _match_by_place(direction, days):
+    def run(spark, sf):
+        out = mt.nearest_scene_by_footprint(*match_inputs(spark, sf), max_days=days, direction=direction, cell=0.05)
+        return out.select("s2_id", "s1_id", rounded("s1_area").alias("s1_area"), "ring", "stop_ring", "all_found")
+    return run
+
+
+for _name, _side, _test, _days in (("nearest_scene_by_footprint", "both", "TRUE", 5), ("nearest_footprint_before", "before", "d < 0", 3), ("nearest_footprint_after", "after", "d >= 0", 2)):
+    query(_name, f"WITH {SQL_SCENES}, " + SQL_BY_PLACE % (_test, _days, rd("area")))(_match_by_place(_side, _days))
+
+
 WIDE = (149.25, -34.98, 149.85, -34.92)
 SQL_SHORT = """f AS (SELECT sensor, grp, arg_min(struct_pack(a := xmin, b := xmax), struct_pack(t := acquired_at, i := scene_id)) AS fp FROM g GROUP BY sensor, grp)"""
 
@@ -232,10 +248,12 @@ def _plan_sql(zone, limit):
       w AS (SELECT period, MIN(tile_no) AS g FROM f WHERE fp.a <= {x0} AND fp.b >= {x1} AND fp.c <= {y0} AND fp.d >= {y1} GROUP BY period),
       kept AS (SELECT cand.* FROM cand LEFT JOIN w USING (period) WHERE w.g IS NULL OR w.g = tile_no),
       best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period, tile_no ORDER BY cloud_pct, scene_id) AS rk FROM kept) WHERE rk = 1),
-      o AS (SELECT *, CASE WHEN ({x1}-{x0})*({y1}-{y0}) < (xmax-xmin)*(ymax-ymin) THEN
-        (least(xmax, {x1})-greatest(xmin, {x0}))*(least(ymax, {y1})-greatest(ymin, {y0})) ELSE (xmax-xmin)*(ymax-ymin) END AS zone_area FROM best),
+      w2 AS (SELECT *, ({x1}-{x0})*({y1}-{y0}) < (xmax-xmin)*(ymax-ymin) AS cut FROM best),
+      o AS (SELECT *, (wx1-wx0)*(wy1-wy0) AS zone_area FROM (SELECT *,
+        CASE WHEN cut THEN greatest(xmin, {x0}) ELSE xmin END AS wx0, CASE WHEN cut THEN least(xmax, {x1}) ELSE xmax END AS wx1,
+        CASE WHEN cut THEN greatest(ymin, {y0}) ELSE ymin END AS wy0, CASE WHEN cut THEN least(ymax, {y1}) ELSE ymax END AS wy1 FROM w2)),
       c AS (SELECT o.period, o.scene_id AS s2_id, s.scene_id AS s1_id, (s.xmax-s.xmin)*(s.ymax-s.ymin) AS area, zone_area, epoch_us(s.acquired_at)-epoch_us(o.acquired_at) AS d, s.acquired_at AS t1
-        FROM o JOIN scenes s ON s.tile_no = o.tile_no AND s.sensor = 1 AND s.pass_direction = 'DESCENDING' AND s.mode = 'IW'),
+        FROM o JOIN scenes s ON s.xmin <= o.wx1 AND s.xmax >= o.wx0 AND s.ymin <= o.wy1 AND s.ymax >= o.wy0 AND s.sensor = 1 AND s.pass_direction = 'DESCENDING' AND s.mode = 'IW'),
       r AS (SELECT *, CASE WHEN d >= 0 THEN d // 86400000000 + 1 ELSE (-d + 86399999999) // 86400000000 END AS ring FROM c),
       k AS (SELECT *, MIN(CASE WHEN area >= zone_area THEN ring END) OVER (PARTITION BY period, s2_id) AS stop FROM r WHERE ring <= 6),
       p AS (SELECT *, row_number() OVER (PARTITION BY period, s2_id ORDER BY area DESC, ring, s1_id) AS rk FROM k WHERE stop IS NULL OR ring <= stop)
@@ -249,7 +267,7 @@ PERIODS = [("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-31")]
 def _plan(zone):
     def run(spark, sf):
         sc_ = scenes(spark, sf).withColumn("zone_cloud_pct", F.col("cloud_pct"))
-        return ss.selection_plan(sc_, PERIODS, zone, cloud_limit=20, max_days=6, mode="IW")
+        return ss.selection_plan(sc_, PERIODS, zone, cloud_limit=20, max_days=6, mode="IW", cell=0.05)
     return run
 
 

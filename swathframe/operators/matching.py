@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathframe.constants import AREA_FACTOR
+from swathframe.functions.geometry import box, boxes_intersect, polygons_intersect
 
 _DAY_US = 86_400_000_000
 
@@ -22,6 +23,8 @@ def nearest_scene_join(s2: DataFrame, s1: DataFrame, max_days: int, direction: s
     without any radar scene in reach the match is NULL.
 
     ``s2``: scene_id, keys, time, zone_area.  ``s1``: scene_id, keys, time, area.
+    Only radar scenes with the same keys are candidates; for a search by place
+    see ``nearest_scene_by_footprint``.
 
     No scene pairs are formed.  Relative to one radar *day*, every radar scene
     later than the optical scene's time of day lies in one search window and
@@ -68,12 +71,80 @@ def nearest_scene_join(s2: DataFrame, s1: DataFrame, max_days: int, direction: s
         F.collect_list(F.when(F.col("_c.ring").isNotNull(), F.struct(
             F.col("_c.best.neg_area").alias("neg_area"), F.col("_c.ring").alias("ring"),
             F.col("_c.best.s1_id").alias("s1_id")))).alias("_cands"))
+    return _pick(found.withColumnRenamed("_s2", "s2_id"), factor)
+
+
+def cover_cells(df: DataFrame, cell: float, corners=("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
+    """One row for each grid cell of ``cell`` degrees that the box of a row touches, as columns ``_cx`` and ``_cy``."""
+    index = {c: F.floor(F.col(c) / F.lit(float(cell))).cast("long") for c in corners}
+    x0, y0, x1, y1 = (index[c] for c in corners)
+    return (df.withColumn("_cx", F.explode(F.when(x0 <= x1, F.sequence(x0, x1))))
+            .withColumn("_cy", F.explode(F.when(y0 <= y1, F.sequence(y0, y1)))))
+
+
+def nearest_scene_by_footprint(s2: DataFrame, s1: DataFrame, max_days: int, direction: str = "both",
+                               factor: float = AREA_FACTOR, cell: float = 1.0, ring: str | None = None,
+                               time: str = "acquired_at") -> DataFrame:
+    """``nearest_scene_join`` among all radar scenes whose footprint meets the wanted area, whatever tile they are filed under.
+
+    ``s2``: scene_id, time, zone_area, and the wanted area's box (xmin, ymin,
+    xmax, ymax).  ``s1``: scene_id, time, area, and the footprint's box.  With
+    ``ring`` both also have a ring of points in that column, and the rings have
+    to meet, not only the boxes.  A scene with a null corner meets nothing.
+
+    Both sides are spread over the grid cells that their boxes touch and the
+    optical side over the days it searches; they meet in an equi-join on cell
+    and day.  A pair that shares several cells counts only in the cell of the
+    lower left corner of its common box, so nothing has to be made distinct.
+    Pairs shrink to the best of each search window in the join's own task.  A
+    cell should be about as large as a footprint.
+    """
+    if direction not in ("before", "after", "both"):
+        raise ValueError(f"direction must be before, after or both, not {direction!r}")
+    if max_days < 1:
+        raise ValueError("max_days must be at least 1")
+    corners, size = ["xmin", "ymin", "xmax", "ymax"], F.lit(float(cell))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+
+    def side(df, name, *more):
+        rings = [F.col(ring).alias(f"_{name}ring")] if ring else []
+        return df.select(F.col("scene_id").alias(f"{name}_id"), micros.alias(f"_{name}t"),
+                         F.struct(*corners).alias(f"_{name}box"), *corners, *rings, *more)
+
+    first, last = -max_days if direction != "after" else 0, max_days if direction != "before" else 0
+    optical = side(s2, "s2", F.col("zone_area").cast("double").alias("zone_area"))
+    own_day = F.floor(F.col("_s2t") / _DAY_US).cast("long")
+    probes = cover_cells(optical, cell).withColumn("_day", F.explode(F.sequence(own_day + first, own_day + last))).drop(*corners)
+    radar = cover_cells(side(s1, "s1", F.col("area").cast("double").alias("_area")), cell).withColumn(
+        "_day", F.floor(F.col("_s1t") / _DAY_US).cast("long")).drop(*corners)
+    o, r, apart = F.col("_s2box"), F.col("_s1box"), F.col("_s1t") - F.col("_s2t")
+    home = ((F.col("_cx") == F.floor(F.greatest(o["xmin"], r["xmin"]) / size))
+            & (F.col("_cy") == F.floor(F.greatest(o["ymin"], r["ymin"]) / size)))
+    number = F.when(apart >= 0, F.floor(apart / _DAY_US) + 1).otherwise(F.ceil(-apart / _DAY_US)).cast("int")
+    wanted = {"before": apart < 0, "after": apart >= 0, "both": F.lit(True)}[direction]
+    pairs = (probes.join(radar, ["_cx", "_cy", "_day"]).filter(home & boxes_intersect(box(*(o[c] for c in corners)), box(*(r[c] for c in corners))))
+             .withColumn("ring", number).filter(wanted & (F.col("ring") <= max_days)))
+    if ring:
+        pairs = pairs.filter(polygons_intersect("_s2ring", "_s1ring"))
+    best = F.struct((-F.col("_area")).alias("neg_area"), "s1_id").alias("_best")
+    pairs = pairs.filter("_area is not null").select("s2_id", "zone_area", "ring", best)
+    # A row without match for every optical scene keeps those that find nothing.
+    none = optical.select("s2_id", "zone_area", F.lit(None).cast("int").alias("ring"),
+                          F.lit(None).cast(pairs.schema["_best"].dataType).alias("_best"))
+    windows = pairs.unionByName(none).groupBy("s2_id", "ring").agg(F.max("zone_area").alias("zone_area"), F.min("_best").alias("_best"))
+    found = windows.groupBy("s2_id").agg(F.max("zone_area").alias("zone_area"), F.collect_list(  # a candidate for each window
+        F.when(F.col("ring").isNotNull(), F.struct("_best.neg_area", "ring", "_best.s1_id"))).alias("_cands"))
+    return _pick(found, factor)
+
+
+def _pick(found: DataFrame, factor: float) -> DataFrame:
+    """Of each scene's candidates the largest within the first window that holds one of ``factor * zone_area``."""
     good = F.filter("_cands", lambda c: -c["neg_area"] >= F.lit(factor) * F.col("zone_area"))
     found = found.withColumn("stop_ring", F.array_min(F.transform(good, lambda c: c["ring"])))
     pick = F.array_min(F.filter("_cands", lambda c: F.col("stop_ring").isNull() | (c["ring"] <= F.col("stop_ring"))))
-    return found.withColumn("_pick", pick).select(
-        F.col("_s2").alias("s2_id"), F.col("_pick.s1_id").alias("s1_id"), (-F.col("_pick.neg_area")).alias("s1_area"),
-        F.col("_pick.ring").alias("ring"), F.col("stop_ring"), F.col("stop_ring").isNotNull().alias("all_found"))
+    return found.withColumn("_chosen", pick).select(
+        "s2_id", F.col("_chosen.s1_id").alias("s1_id"), (-F.col("_chosen.neg_area")).alias("s1_area"),
+        F.col("_chosen.ring").alias("ring"), F.col("stop_ring"), F.col("stop_ring").isNotNull().alias("all_found"))
 
 
 def _ring_type(radar: DataFrame) -> str:

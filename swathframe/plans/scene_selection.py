@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathframe.functions.geometry import box, box_area, clip_zone_box
-from swathframe.operators.matching import nearest_scene_join, zone_cover_short_circuit
+from swathframe.operators.matching import nearest_scene_by_footprint, zone_cover_short_circuit
 from swathframe.operators.scenes import filter_cloud, filter_s1, filter_scenes
 
 CRITERIA = {"begin": ("acquired_at", True), "end": ("acquired_at", False), "lessclouds": ("zone_cloud_pct", True)}
@@ -40,19 +40,21 @@ def best_scene_per_group(scenes: DataFrame, criterion: str = "lessclouds", cloud
 
 
 def with_zone_area(s2: DataFrame, zone) -> DataFrame:
-    """Area the radar scene has to cover: the zone cut to the optical footprint."""
-    wanted = box(*[F.lit(float(v)) for v in zone])
-    return s2.withColumn("zone_area", box_area(clip_zone_box(wanted, box("xmin", "ymin", "xmax", "ymax"))))
+    """What the radar scene has to cover, as ``zone_area`` and box ``wanted``: the zone cut to the optical footprint."""
+    asked = box(*[F.lit(float(v)) for v in zone])
+    return s2.withColumn("wanted", clip_zone_box(asked, box("xmin", "ymin", "xmax", "ymax"))).withColumn(
+        "zone_area", box_area(F.col("wanted")))
 
 
 def selection_plan(scenes: DataFrame, periods, zone, criterion: str = "lessclouds", cloud_limit: float = 20.0,
-                   max_days: int = 12, mode: str | None = None, polarisations=(), names=None) -> DataFrame:
+                   max_days: int = 12, mode: str | None = None, polarisations=(), names=None, cell: float = 1.0) -> DataFrame:
     """Scenes to fetch: per period the chosen optical scenes and the radar scene matched to each.
 
     ``periods`` is a list of (begin, end); ``names`` optionally gives the
     optical scene of each period.  Output: period, sensor, scene_id, day,
     matched_to; an optical scene without a radar scene in reach has a radar row
-    without scene and day.
+    without scene and day.  Radar scenes are searched by place, on a grid of
+    ``cell`` degrees: their footprint has to meet the zone within the optical scene.
 
     A scene finds its periods in a constant array, so every step runs once for
     all periods; the scans are bounded by the first and the last date.
@@ -77,16 +79,17 @@ def selection_plan(scenes: DataFrame, periods, zone, criterion: str = "lesscloud
                          ).groupBy("period").agg(F.min("group_id").alias("_alone"))
     grouped = free.join(F.broadcast(alone), "period", "left").filter("_alone is null or _alone = group_id")  # a row a period
     chosen = with_zone_area(best_scene_per_group(grouped, criterion, cloud_limit, ("period", "group_id"), columns), zone)
-    optical = chosen.select("period", "scene_id", "tile_no", "acquired_at", "zone_area")
+    optical = chosen.select("period", "scene_id", "wanted", "acquired_at", "zone_area")
     if names and any(n is not None for n in names):
-        named = candidates.filter("_p.wanted = scene_id").withColumn("zone_area", box_area(box("xmin", "ymin", "xmax", "ymax")))
+        named = candidates.filter("_p.wanted = scene_id").withColumn("wanted", box("xmin", "ymin", "xmax", "ymax")).withColumn(
+            "zone_area", box_area(F.col("wanted")))
         optical = optical.unionByName(named.select(optical.columns))
 
     reach = F.make_dt_interval(F.lit(max_days + 1))
     radar = filter_s1(filter_scenes(scenes, begin - reach, end + reach, None, 1), mode, polarisations).withColumn(
         "area", box_area(box("xmin", "ymin", "xmax", "ymax")))
-    keyed = optical.withColumn("scene_id", F.struct("period", "scene_id"))
-    matched = nearest_scene_join(keyed, radar, max_days)
+    keyed = optical.select(F.struct("period", "scene_id").alias("scene_id"), "wanted.*", "acquired_at", "zone_area")
+    matched = nearest_scene_by_footprint(keyed, radar, max_days, cell=cell)
     day = F.date_format("acquired_at", "yyyy-MM-dd").alias("day")
     days = radar.select(F.col("scene_id").alias("s1_id"), day)
     return optical.select("period", F.lit(2).alias("sensor"), "scene_id", day, F.lit(None).cast(id_type).alias("matched_to")).unionByName(

@@ -286,6 +286,47 @@ def test_nearest_scene_exact_time_and_one_day(spark):
     assert [(r.s2_id, r.s1_id, r.ring, r.all_found) for r in before] == [(1, None, None, False)]  # no match, but a row
 
 
+BOX = "xmin double, ymin double, xmax double, ymax double"
+
+
+def test_nearest_scene_by_footprint_against_widening_search(spark):
+    """Boxes anywhere, also across cell borders and below zero; a scene without corners meets nothing."""
+    rng = np.random.default_rng(8)
+    base = dt.datetime(2024, 1, 10)
+
+    def boxes(n):
+        x, y, w, h = rng.uniform(-2, 2, n), rng.uniform(-2, 2, n), rng.uniform(0, 1.5, n), rng.uniform(0, 1.5, n)
+        return [tuple(map(float, b)) for b in zip(x, y, x + w, y + h)]
+    s1 = [(i, base + dt.timedelta(hours=float(h)), (b[2] - b[0]) * (b[3] - b[1]), *b)
+          for i, (h, b) in enumerate(zip(rng.integers(-100, 100, 60), boxes(60)))] + [(90, base, 9.0, None, 0.0, 1.0, 1.0)]
+    s2 = [(100 + i, base + dt.timedelta(hours=float(h)), float(a), *b)
+          for i, (h, a, b) in enumerate(zip(rng.integers(-100, 100, 40), rng.uniform(0, 2, 40), boxes(40)))] + [
+        (200, base, 1.0, None, None, None, None)]
+    d1 = spark.createDataFrame(s1, "scene_id long, acquired_at timestamp, area double, " + BOX)
+    d2 = spark.createDataFrame(s2, "scene_id long, acquired_at timestamp, zone_area double, " + BOX)
+    want = {}
+    for sid, t, need, *b in s2:
+        near = [r[:3] for r in s1 if None not in r and None not in b and r[3] <= b[2] and r[5] >= b[0] and r[4] <= b[3] and r[6] >= b[1]]
+        want[sid] = brute_match([(sid, t, need)], near, 3).get(sid, (None, False))
+    for cell in (0.3, 1.0, 7.0):
+        got = {r.s2_id: (r.s1_area, r.all_found) for r in matching.nearest_scene_by_footprint(d2, d1, 3, cell=cell).collect()}
+        assert got == want
+
+
+def test_radar_scene_of_another_tile_and_ring_test(spark):
+    t = dt.datetime(2024, 1, 10, 12)
+    square = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    schema = f"scene_id long, acquired_at timestamp, {{}} double, tile_no int, {BOX}, ring array<struct<lon:double,lat:double>>"
+    s2 = spark.createDataFrame([(1, t, 1.0, 7, 0.0, 0.0, 1.0, 1.0, square(0.0, 0.0, 1.0, 1.0))], schema.format("zone_area"))
+    slanted = [(0.5, 3.0), (3.0, 0.5), (3.0, 3.0)]  # its box meets the square, its ring does not
+    s1 = spark.createDataFrame([(10, t, 1.1, 7, 0.0, 0.0, 1.0, 1.1, square(0.0, 0.0, 1.0, 1.1)),
+                                (11, t, 4.0, 8, 0.9, 0.0, 2.9, 2.0, square(0.9, 0.0, 2.9, 2.0)),
+                                (12, t, 9.0, 9, 0.5, 0.5, 3.0, 3.0, slanted)], schema.format("area"))
+    assert matching.nearest_scene_join(s2, s1, 2).first().s1_id == 10
+    assert matching.nearest_scene_by_footprint(s2, s1, 2).first().s1_id == 12
+    assert matching.nearest_scene_by_footprint(s2, s1, 2, ring="ring").first().s1_id == 11
+
+
 def test_grid_cell_names(spark):
     r = one(spark, a=nm.gridcell_name(F.lit(147.0), F.lit(-7.0), F.lit(5)), b=nm.gridcell_name(F.lit(-5.0), F.lit(-5.0), F.lit(5)),
             c=nm.gridcell_name(F.lit(10.0), F.lit(50.0), F.lit(40)))

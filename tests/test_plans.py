@@ -38,3 +38,11 @@ def test_scene_matching_forms_no_pairs(spark, sf_dir):
     """Matching is windows over one union, without a join of optical and radar scenes."""
     text = plan_of(QUERIES["nearest_scene_join"](spark, sf_dir))
     assert "Join" not in text and "Window" in text
+
+
+def test_search_by_place_forms_no_product(spark, sf_dir):
+    """Scenes meet by cell and day, and pairs shrink to the best of each window before they are shuffled."""
+    text = plan_of(QUERIES["nearest_scene_by_footprint"](spark, sf_dir))
+    assert "Cartesian" not in text and "NestedLoop" not in text
+    joins = [line for line in text.splitlines() if "Join" in line]
+    assert len(joins) == 1 and all(k in joins[0] for k in ("_cx", "_cy", "_day")) and "partial_min" in text
