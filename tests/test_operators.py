@@ -388,6 +388,61 @@ def test_histogram_edges(spark):
     assert {r.bin: r.n for r in st.histogram(df, "v", 4, 0, 1).collect()} == {0: 1, 2: 1, 3: 2}
 
 
+def _pair_reference(image, k, n_components, rounds):
+    """Changed pixels of one difference image (rows, cols, channels), step by step in NumPy."""
+    n, m, ch = image.shape
+    blocks = np.array([image[i:i + k, j:j + k].transpose(2, 0, 1).ravel() for i in range(0, n, k) for j in range(0, m, k)])
+    mean = blocks.mean(axis=0)
+    values, vectors = np.linalg.eigh(np.cov(blocks.T))
+    comps = vectors[:, np.argsort(-values, kind="stable")[:n_components]].T
+    comps *= np.sign(comps[np.arange(len(comps)), np.abs(comps).argmax(axis=1)])[:, None]
+    wide = np.pad(image, ((k // 2, (k - 1) // 2), (k // 2, (k - 1) // 2), (0, 0)), mode="symmetric")
+    p = np.array([[comps @ (wide[i:i + k, j:j + k].transpose(2, 0, 1).ravel() - mean) for j in range(m)] for i in range(n)]).reshape(n * m, -1)
+    centres = np.zeros((2, p.shape[1]))
+    lo, hi = p[:, 0].min(), p[:, 0].max()
+    centres[:, 0] = lo + (np.arange(2) + 0.5) / 2 * (hi - lo)
+    for _ in range(rounds + 1):
+        at = ((p[:, None, :] - centres) ** 2).sum(-1).argmin(axis=1)
+        centres = np.array([p[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(2)])
+    sizes = np.bincount(at, minlength=2)
+    return values, (at == min((s, c) for c, s in enumerate(sizes) if s)[1]).reshape(n, m)
+
+
+def test_every_pair_has_its_own_model(spark):
+    """In one pair a corner changes, in the other all but a corner; pooled, one of them would come out inverted."""
+    rng = np.random.default_rng(12)
+    rows, images = [], {}
+    for tile, much in ((1, False), (2, True)):
+        image = rng.normal(0.1, 0.02, (16, 16, 2))
+        part = np.zeros((16, 16), bool)
+        part[10:, 10:] = True
+        image[part != much] += (0.8, 0.5)
+        images[tile] = image
+        rows += [(tile, i, j, *map(float, image[i, j])) for i in range(16) for j in range(16)]
+    diff = spark.createDataFrame(rows, "tile_id long, row int, col int, a double, b double").repartition(5)
+    models = {r.tile_id: r for r in change.fit_pair_models(diff, ["a", "b"], 4, 3).collect()}
+    got = change.detect_pair_changes(diff, ["a", "b"], 4, 3).collect()
+    for tile, image in images.items():
+        values, want = _pair_reference(image, 4, 3, 20)
+        assert models[tile].n_blocks == 16 and abs(models[tile].trace - values.sum()) < 1e-9
+        assert np.allclose(models[tile].variances, sorted(values, reverse=True)[:3])
+        marked = np.zeros((16, 16), bool)
+        for r in got:
+            if r.tile_id == tile:
+                marked[r.row, r.col] = r.change == 255
+        assert (marked == want).all()
+
+
+def test_pair_models_of_odd_tables(spark):
+    schema = "tile_id long, row int, col int, a double"
+    none = spark.createDataFrame([], schema)
+    assert change.fit_pair_models(none, ["a"], 2, 2).collect() == []
+    assert change.detect_pair_changes(none, ["a"], 2, 2).collect() == []
+    flat = spark.createDataFrame([(1, i, j, 0.5) for i in range(2) for j in range(2)], schema)  # one block, all equal
+    assert [r.variances for r in change.fit_pair_models(flat, ["a"], 2, 2).collect()] == [[0.0, 0.0]]
+    assert {r.change for r in change.detect_pair_changes(flat, ["a"], 2, 2).collect()} == {255}  # the only cluster is the rarest
+
+
 def test_change_map_finds_the_changed_corner(spark, tmp_path):
     a = np.zeros((16, 16))
     b = a.copy()
