@@ -13,8 +13,10 @@ from swathframe.functions.common import total
 from swathframe.functions.geometry import box_area, box_intersection
 from swathframe.functions.indices import normalized_difference
 from swathframe.functions.rescale import threshold_ramp
-from swathframe.operators.focal import focal_square, opened
+from swathframe.operators.block_arrays import displaced_mean, displaced_parts, focal_passes, with_displaced_mean
+from swathframe.operators.focal import circle_runs, focal_square, run_offsets, runs_reach
 from swathframe.operators.layout import attach
+from swathframe.session import write_once
 
 
 def pixel_cloud_score(scale: float = REFLECTANCE_SCALE) -> Column:
@@ -70,17 +72,17 @@ def filter_clouds(df: DataFrame, zones: DataFrame, pixel_area: float, keys=("sce
 
 
 def dilated_erosion(df: DataFrame, value: str, keys=("scene_id",), name: str = "opened") -> DataFrame:
-    """Three circular minima of radius 1.5, then three circular maxima of radius 3."""
-    return opened(df, value, EROSION_RADIUS, DILATION_RADIUS, 3, keys, name)
+    """Three circular minima of radius 1.5, then three circular maxima of radius 3, on block arrays."""
+    erode, dilate = circle_runs(EROSION_RADIUS), circle_runs(DILATION_RADIUS)
+    passes = [("min", run_offsets(erode))] * 3 + [("max", run_offsets(dilate))] * 3
+    return focal_passes(df, value, passes, 3 * (runs_reach(erode) + runs_reach(dilate)), keys, name)
 
 
-def shadow_mean(df: DataFrame, res: float, keys=("scene_id",), heights=CLOUD_HEIGHTS) -> DataFrame:
-    """Mean of the cloud score displaced away from the sun for every assumed cloud height.
+def sun_shifts(df: DataFrame, res: float, keys=("scene_id",), heights=CLOUD_HEIGHTS) -> DataFrame:
+    """(keys, shifts): where a cloud's shadow falls, once per scene, as an array of (dr, dc, w).
 
-    Needs ``cloud_score``, ``azimuth`` and ``zenith`` (degrees, one per scene).
-    The shifts are worked out once per scene, heights that round to the same
-    shift become one weighted shift; a pixel then sends its score to the
-    positions it would shade and equal positions meet in one aggregate.
+    Needs ``azimuth`` and ``zenith`` (degrees, one per scene).  Heights that
+    round to the same shift become one weighted shift.
     """
     low, high, step = heights
     sun = df.groupBy(*keys).agg(F.max("azimuth").alias("_az"), F.max("zenith").alias("_zen"))
@@ -89,12 +91,19 @@ def shadow_mean(df: DataFrame, res: float, keys=("scene_id",), heights=CLOUD_HEI
     per_height = sun.withColumn("_h", F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step))))
     shifts = per_height.groupBy(*keys, (-F.floor(F.cos(away) * reach + 0.5)).cast("int").alias("dr"),
                                 (-F.floor(-F.sin(away) * reach + 0.5)).cast("int").alias("dc")).agg(F.count(F.lit(1)).alias("w"))
-    # At most one entry per height and scene.
-    table = shifts.groupBy(*keys).agg(F.collect_list(F.struct("dr", "dc", "w")).alias("_shifts"))
-    moved = attach(df.select(*keys, "row", "col", "cloud_score"), table, keys).select(
-        *keys, "row", "col", "cloud_score", F.explode("_shifts").alias("_s"))
-    return moved.groupBy(*keys, (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col")).agg(
-        F.try_divide(F.sum(F.col("cloud_score") * F.col("_s.w")), F.sum("_s.w")).alias("shadow_mean"))
+    # At most one entry per height and scene; a scene without sun angles casts no shadow.
+    return shifts.filter("dr is not null and dc is not null").groupBy(*keys).agg(
+        F.collect_list(F.struct("dr", "dc", "w")).alias("shifts"))
+
+
+def shadow_mean(df: DataFrame, res: float, keys=("scene_id",), heights=CLOUD_HEIGHTS) -> DataFrame:
+    """Mean of the cloud score displaced away from the sun for every assumed cloud height, wherever one falls.
+
+    Needs ``cloud_score``, ``azimuth`` and ``zenith``.  Blocks of scores are
+    shifted as arrays; a block sends one partial array to each block its
+    shadows reach.
+    """
+    return displaced_mean(displaced_parts(df, "cloud_score", sun_shifts(df, res, keys, heights), keys), keys, "shadow_mean")
 
 
 def dark_pixel(scale: float = REFLECTANCE_SCALE) -> Column:
@@ -105,10 +114,14 @@ def dark_pixel(scale: float = REFLECTANCE_SCALE) -> Column:
 
 
 def project_shadows(df: DataFrame, res: float, keys=("scene_id",), scale: float = REFLECTANCE_SCALE) -> DataFrame:
-    """``shadow_score``: projected cloud scores on dark pixels, opened and spread by one pixel."""
-    base = df.columns
-    cast = shadow_mean(df, res, keys)
-    masked = df.join(cast, [*keys, "row", "col"], "left").withColumn(
+    """``shadow_score``: projected cloud scores on dark pixels, opened and spread by one pixel.
+
+    The scored pixels are read twice, for their own rows and for the shadows
+    they cast, so they are stored once.
+    """
+    base, df = df.columns, write_once(df)
+    parts = displaced_parts(df, "cloud_score", sun_shifts(df, res, keys), keys)
+    masked = with_displaced_mean(df, parts, keys, "shadow_mean").withColumn(
         "_shadow", F.coalesce("shadow_mean", F.lit(0.0)) * F.when(dark_pixel(scale), 1.0).otherwise(0.0)).drop("shadow_mean")
     cleaned = dilated_erosion(masked, "_shadow", keys, "_opened")
     return focal_square(cleaned, {"shadow_score": F.col("_opened")}, "max", 1, keys).select(*base, "shadow_score")
