@@ -17,6 +17,7 @@ from swathframe.functions import rescale as rs
 from swathframe.operators import change, confusion, focal, grid, image_quality, layout, matching, normalise, scoring
 from swathframe.operators import statistics as st
 from swathframe.operators import tile_checks as tc
+from swathframe.operators import knn_fill as knn_module
 from swathframe.operators.knn_fill import knn_fill
 
 
@@ -185,6 +186,27 @@ def test_knn_fill(spark, chunk):
     np.testing.assert_allclose(got, knn_reference(a, 3))
 
 
+@pytest.mark.parametrize("width", [4, 7])
+def test_knn_fill_of_an_image_wider_than_a_block(spark, width):
+    """Column blocks give the distances of whole rows; equal rows tie exactly; the last block is narrower."""
+    rng = np.random.default_rng(6)
+    a = rng.random((9, 17)).round(1)
+    a[3] = a[5] = a[7]
+    a[rng.random(a.shape) < 0.15] = np.nan
+    got = back(knn_fill(image(spark, a), ["v"], 2, 4, width), a.shape, "v")
+    np.testing.assert_allclose(got, knn_reference(a, 2))
+
+
+def test_knn_fill_tasks_hold_blocks(spark, monkeypatch):
+    """The largest array that a task sees depends on the block, not on the image's width."""
+    rng = np.random.default_rng(7)
+    a = rng.random((6, 40))
+    a[2, 3] = a[4, 33] = np.nan
+    seen = knn_module._blocks(image(spark, a), ["v"], 4, 5).collect()
+    assert len(seen) == 2 * 8 and max(len(r["values"]) for r in seen) == 4 * 5 * 8
+    np.testing.assert_allclose(back(knn_fill(image(spark, a), ["v"], 2, 4, 5), a.shape, "v"), knn_reference(a, 2))
+
+
 def test_knn_fill_leaves_complete_tiles(spark):
     a = np.random.default_rng(5).random((4, 4))
     np.testing.assert_allclose(back(knn_fill(image(spark, a), ["v"]), a.shape, "v"), a)
