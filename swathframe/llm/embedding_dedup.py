@@ -81,8 +81,10 @@ def _units(batches):
             v = None
             if vec is not None and values and not any(x is None for x in values):
                 v = np.array(values, float)
-                size = np.sqrt(v @ v) if np.isfinite(v).all() else 0.0
-                v = v / size if size > 0 and np.isfinite(size) else None
+                most = np.abs(v).max()
+                # A power of two brings the largest component near 1, so that no square over- or underflows.
+                v = np.ldexp(v, -int(np.frexp(most)[1])) if np.isfinite(most) and most > 0 else None
+                v = None if v is None else v / np.sqrt(v @ v)
             units.append(None if v is None else v.tobytes())
             keys.append(None if v is None else hashlib.blake2b(np.array(values, float).tobytes(), digest_size=16).digest())
         yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())],
