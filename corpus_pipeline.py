@@ -19,27 +19,52 @@ NEAR_PERCENT = 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the trained classifier does not reject."""
+    """Documents that the trained classifier does not reject.
+
+    Null and empty texts and rows without id are scored like all others and
+    stay or go by their score; repeated rows stay or go together; an empty
+    table stays empty; columns of any name are kept.
+    """
     return keep_good(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the plain rules and lie in the perplexity band of their language."""
+    """Documents that pass the plain rules and lie in the perplexity band of their language.
+
+    Null, empty and other texts of fewer than 50 words go, as the plain rules
+    say; null and unknown languages share one model; repeated rows stay or go
+    together; an empty table stays empty; columns of any name are kept.
+    """
     return keep_passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of documents linked at a similarity of ``NEAR_PERCENT`` or more."""
+    """The document with the least id of each group of documents linked at a similarity of ``NEAR_PERCENT`` or more.
+
+    Texts without words and rows without id are linked with nothing and stay;
+    rows that share an id stay or go together; an empty table stays empty;
+    columns of any name are kept.
+    """
     return keep_one(docs, NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of repeated windows; ``n_chars`` follows the text."""
+    """All documents, without the words of repeated windows; ``n_chars`` follows the text.
+
+    Null and empty texts stay as they are, texts that only repeat become empty;
+    repeated rows repeat each other; an empty table stays empty; columns of
+    any name are kept.
+    """
     return without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences.
+
+    A null or empty text is its end id alone; rows without id and repeated rows
+    are packed each for itself; an empty table gives no pieces; other columns
+    are left out.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
