@@ -295,3 +295,13 @@ def scene_value_union(spark, sf):
     """Merged collections keep duplicates."""
     sc = scenes(spark, sf)
     return st.union_all([sc, sc.filter(F.col("cloud_pct") < 5)]).groupBy("sensor").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("silhouette_points", f"""WITH {SQL_PIXELS}, t AS (SELECT tile_id, tile_id % 3 AS grp, AVG(r_t0) AS x, AVG(nir_t0) AS y FROM pixels GROUP BY tile_id),
+  d AS (SELECT a.tile_id, a.grp, b.grp AS other, SUM(power(a.x-b.x, 2) + power(a.y-b.y, 2)) AS s, COUNT(*) AS n FROM t a, t b GROUP BY ALL),
+  m AS (SELECT tile_id, grp, MAX(CASE WHEN other = grp THEN s/(n-1) END) AS a, MIN(CASE WHEN other <> grp THEN s/n END) AS b FROM d GROUP BY ALL)
+  SELECT tile_id, grp, {rd('(b-a)/greatest(a, b)')} AS silhouette FROM m""")
+def silhouette_points(spark, sf):
+    """Tiles as points (mean red and infrared) in three groups; the SQL compares all pairs."""
+    means = pixels(spark, sf).groupBy("tile_id").agg(F.avg("r_t0").alias("x"), F.avg("nir_t0").alias("y")).withColumn("grp", F.col("tile_id") % 3)
+    return st.silhouette_points(means, ["x", "y"], "grp").select("tile_id", "grp", rounded("silhouette").alias("silhouette"))

@@ -132,6 +132,42 @@ def cluster_summary(df: DataFrame, label: str, value: str) -> DataFrame:
                           ).drop("_sum")
 
 
+def silhouette_points(df: DataFrame, columns, label: str, name: str = "silhouette") -> DataFrame:
+    """Silhouette of every row by squared Euclidean distance, without pairs of rows.
+
+    The mean squared distance to a cluster follows from the cluster's count,
+    sums and squared norms: one small row of statistics joins the rows once.
+    Values are taken from the overall mean first, so that the differences keep
+    their digits.  A row alone in its cluster, or with one cluster in all, has
+    0; a row with a null value or label has null and does not take part.
+    """
+    columns = list(columns)
+    used = F.col(label).isNotNull()
+    for c in columns:
+        used = used & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    whole = df.filter(used)
+    middle = whole.agg(*[F.avg(c).alias(c) for c in columns]).select(F.array(*columns)).scalar()
+    centred = F.zip_with(F.array(*[F.col(c).cast("double") for c in columns]), "_middle", lambda x, m: x - m)
+    norm = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x)
+    placed = df.withColumn("_middle", middle).withColumn("_x", F.when(used, centred)).drop("_middle").withColumn("_q", norm)
+    per = placed.filter("_x is not null").groupBy(F.col(label).alias("_l")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q"), F.array(*[F.sum(F.col("_x")[j]) for j in range(len(columns))]).alias("s"))
+    # One entry for each cluster.
+    table = per.agg(F.collect_list(F.struct("_l", "n", "q", "s"))).scalar()
+
+    def total(c):
+        dot = F.aggregate(F.zip_with("_x", c["s"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        return F.greatest(c["n"] * F.col("_q") - 2 * dot + c["q"], F.lit(0.0))
+
+    own = F.get(F.filter("_clusters", lambda c: c["_l"] == F.col(label)), F.lit(0))
+    others = F.filter("_clusters", lambda c: c["_l"] != F.col(label))
+    out = placed.withColumn("_clusters", table).withColumn("_n", own["n"]).withColumn("_a", F.try_divide(total(own), own["n"] - 1)).withColumn(
+        "_b", F.array_min(F.transform(others, lambda c: total(c) / c["n"])))
+    value = F.when((F.col("_n") == 1) | F.col("_b").isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0)))
+    return out.withColumn(name, F.when(F.col("_x").isNotNull(), value)).select(*df.columns, name)
+
+
 def silhouette(df: DataFrame, features: str = "features", prediction: str = "prediction") -> float:
     """Overall silhouette of a clustering (squared Euclidean distance)."""
     return ClusteringEvaluator(featuresCol=features, predictionCol=prediction).evaluate(df)

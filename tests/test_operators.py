@@ -542,3 +542,24 @@ def test_blocks_with_margin_score_like_whole_tiles(spark):
     got = {(r.row, r.col): r.p for r in scoring.score_pixels(df, ["v"], build, ["p"], block=4, margin=1).collect()}
     whole = build()(image[:, :, None])[:, :, 0]
     assert len(got) == image.size and all(abs(got[r, c] - whole[r, c]) < 1e-5 for r, c in got)
+
+
+def test_silhouette_of_every_point(spark):
+    """Against all pairs, far from the origin; single members, nulls and one cluster alone."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e6, 1.0, (60, 3))
+    label = rng.integers(0, 3, 60)
+    x[label == 1] += 4
+    rows = [(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, label))] + [(90, 1e6, 1e6, 1e6, 7), (91, None, 1.0, 1.0, 0), (92, 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, g int")
+    got = {r.id: r.silhouette for r in st.silhouette_points(df, ["a", "b", "c"], "g").collect()}
+    assert got[90] == 0.0 and got[91] is None and got[92] is None
+    points, groups = np.vstack([x, [[1e6] * 3]]), np.append(label, 7)
+    d = ((points[:, None] - points[None]) ** 2).sum(-1)
+    for i in range(60):
+        own = (groups == groups[i]) & (np.arange(61) != i)
+        a, b = d[i, own].mean(), min(d[i, groups == g].mean() for g in set(groups.tolist()) - {groups[i]})
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-6)
+    one = st.silhouette_points(df.filter("g = 0 and a is not null"), ["a", "b", "c"], "g").collect()
+    assert one and all(r.silhouette == 0.0 for r in one)
+    assert st.silhouette_points(df.limit(0), ["a"], "g").collect() == []
