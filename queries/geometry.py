@@ -155,7 +155,28 @@ def to_albers(spark, sf):
     return out.select("scene_id", rounded("a.x", 3).alias("x"), rounded("a.y", 3).alias("y"))
 
 
-@query("mgrs_square")
+# Fixed values of the inverse series, as literals like those above.
+UTM_BETA = ('8.37732164060057418e-04', '5.90586956793398774e-08', '1.67348888035484859e-10', '2.16773776302203622e-13')
+UTM_DELTA = ('3.35655146912521279e-03', '6.57187308396013260e-06', '1.76465640047585012e-08', '5.40048208169354359e-11')
+
+
+def _latitude_sql(easting, northing, south):
+    """Latitude of a UTM point."""
+    x, y = f"(({northing}-{south})/{UTM_SCALE})", f"(({easting}-500000e0)/{UTM_SCALE})"
+    x1 = x + "".join(f"-({b})*sin({2 * j}*{x})*cosh({2 * j}*{y})" for j, b in enumerate(UTM_BETA, 1))
+    y1 = y + "".join(f"-({b})*cos({2 * j}*{x})*sinh({2 * j}*{y})" for j, b in enumerate(UTM_BETA, 1))
+    chi = f"asin(sin({x1})/cosh({y1}))"
+    return f"degrees({chi}" + "".join(f"+({d})*sin({2 * j}*{chi})" for j, d in enumerate(UTM_DELTA, 1)) + ")"
+
+
+SQL_MGRS = f"""p AS ({_BASE}), u AS (SELECT scene_id, zone, {_E} AS e, {_NORTH} AS n, CASE WHEN lat < 0 THEN 10000000e0 ELSE 0e0 END AS south FROM p),
+  b AS (SELECT *, ({_latitude_sql('200000e0', 'n', 'south')}+{_latitude_sql('700000e0', 'n', 'south')})/2 AS middle FROM u),
+  i AS (SELECT *, least(CAST(trunc((middle+80)/8) AS INT)+2, 21) AS band, CASE zone % 3 WHEN 1 THEN 0 WHEN 2 THEN 8 ELSE 16 END+CAST(trunc(e/100000) AS INT)-1 AS c,
+    CAST(trunc(((n+CASE WHEN zone % 2 = 0 THEN 500000e0 ELSE 0e0 END) % 2000000)/100000) AS INT) AS r, 'ABCDEFGHJKLMNPQRSTUVWXYZ' AS t FROM b)"""
+
+
+@query("mgrs_square", f"""WITH {SQL_SCENES}, {SQL_FAR}, {SQL_MGRS} SELECT scene_id, lon, far.lat,
+    CASE WHEN zone <> 61 THEN lpad(CAST(zone AS VARCHAR), 2, '0') || substr(t, band+1, 1) || substr(t, c+1, 1) || substr(t, r+1, 1) END AS square FROM i JOIN far USING (scene_id)""")
 def mgrs_square(spark, sf):
     """Grid squares of all points."""
     pts = far(spark, sf)
