@@ -29,15 +29,6 @@ TILE_SIZE = 256
 SPLITS = ["train", "val", "test"]
 ROLE_LAYOUT = {"dataX": [(1, 0), (1, 1), (2, 0)], "label": [(2, 1)]}
 
-# --- fixed values: rescaling method -> statistic it needs -------------------
-METHOD_STATISTIC = {
-    "standardization": "mean_std", "standardization11": "mean_std",
-    "centering": "mean_std", "centering_r": "mean_std",
-    "normalization": "min_max", "normalization11": "min_max",
-    "normalization11_r": "min_max", "normalization_r": "min_max",
-    "center_norm11": "min_max", "center_norm11_r": "min_max", " ": "min_max",
-}
-
 # --- fixed values: vegetation indices and classes ---------------------------
 EVI = {"L": 1.0, "G": 2.5, "C1": 6.0, "C2": 7.5}
 SEVERITY_CLASSES = [("unburnt", -1.0, 0.09), ("low", 0.09, 0.14), ("moderate", 0.14, 0.22),

@@ -5,34 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from swathframe.constants import MASK_SCALE, METHOD_STATISTIC, REFLECTANCE_SCALE, SAR_SCALE
+from swathframe.constants import MASK_SCALE, REFLECTANCE_SCALE, SAR_SCALE
 from swathframe.functions.common import as_col, clip, ratio
 
 
+def _half(lo: Column, hi: Column) -> Column:
+    return (hi - lo) / F.lit(2.0)
+
+
+#: Formulas over (value, min, max).
+BY_RANGE = {
+    "normalization": lambda x, lo, hi: ratio(x - lo, hi - lo),
+    "normalization_r": lambda x, lo, hi: x * (hi - lo) + lo,
+    "normalization11": lambda x, lo, hi: 2 * ratio(x - lo, hi - lo) - 1,
+    "normalization11_r": lambda x, lo, hi: (x + 1) / F.lit(2.0) * (hi - lo) + lo,
+    "center_norm11": lambda x, lo, hi: ratio(x - _half(lo, hi), _half(lo, hi)),
+    "center_norm11_r": lambda x, lo, hi: x * _half(lo, hi) + _half(lo, hi),
+}
+#: Formulas over (value, mean, standard deviation).
+BY_SPREAD = {
+    "centering": lambda x, mean, std: x - mean,
+    "centering_r": lambda x, mean, std: x + mean,
+    "standardization": lambda x, mean, std: (clip(ratio(x - mean, std), F.lit(-1.0), F.lit(1.0)) + 1) / F.lit(2.0),
+    "standardization11": lambda x, mean, std: ratio(x - mean, std),
+}
+
+
 def rescale(method: str, value, s1, s2) -> Column:
-    """Apply one method; ``s1, s2`` are (mean, std) or (min, max), see METHOD_STATISTIC."""
-    x, a, b = as_col(value), as_col(s1), as_col(s2)
-    span = b - a
-    half = span / F.lit(2.0)
-    if method == "normalization":
-        return ratio(x - a, span)
-    if method == "normalization11":
-        return 2 * ratio(x - a, span) - 1
-    if method == "center_norm11":
-        return ratio(x - half, half)
-    if method == "center_norm11_r":
-        return x * half + half
-    if method == "standardization11":
-        return ratio(x - a, b)
-    if method == "standardization":
-        return (clip(ratio(x - a, b), F.lit(-1.0), F.lit(1.0)) + 1) / F.lit(2.0)
-    if method == "normalization11_r":
-        return (x + 1) / F.lit(2.0) * span + a
-    if method == "normalization_r":
-        return x * span + a
-    if method == "centering_r":
-        return x + a
-    return x - a
+    """Apply one method; ``s1, s2`` are the two numbers that ``statistic_for`` names."""
+    formulas = BY_RANGE if statistic_for(method) == "min_max" else BY_SPREAD
+    return formulas[method](as_col(value), as_col(s1), as_col(s2))
 
 
 def reverse_rescale(method: str, value, s1, s2) -> Column:
@@ -43,9 +45,11 @@ def reverse_rescale(method: str, value, s1, s2) -> Column:
 
 
 def statistic_for(method: str) -> str:
-    if method not in METHOD_STATISTIC:
-        raise ValueError(f"unknown rescaling method {method!r}")
-    return METHOD_STATISTIC[method]
+    if method in BY_RANGE:
+        return "min_max"
+    if method in BY_SPREAD:
+        return "mean_std"
+    raise ValueError(f"unknown rescaling method {method!r}")
 
 
 def to_db(value) -> Column:
