@@ -3,8 +3,9 @@
 Words and subwords are counted by Spark over all training documents.  The model
 predicts the class of the next subword (classes of equal mass in those counts);
 within its class a subword has its counted share.  Texts are scored in
-overlapping windows: the first half is context, the second half is scored, so
+overlapping windows: the first places are context, the others are scored, so
 each token is scored once, by masked attention over a whole batch of windows.
+Texts are encoded once; training and scoring read the stored ids.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 from swathframe.llm.common import dealt, fold_of, signed, slices, word_hashes
 
 #: Context tokens and scored tokens of a window; width of the model; classes of the output; rows of the input table.
-CONTEXT, SCORED, WIDTH, CLASSES, INPUTS = 16, 16, 16, 64, 4096
+CONTEXT, SCORED, WIDTH, CLASSES, INPUTS = 16, 24, 16, 64, 4096
 #: Frequent words whose counts go to every task (2 MB at most); all others are joined.
 FREQUENT = 131_072
 #: Rounds of training, each over its own share of all training rows, and sums of weights that reach the driver in a round.
 ROUNDS, SUMS = 4, 16
 #: Windows of a training step, and those that small inputs are trained on at least, by passing over them again.
-STEP, LEAST_WINDOWS = 512, 76_800
+STEP, LEAST_WINDOWS = 340, 51_200
 END_WORD = np.array([0x7E57_0E4D_0F_7E57], np.uint64)  # stands for the end token among word hashes
 _CHUNK = 1 << 21
 _COUNTS = "h long, word binary, n long"
@@ -138,19 +139,24 @@ def count_subwords(counts: DataFrame, ranks: dict[bytes, int], pattern: str) ->
 
 # --- model --------------------------------------------------------------------------------------------------------
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
+def _exp_in_place(x: np.ndarray, bound: float) -> None:
+    """exp of rows of ``x``, less the row's maximum where ``bound`` on its size leaves room for overflow."""
+    if not bound < 60:
+        x -= x.max(axis=-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[-1], x.dtype)
 
 
 def _scatter(like: np.ndarray, at: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``d`` by their place in a table like ``like``."""
-    order = np.argsort(at, kind="stable")
-    own, first = np.unique(at[order], return_index=True)
+    """Sums of the rows of ``d`` by their place in a table like ``like``; 16-bit places are sorted in linear time."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     out = np.zeros_like(like)
-    out[own] = np.add.reduceat(d[order], first, axis=0)
+    out[own[first]] = np.add.reduceat(d.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -162,15 +168,27 @@ class Adam:
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
         for n, x in g.items():
-            self.m[n] = 0.9 * self.m[n] + 0.1 * x
-            self.s[n] = 0.99 * self.s[n] + 0.01 * x * x
-            self.p[n] = (self.p[n] - rate * (self.m[n] / (1 - 0.9 ** self.t)) / (np.sqrt(self.s[n] / (1 - 0.99 ** self.t)) + 1e-7)
-                         ).astype(np.float32)
+            m, s = self.m[n], self.s[n]
+            m *= 0.9
+            s *= 0.99
+            x *= 0.1
+            m += x
+            x *= x
+            s += x  # (0.1 g)^2 = 0.01 g^2
+            move = np.sqrt(s / (1 - 0.99 ** self.t))
+            move += 1e-7
+            np.divide(m, move, out=move)
+            move *= rate / (1 - 0.9 ** self.t)
+            self.p[n] = (self.p[n] - move).astype(np.float32)
 
 
 @dataclass
 class Attention:
-    """One causal attention layer with learned distances, a path from the last token, and a class output."""
+    """One causal attention layer with learned distances, a path from the last token, and a class output.
+
+    Table ``kv`` holds a token's key and value, ``qr`` its query and its direct
+    path, so a window is looked up once for each pair.
+    """
 
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
@@ -180,48 +198,59 @@ class Attention:
 
         def table(*shape):
             return (rng.normal(size=shape) * 0.1).astype(np.float32)
-        return cls({"q": table(INPUTS, WIDTH), "k": table(INPUTS, WIDTH), "v": table(INPUTS, WIDTH), "r": table(INPUTS, WIDTH),
+        return cls({"kv": table(INPUTS, 2 * WIDTH), "qr": table(INPUTS, 2 * WIDTH),
                     "d": table(CONTEXT + SCORED), "u": table(WIDTH, classes), "c": np.zeros(classes, np.float32)})
 
     def logits(self, window: np.ndarray):
-        """Class scores of the tokens that follow the last ``SCORED`` places of each window (batch, places).
+        """Class scores of the tokens that follow the last ``SCORED`` places of each window, one row for each place,
+        and a bound on their size.
 
         Place i attends to itself and all before it in the window; later places
         are masked.
         """
-        p, last = self.p, window[:, CONTEXT:]
-        q, k, v = p["q"][last], p["k"][window], p["v"][window]
+        p = self.p
+        kv, qr = p["kv"].take(window, axis=0), p["qr"].take(window[:, CONTEXT:], axis=0)
+        k, v, r = kv[..., :WIDTH], kv[..., WIDTH:], qr[..., WIDTH:]
+        q = qr[..., :WIDTH] * p["kv"].dtype.type(WIDTH ** -0.5)
         back = np.arange(CONTEXT, CONTEXT + SCORED)[:, None] - np.arange(CONTEXT + SCORED)[None, :]
-        score = q @ k.transpose(0, 2, 1)
-        score /= np.float32(np.sqrt(WIDTH))
-        score += np.where(back < 0, np.float32(-1e9), p["d"][np.maximum(back, 0)])
-        a = _softmax(score)
-        h = a @ v
-        h += p["r"][last]
+        a = q @ k.transpose(0, 2, 1)
+        bound = max(-a.min(initial=0), a.max(initial=0)) + np.abs(p["d"]).max()
+        a += np.where(back < 0, p["d"].dtype.type(-1e9), p["d"][np.maximum(back, 0)])
+        _exp_in_place(a, bound)
+        a /= _row_sums(a)[..., None]
+        met = a @ v
+        h = met + r
         np.tanh(h, out=h)
-        return h @ p["u"] + p["c"], (q, k, v, back, a, h)
+        h = h.reshape(-1, WIDTH)
+        x = h @ p["u"]
+        x += p["c"]
+        return x, float(np.abs(p["u"]).sum(0).max() + np.abs(p["c"]).max()), (q, k, v, back, a, met, h)
 
     def gradients(self, window: np.ndarray, target: np.ndarray) -> tuple[dict, float]:
         """Gradients of the mean negative log likelihood of ``target`` (-1: not counted)."""
-        out, (q, k, v, back, a, h) = self.logits(window)
-        prob = _softmax(out)
-        wanted, p, last = target >= 0, self.p, window[:, CONTEXT:]
-        n = max(int(wanted.sum()), 1)
-        b, i = np.nonzero(wanted)
-        loss = float(-np.log(prob[b, i, target[b, i]] + 1e-12).sum() / n)
-        out = prob.copy()
-        out[b, i, target[b, i]] -= 1
-        out *= (wanted / np.float32(n))[:, :, None]
-        g = {"u": h.reshape(-1, WIDTH).T @ out.reshape(-1, out.shape[2]), "c": out.sum((0, 1))}
-        dz = (out @ p["u"].T) * (1 - h * h)
-        da = dz @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        ds[:, back < 0] = 0
-        g["d"] = np.bincount(np.maximum(back, 0).ravel(), ds.sum(0).ravel(), CONTEXT + SCORED).astype(np.float32)
-        ds = ds / np.float32(np.sqrt(WIDTH))
-        for name, at, d in (("q", last, ds @ k), ("k", window, ds.transpose(0, 2, 1) @ q),
-                            ("v", window, a.transpose(0, 2, 1) @ dz), ("r", last, dz)):
-            g[name] = _scatter(p[name], at.ravel(), d.reshape(-1, WIDTH))
+        e, bound, (q, k, v, back, a, met, h) = self.logits(window)
+        p, flat = self.p, target.ravel()
+        row = np.flatnonzero(flat >= 0)
+        n, at = max(len(row), 1), flat[row]
+        if not bound < 60:
+            e -= e.max(axis=-1, keepdims=True)
+        chosen = e[row, at]
+        np.exp(e, out=e)
+        total = _row_sums(e)
+        loss = float((np.log(total[row]) - chosen).sum() / n)
+        e *= ((flat >= 0) / (total * n)).astype(e.dtype)[:, None]
+        e[row, at] -= e.dtype.type(1 / n)
+        g = {"u": h.T @ e, "c": np.ones(len(e), e.dtype) @ e}
+        dz = ((e @ p["u"].T) * (1 - h * h)).reshape(q.shape)
+        ds = dz @ v.transpose(0, 2, 1)
+        ds -= _row_sums(dz * met)[..., None]
+        ds *= a  # nothing where masked: there the share is 0
+        g["d"] = np.bincount(np.maximum(back, 0).ravel(), (np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)),
+                             CONTEXT + SCORED).astype(ds.dtype)
+        kv = np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2)
+        qr = np.concatenate([(ds @ k) * ds.dtype.type(WIDTH ** -0.5), dz], axis=2)
+        for name, at, d in (("kv", window, kv), ("qr", window[:, CONTEXT:], qr)):
+            g[name] = _scatter(p[name], at.ravel(), d.reshape(-1, 2 * WIDTH))
         return g, loss
 
     def train(self, window: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.03,
@@ -280,20 +309,20 @@ class LanguageModel:
         real = target < size[text][:, None]
         return window, np.where(real, ids[np.where(real, begin[text][:, None] + target, 0)], -1), text
 
-    def log10_texts(self, ids: np.ndarray, begin: np.ndarray, batch: int = 512) -> np.ndarray:
+    def log10_texts(self, ids: np.ndarray, begin: np.ndarray, batch: int = 128) -> np.ndarray:
         """log10 probability of each text, every token scored in exactly one window."""
         window, target, text = self.windows(ids, begin)
         out = np.zeros(len(begin))
         for lo in range(0, len(window), batch):
-            x, _ = self.attention.logits(window[lo:lo + batch])
-            want = target[lo:lo + batch]
+            x, bound, _ = self.attention.logits(window[lo:lo + batch])
+            want = target[lo:lo + batch].ravel()
             real = np.maximum(want, 0)
-            b, i = np.ogrid[:len(want), :SCORED]
-            x -= x.max(axis=-1, keepdims=True)
-            chosen = x[b, i, self.class_of[real]]  # log softmax of the wanted class only
+            if not bound < 60:
+                x -= x.max(axis=-1, keepdims=True)
+            chosen = x[np.arange(len(x)), self.class_of[real]]  # log softmax of the wanted class only
             np.exp(x, out=x)
-            log = np.where(want >= 0, (chosen - np.log(x.sum(axis=-1))) / np.log(10.0) + self.log_share[real], 0.0)
-            out += np.bincount(text[lo:lo + batch], log.sum(1), len(begin))
+            log = np.where(want >= 0, (chosen - np.log(_row_sums(x))) / np.log(10.0) + self.log_share[real], 0.0)
+            out += np.bincount(text[lo:lo + batch], log.reshape(-1, SCORED).sum(1), len(begin))
         return out
 
     def train(self, ids: np.ndarray, begin: np.ndarray) -> list[float]:
@@ -317,9 +346,50 @@ def _token_ids(texts: list[bytes], coder: Subwords, hashed=None) -> tuple[np.nda
     return ids, begin
 
 
+def _id_type(size: int) -> np.dtype:
+    return np.dtype("<u2" if size <= 1 << 16 else "<i4")
+
+
+def _packed(ids: np.ndarray, begin: np.ndarray, size: int) -> pa.Array:
+    """Each text's ids in one binary value; ``size`` is the length of the vocabulary."""
+    data = ids.astype(_id_type(size))
+    return pa.array([own.tobytes() for own in np.split(data, begin[1:])], pa.binary())
+
+
+def _unpacked(batches, size: int):
+    """(rows, ids, begin) for some texts at a time; the last column holds their ids."""
+    kind = _id_type(size)
+    for batch in slices(batches):
+        texts, lo, held = batch.column(batch.num_columns - 1).to_pylist(), 0, 0
+        for hi, own in enumerate(texts, 1):
+            held += len(own)
+            if held > _CHUNK or hi == len(texts):
+                length = np.array([len(x) // kind.itemsize for x in texts[lo:hi]], np.int64)
+                yield (batch.slice(lo, hi - lo), np.frombuffer(b"".join(texts[lo:hi]), kind).astype(np.int64),
+                       np.cumsum(length) - length)
+                lo, held = hi, 0
+
+
 def train_rows(training: DataFrame, model: LanguageModel, ranks: dict[bytes, int], pattern: str, tokens: int,
                rate: float = 0.03) -> int:
-    """Trains the attention of ``model`` on all rows of ``training``; returns the tokens it was trained on.
+    """``train_ids`` over the texts of ``training``, encoded and stored; returns the tokens it was trained on."""
+    def run(batches):
+        coder = Subwords(ranks, pattern)
+        for batch in slices(batches, 2500):
+            done = 0
+            for texts in _chunks(batch.column(1).to_pylist()):
+                yield pa.record_batch([batch.column(0).slice(done, len(texts)), _packed(*_token_ids(texts, coder), coder.size)], names=["round", "ids"])
+                done += len(texts)
+
+    return train_ids(dealt(training.select(_round(), "text").mapInArrow(run, "round long, ids binary")), model, tokens, rate)
+
+
+def _round():
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("round")
+
+
+def train_ids(training: DataFrame, model: LanguageModel, tokens: int, rate: float = 0.03) -> int:
+    """Trains the attention of ``model`` on all rows of ``training`` (round, ids); returns the tokens it was trained on.
 
     Each row belongs to one of ``ROUNDS`` rounds.  A task runs steps over the
     windows of its rows from the weights of the round before and returns
@@ -333,21 +403,18 @@ def train_rows(training: DataFrame, model: LanguageModel, ranks: dict[bytes, int
     trained = 0
     for r in range(ROUNDS):
         def run(batches, r=r):
-            coder, net = Subwords(ranks, pattern), Attention(dict(model.attention.p))
-            part = TaskContext.get().partitionId()
+            net, part = Attention(dict(model.attention.p)), TaskContext.get().partitionId()
             adam, rng, used, n = Adam(net.p), np.random.default_rng((r, part)), np.zeros(INPUTS), 0
-            for batch in slices(batches, 2500):
-                for texts in _chunks(batch.column(0).to_pylist()):
-                    ids, begin = _token_ids(texts, coder)
-                    window, target, _ = model.windows(ids, begin)
-                    target = np.where(target >= 0, model.class_of[np.maximum(target, 0)], -1)
-                    used += np.bincount(window.ravel(), minlength=INPUTS)
-                    n += len(ids)
-                    for _ in range(passes):
-                        order = rng.permutation(len(window))
-                        for lo in range(0, len(order), step):
-                            own = order[lo:lo + step]
-                            adam.step(net.gradients(window[own], target[own])[0], rate * (1 - r / ROUNDS))
+            for _, ids, begin in _unpacked(batches, len(model.class_of)):
+                window, target, _ = model.windows(ids, begin)
+                target = np.where(target >= 0, model.class_of[np.maximum(target, 0)], -1)
+                used += np.bincount(window.ravel(), minlength=INPUTS)
+                n += len(ids)
+                for _ in range(passes):
+                    order = rng.permutation(len(window))
+                    for lo in range(0, len(order), step):
+                        own = order[lo:lo + step]
+                        adam.step(net.gradients(window[own], target[own])[0], rate * (1 - r / ROUNDS))
             if n:
                 out = [net.p[x] * (used[:, None] if len(net.p[x]) == INPUTS else n) for x in names]
                 vector = np.concatenate([*(x.ravel() for x in out), used, [n]])
@@ -361,7 +428,7 @@ def train_rows(training: DataFrame, model: LanguageModel, ranks: dict[bytes, int
             if part is not None:
                 yield pa.record_batch([pa.array([part]), pa.array([total.tobytes()], pa.binary())], names=["part", "w"])
 
-        own = training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r).select("text")
+        own = training.filter(F.col("round") == r).select("ids")
         rows = (own.mapInArrow(run, "part long, w binary").repartition(SUMS).sortWithinPartitions("part")
                 .mapInArrow(add, "part long, w binary").collect())  # SUMS vectors of fixed size
         if rows:
@@ -416,13 +483,12 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
     times[-1] += ends
     coder = Subwords(ranks, pattern)
     model = LanguageModel.fit_counts(times, coder.opens)
-    train_rows(training, model, ranks, pattern, int(times.sum()))
 
-    def run(batches):
+    def encode(batches):
         coder, pid, row = Subwords(ranks, pattern), TaskContext.get().partitionId(), 0
         for batch in slices(batches, 2500):
             done = 0
-            for texts in _chunks(batch.column(2).to_pylist()):
+            for texts in _chunks(batch.column(3).to_pylist()):
                 hashed = _hashed(texts)
                 _, h, inverse, per_text = hashed
                 at = np.minimum(np.searchsorted(top_h, signed(h)), len(top_h) - 1)
@@ -438,20 +504,30 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
                     u, c = np.unique(w[n[w] == 0], return_counts=True)
                     rare.append(signed(h[u])), rare_n.append(c)
                 yield pa.record_batch([
-                    pa.array((pid << 40) + row + np.arange(len(texts))), *(batch.column(c).slice(done, len(texts)) for c in (0, 1)),
+                    pa.array((pid << 40) + row + np.arange(len(texts))), *(batch.column(c).slice(done, len(texts)) for c in (0, 1, 2)),
                     pa.array(per_text + 1), pa.array(known), pa.array(base),
-                    pa.array(model.log10_texts(*_token_ids(texts, coder, hashed))),
-                    pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                    pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64())),
+                    _packed(*_token_ids(texts, coder, hashed), coder.size)],
+                    names=["row", "doc_id", "held_out", "round", "n_tokens", "n_known", "base", "rare", "times", "ids"])
                 done += len(texts)
                 row += len(texts)
 
-    scored = dealt(own.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-                                       "score double, rare array<long>, times array<long>"))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", "x.rare", "x.times")
+    encoded = dealt(own.select("doc_id", "held_out", _round(), "text").mapInArrow(
+        encode, "row long, doc_id long, held_out boolean, round long, n_tokens long, n_known long, base double, "
+                "rare array<long>, times array<long>, ids binary"))
+    train_ids(encoded.filter(~F.col("held_out")), model, int(times.sum()))
+
+    def score(batches):
+        for batch, ids, begin in _unpacked(batches, len(model.class_of)):
+            yield pa.record_batch([*batch.columns[:-1], pa.array(model.log10_texts(ids, begin))],
+                                  names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids").mapInArrow(
+        score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", "x.rare", "x.times")
     more = (rare.join(counts.select(F.col("h").alias("rare"), "n"), "rare").groupBy("row")
             .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain")))
-    return (scored.drop("rare", "times").join(more, "row", "left")
+    return (scored.join(more, "row", "left")
             .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
                     F.lit(total).cast("long").alias("train_tokens"),
                     (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score"))
