@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from queries.fixtures import SQL_IN_ZONE, SQL_SCENES, ZONE, rd, rounded, scenes
 from queries.registry import query
 from swathframe.functions import names as nm
-from swathframe.functions.geometry import box, box_area
+from swathframe.functions.geometry import box, box_area, point
 from swathframe.operators import matching as mt
 from swathframe.operators import scenes as sc
+from swathframe.operators.footprint_union import union_area
 from swathframe.plans import scene_selection as ss
 
 
@@ -227,6 +228,20 @@ def zone_union_coverage(spark, sf):
     return out.select("sensor", "n_cells", rounded("area").alias("area"), "covers")
 
 
+@query("footprint_union_area", f"""WITH {SQL_SCENES}, boxes AS (SELECT DISTINCT sensor, xmin, xmax, -35e0+(scene_id%5)*0.02e0 AS y0, -34.9e0+(scene_id%5)*0.02e0 AS y1 FROM scenes),
+  xs AS (SELECT sensor, xmin AS x FROM boxes UNION SELECT sensor, xmax FROM boxes), ys AS (SELECT sensor, y0 AS y FROM boxes UNION SELECT sensor, y1 FROM boxes),
+  xc AS (SELECT sensor, x, lead(x) OVER (PARTITION BY sensor ORDER BY x) AS x2 FROM xs), yc AS (SELECT sensor, y, lead(y) OVER (PARTITION BY sensor ORDER BY y) AS y2 FROM ys),
+  covered AS (SELECT DISTINCT xc.sensor, x, x2, y, y2 FROM xc JOIN yc USING (sensor) JOIN boxes b ON b.sensor = xc.sensor AND xmin < (x+x2)/2 AND xmax > (x+x2)/2 AND y0 < (y+y2)/2 AND y1 > (y+y2)/2)
+  SELECT sensor, {rd('SUM((x2-x)*(y2-y))')} AS area, SUM((x2-x)*(y2-y)) >= 0.5e0*1.6e0*0.3e0 AS covers FROM covered GROUP BY sensor""")
+def footprint_union_area(spark, sf):
+    """Slanted footprints of shifted rows; one shear for all keeps every area, so the SQL can count upright boxes."""
+    y0, y1 = (F.lit(y) + (F.col("scene_id") % 5) * F.lit(0.02) for y in (-35.0, -34.9))
+    corners = [(x, y) for x, y in (("xmin", y0), ("xmax", y0), ("xmax", y1), ("xmin", y1))]
+    ring = F.array(*(point(F.col(x) + F.lit(0.3) * (y + F.lit(35.0)), y) for x, y in corners))
+    out = union_area(scenes(spark, sf).withColumn("ring", ring), (148.8, -35.1, 150.4, -34.8), keys=("sensor",), factor=0.5)
+    return out.select("sensor", rounded("area").alias("area"), "covers")
+
+
 @query("best_scene_per_group", f"""WITH {SQL_SCENES}, c AS (SELECT * FROM scenes WHERE sensor = 2 AND cloud_pct < 20),
   r AS (SELECT *, row_number() OVER (PARTITION BY tile_no ORDER BY acquired_at, scene_id) AS b, row_number() OVER (PARTITION BY tile_no ORDER BY acquired_at DESC, scene_id) AS e,
     row_number() OVER (PARTITION BY tile_no ORDER BY cloud_pct, scene_id) AS l FROM c)
