@@ -6,6 +6,7 @@ from queries.fixtures import SQL_BANDS, SQL_PIXELS, bands13, pixels, rd, rounded
 from queries.indices import KEYS
 from queries.registry import query
 from swathframe.operators import focal as fo
+from swathframe.operators.speckle import refined_lee_filter
 
 SCENE = ["scene_id", "row", "col"]
 SCENE_SQL = 'scene_id, "row", col'
@@ -116,3 +117,53 @@ _OPENED, _LAST = opened_sql("bands13", "b4")
 def dilated_erosion(spark, sf):
     from swathframe.operators.clouds import dilated_erosion as op
     return op(bands13(spark, sf).select(*SCENE, "b4"), "b4").select(*SCENE, rounded("opened").alias("opened"))
+
+
+SIDES = [(0, 1), (-1, 1), (-1, 0), (-1, -1)]
+PARTS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+SQL_UNEVEN = """z AS (SELECT scene_id, "row", col, sqrt(b8+0.01e0)+0.01e0*(("row"*37+col*101+scene_id*13)%997)/997 AS z FROM bands13)"""
+
+
+def refined_lee_sql(noise):
+    """Nine parts and eight halves of each window as filtered aggregates; the strongest change and its nearer side choose one."""
+    def part(i, j):
+        return f"p{i + 1}{j + 1}"
+
+    def toward(r, c):
+        return "(" + "+".join(part(i, j) for i, j in PARTS if i * r + j * c > 0) + ")"
+
+    inside = {part(i, j): f'abs(b."row"-a."row"-({2 * i})) <= 1 AND abs(b.col-a.col-({2 * j})) <= 1' for i, j in PARTS}
+    half = {f"{n}{k}": f'(b."row"-a."row")*({f * r})+(b.col-a.col)*({f * c}) >= 0'
+            for k, (r, c) in enumerate(SIDES) for n, f in (("s", 1), ("t", -1))}
+    found = ", ".join([f"AVG(b.z) FILTER ({c}) AS {n}, VAR_POP(b.z) FILTER ({c}) AS v{n}" for n, c in inside.items()]
+                      + [f"AVG(b.z) FILTER ({c}) AS m{n}, VAR_POP(b.z) FILTER ({c}) AS v{n}" for n, c in half.items()])
+    change = [f"abs({toward(r, c)}-{toward(-r, -c)})" for r, c in SIDES]
+    strongest = f"greatest({', '.join(change)})"
+
+    def chosen(x):
+        sides = " ".join(f"WHEN {g} = {strongest} THEN CASE WHEN abs({part(r, c)}-p11) <= abs({part(-r, -c)}-p11) THEN {x}s{k} ELSE {x}t{k} END"
+                         for k, (g, (r, c)) in enumerate(zip(change, SIDES)))
+        return f"CASE WHEN n < 49 THEN {x} {sides} END"
+
+    relative = ", ".join(f"v{part(i, j)}/({part(i, j)}*{part(i, j)})" for i, j in PARTS)
+    measured = f"CASE WHEN n < 49 THEN v/(m*m) ELSE list_sum(list_slice(list_sort([{relative}]), 1, 5))/5 END"
+    window = window_sql(f"MAX(a.z) AS z, COUNT(b.z) AS n, AVG(b.z) AS m, VAR_POP(b.z) AS v, {found}", square(3), "z")
+    return f"""WITH {SQL_BANDS}, {SQL_UNEVEN}, w AS ({window}),
+  c AS (SELECT {SCENE_SQL}, z, {chosen('m')} AS mean, {chosen('v')} AS var, {noise or measured} AS noise FROM w)
+  SELECT {SCENE_SQL}, {rd(mmse_sql('z', 'mean', 'var', 'noise'), 7)} AS filtered FROM c"""
+
+
+def uneven(spark, sf):
+    step = (F.col("row") * 37 + F.col("col") * 101 + F.col("scene_id") * 13) % 997
+    return bands13(spark, sf).select(*SCENE, (F.sqrt(F.col("b8") + 0.01) + F.lit(0.01) * step / 997).alias("z"))
+
+
+@query("refined_lee_filter", refined_lee_sql("0.01e0"))
+def refined_lee(spark, sf):
+    return refined_lee_filter(uneven(spark, sf), "z", 100.0, ("scene_id",), block=20).select(*SCENE, rounded("filtered", 7).alias("filtered"))
+
+
+@query("refined_lee_filter_measured", refined_lee_sql(None))
+def refined_lee_measured(spark, sf):
+    """The noise is measured in the parts of each window."""
+    return refined_lee_filter(uneven(spark, sf), "z", None, ("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))
