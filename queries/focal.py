@@ -6,7 +6,7 @@ from queries.fixtures import SQL_BANDS, SQL_PIXELS, bands13, pixels, rd, rounded
 from queries.indices import KEYS
 from queries.registry import query
 from swathframe.operators import focal as fo
-from swathframe.operators.speckle import refined_lee_filter
+from swathframe.operators import speckle
 
 SCENE = ["scene_id", "row", "col"]
 SCENE_SQL = 'scene_id, "row", col'
@@ -86,7 +86,7 @@ def mmse_sql(z, m, v, noise):
   SELECT {SCENE_SQL}, {rd(mmse_sql('z', 'm', '(m2-m*m)', '0.1e0'), 7)} AS filtered FROM w""")
 def lee_filter(spark, sf):
     z = bands13(spark, sf).select(*SCENE, F.sqrt(F.col("b8") + 0.01).alias("z"))
-    return fo.lee_filter(z, "z", 9, looks=10.0, keys=("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))
+    return speckle.lee_filter(z, "z", 9, looks=10.0, keys=("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))
 
 
 @query("lee_sigma_filter", f"""WITH {SQL_BANDS}, z AS (SELECT scene_id, "row", col, sqrt(b8+0.01e0) AS z FROM bands13),
@@ -97,7 +97,7 @@ def lee_filter(spark, sf):
   SELECT {SCENE_SQL}, {rd(f"CASE WHEN n > 0 THEN {mmse_sql('z', 'm', '(m2-m*m)', '0.67092481e0')} ELSE p END", 7)} AS filtered FROM s""")
 def lee_sigma_filter(spark, sf):
     z = bands13(spark, sf).select(*SCENE, F.sqrt(F.col("b8") + 0.01).alias("z"))
-    return fo.lee_sigma_filter(z, "z", keys=("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))
+    return speckle.lee_sigma_filter(z, "z", keys=("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))
 
 
 def opened_sql(table, value):
@@ -160,10 +160,10 @@ def uneven(spark, sf):
 
 @query("refined_lee_filter", refined_lee_sql("0.01e0"))
 def refined_lee(spark, sf):
-    return refined_lee_filter(uneven(spark, sf), "z", 100.0, ("scene_id",), block=20).select(*SCENE, rounded("filtered", 7).alias("filtered"))
+    return speckle.refined_lee_filter(uneven(spark, sf), "z", 100.0, ("scene_id",), block=20).select(*SCENE, rounded("filtered", 7).alias("filtered"))
 
 
 @query("refined_lee_filter_measured", refined_lee_sql(None))
 def refined_lee_measured(spark, sf):
     """The noise is measured in the parts of each window."""
-    return refined_lee_filter(uneven(spark, sf), "z", None, ("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))
+    return speckle.refined_lee_filter(uneven(spark, sf), "z", None, ("scene_id",)).select(*SCENE, rounded("filtered", 7).alias("filtered"))

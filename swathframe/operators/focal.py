@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swathframe.constants import SIGMA_RANGE_90
 from swathframe.functions.common import as_col
 from swathframe.operators.layout import attach
 
@@ -276,43 +275,3 @@ def opened(df: DataFrame, value: str, erode: float, dilate: float, iterations: i
     for fold, runs in passes:
         src = _gather(src, {"_v": fold}, run_offsets(runs), keys, block, carry, margin=reach).filter("_real")
     return _owned(src, block, mirror=False).select(*base, F.col("_v").alias(name))
-
-
-def lee_filter(df: DataFrame, value: str, size: int = 9, looks: float = 1.0, keys=("tile_id",),
-               name: str = "filtered") -> DataFrame:
-    """Minimum-mean-square-error speckle filter for multiplicative noise (Lee 1980)."""
-    z = F.col(value)
-    out = focal_square(df, {"_m": z, "_m2": z * z}, "mean", size // 2, keys)
-    return out.withColumn(name, _mmse(z, F.col("_m"), F.col("_m2") - F.col("_m") * F.col("_m"),
-                                      1.0 / looks)).drop("_m", "_m2")
-
-
-def _mmse(z: Column, mean: Column, variance: Column, noise: float) -> Column:
-    signal = F.greatest((variance - mean * mean * F.lit(noise)) / F.lit(1.0 + noise), F.lit(0.0))
-    gain = F.coalesce(F.try_divide(signal, variance), F.lit(0.0))
-    return mean + F.least(gain, F.lit(1.0)) * (z - mean)
-
-
-def lee_sigma_filter(df: DataFrame, value: str, size: int = 9, target: int = 5, looks: float = 1.0,
-                     low: float | None = None, high: float | None = None, std: float | None = None,
-                     keys=("tile_id",), name: str = "filtered") -> DataFrame:
-    """Lee filter over the neighbours inside the sigma range of an a-priori mean (Lee et al. 2009).
-
-    The a-priori mean is the plain filter over the ``target`` window; the
-    estimate uses only window values in [low, high] times that mean.
-    """
-    low = SIGMA_RANGE_90["low"] if low is None else low
-    high = SIGMA_RANGE_90["high"] if high is None else high
-    std = SIGMA_RANGE_90["std"] if std is None else std
-    out = lee_filter(df, value, target, looks, keys, "_prior")
-    out = focal_runs(out, {"_near": F.col(value)}, "collect", square_runs(size // 2), keys)
-    inside = F.filter("_near", lambda v: (v >= F.lit(low) * F.col("_prior")) & (v <= F.lit(high) * F.col("_prior")))
-    out = out.withColumn("_in", inside)
-    n = F.size("_in")
-    add = F.aggregate("_in", F.lit(0.0), lambda a, v: a + v)
-    add2 = F.aggregate("_in", F.lit(0.0), lambda a, v: a + v * v)
-    out = out.withColumn("_mean", F.try_divide(add, n.cast("double"))).withColumn(
-        "_var", F.try_divide(add2, n.cast("double")) - F.col("_mean") * F.col("_mean"))
-    estimate = _mmse(F.col(value), F.col("_mean"), F.col("_var"), std * std)
-    return out.withColumn(name, F.when(n > 0, estimate).otherwise(F.col("_prior"))).drop(
-        "_prior", "_near", "_in", "_mean", "_var")

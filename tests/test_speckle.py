@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from swathframe.operators.speckle import half_window, refine, refined_lee_filter
+from swathframe.operators.speckle import half_window, lee_filter, lee_sigma_filter, refine, refined_lee_filter, smooth
 
 
 def filtered(spark, array, looks, block=256):
@@ -52,3 +52,14 @@ def test_absent_pixels(spark):
         assert np.allclose(got[~np.isnan(got)], 5.0) and np.isnan(got).sum() == 1
     none = spark.createDataFrame([], "tile_id int, row int, col int, v double")
     assert refined_lee_filter(none, "v").count() == 0
+
+
+def test_plain_and_sigma_filters_keep_digits(spark):
+    rng = np.random.default_rng(6)
+    image = 1e6 + 1e-3 * rng.normal(size=(12, 12))
+    assert np.abs(smooth(np.pad(image, 4, constant_values=np.nan), 9, 1e24, 4) - image).max() < 1e-6
+    df = spark.createDataFrame([(1, i, j, float(v)) for (i, j), v in np.ndenumerate(image)], "tile_id int, row int, col int, v double")
+    for out in (lee_filter(df, "v", 9, 1e24), lee_filter(df, "v", 9, 1e24, block=5),
+                lee_sigma_filter(df, "v", looks=1e24, low=0.5, high=2.0, std=1e-12, block=5)):
+        got = {(r["row"], r["col"]): r.filtered for r in out.collect()}
+        assert max(abs(got[i, j] - v) for (i, j), v in np.ndenumerate(image)) < 1e-6
