@@ -21,8 +21,10 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 from swathframe.llm.common import space_chunks
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries of a task's cache of encoded words; only speed depends on it.
-CACHE = 300_000
+#: Bytes of a task's cache of encoded words, and the longest word (in characters) that is kept there; only speed depends on them.
+CACHE, LONGEST = 128 << 20, 64
+#: Bytes of Python objects that an entry takes besides its characters.
+_ENTRY = 320
 
 
 def byte_characters() -> list[str]:
@@ -71,6 +73,7 @@ class Codec:
         self.whole = {t: i for i, t in enumerate(self.token_bytes)}
         self.first: dict[str, tuple] = {}
         self.later: dict[str, tuple] = {}
+        self.held = 0  # bytes of both caches
 
     def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
         """A pre-token that is itself a token is that token; others are merged by the model."""
@@ -88,32 +91,43 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
-    def _learn(self, cache: dict, new: list[str], lead: str) -> None:
+    def _forms(self, new: list[str], lead: str) -> dict[str, tuple]:
         """Encoded forms (ids as text, count, decoded bytes) of pieces of text."""
         cut = [self.pattern.findall(lead + x) for x in new]
         known = list({p for c in cut for p in c})
         ids = dict(zip(known, self.encode_pretokens(known)))
+        out = {}
         for x, c in zip(new, cut):
             own = [i for p in c for i in ids[p]]
-            cache[x] = (" ".join(map(str, own)), len(own), self.decode(own))
+            out[x] = (" ".join(map(str, own)), len(own), self.decode(own))
+        return out
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(tokens, digest of the ids, digest of the decoded bytes) of each text.
 
         Words recur, so a text is cut before single spaces, where a pre-token
-        always begins, and each distinct piece is encoded once.
+        always begins, and each distinct piece is encoded once.  Long pieces
+        (texts without blanks) are forgotten after this call.
         """
         cut = []
         for t in texts:
             c = space_chunks(t or "")
             cut.append((c[:1], c[1:]) if c is not None else (self.pattern.findall(t), []))
+        if self.held > CACHE:
+            self.first.clear()
+            self.later.clear()
+            self.held = 0
+        long = []
         for cache, lead, side in ((self.first, "", 0), (self.later, " ", 1)):
-            if len(cache) > CACHE:
-                cache.clear()
-            self._learn(cache, list({x for c in cut for x in c[side]} - cache.keys()), lead)
+            new = list({x for c in cut for x in c[side]} - cache.keys())
+            forms = self._forms([x for x in new if len(x) <= LONGEST], lead)
+            self.held += sum([_ENTRY + 2 * len(x) + len(f[0]) + len(f[2]) for x, f in forms.items()])
+            cache.update(forms)
+            long.append(self._forms([x for x in new if len(x) > LONGEST], lead))
         out = []
-        for head, tail in cut:
-            got = [self.first[x] for x in head] + [self.later[x] for x in tail]
+        for pieces in cut:
+            got = [cache[x] if len(x) <= LONGEST else once[x]
+                   for own, cache, once in zip(pieces, (self.first, self.later), long) for x in own]
             ids = " ".join([x[0] for x in got if x[1]])
             out.append((sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(),
                         hashlib.sha256(b"".join([x[2] for x in got])).hexdigest()))
