@@ -29,8 +29,8 @@ def nearest_scene_join(s2: DataFrame, s1: DataFrame, max_days: int, direction: s
     No scene pairs are formed.  Relative to one radar *day*, every radar scene
     later than the optical scene's time of day lies in one search window and
     every earlier one in the next, so a running best over the time of day
-    answers both.  Each optical scene probes ``2 * max_days + 1`` days; groups
-    are (key, day), sorted once in each direction.
+    answers both.  Each optical scene probes ``max_days + 1`` days on each side
+    searched, its own day once; groups are (key, day), sorted once in each direction.
     """
     if direction not in ("before", "after", "both"):
         raise ValueError(f"direction must be before, after or both, not {direction!r}")
@@ -74,6 +74,11 @@ def nearest_scene_join(s2: DataFrame, s1: DataFrame, max_days: int, direction: s
     return _pick(found.withColumnRenamed("_s2", "s2_id"), factor)
 
 
+def _days(max_days: int, direction: str) -> tuple[int, int]:
+    """First and last day searched, counted from the optical scene's own."""
+    return (0 if direction == "after" else -max_days), (0 if direction == "before" else max_days)
+
+
 def cover_cells(df: DataFrame, cell: float, corners=("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
     """One row for each grid cell of ``cell`` degrees that the box of a row touches, as columns ``_cx`` and ``_cy``."""
     index = {c: F.floor(F.col(c) / F.lit(float(cell))).cast("long") for c in corners}
@@ -92,49 +97,54 @@ def nearest_scene_by_footprint(s2: DataFrame, s1: DataFrame, max_days: int, dire
     ``ring`` both also have a ring of points in that column, and the rings have
     to meet, not only the boxes.  A scene with a null corner meets nothing.
 
-    Both sides are spread over the grid cells that their boxes touch and the
-    optical side over the days it searches; they meet in an equi-join on cell
-    and day.  A pair that shares several cells counts only in the cell of the
-    lower left corner of its common box, so nothing has to be made distinct.
-    Pairs shrink to the best of each search window in the join's own task.  A
-    cell should be about as large as a footprint.
+    No scene pairs are formed.  Scenes of one place (box, and ring) and time are
+    one row, and of a place and day only radar scenes stay that are the best
+    up to or from some time on.  These and the distinct wanted places of each
+    searched day are spread over the grid cells that their boxes touch and meet
+    in an equi-join on cell and day.  A meeting counts only in the cell of the
+    lower left corner of the common box, so nothing has to be made distinct.
+    ``nearest_scene_join`` then searches with the wanted place as the key.  The
+    work grows with scenes times the places that they meet in a day; where no
+    two scenes share a place, those are as many as meeting scenes.  A cell
+    should be about as large as a footprint.
     """
     if direction not in ("before", "after", "both"):
         raise ValueError(f"direction must be before, after or both, not {direction!r}")
     if max_days < 1:
         raise ValueError("max_days must be at least 1")
     corners, size = ["xmin", "ymin", "xmax", "ymax"], F.lit(float(cell))
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-
-    def side(df, name, *more):
-        rings = [F.col(ring).alias(f"_{name}ring")] if ring else []
-        return df.select(F.col("scene_id").alias(f"{name}_id"), micros.alias(f"_{name}t"),
-                         F.struct(*corners).alias(f"_{name}box"), *corners, *rings, *more)
-
-    first, last = -max_days if direction != "after" else 0, max_days if direction != "before" else 0
-    optical = side(s2, "s2", F.col("zone_area").cast("double").alias("zone_area"))
-    own_day = F.floor(F.col("_s2t") / _DAY_US).cast("long")
-    probes = cover_cells(optical, cell).withColumn("_day", F.explode(F.sequence(own_day + first, own_day + last))).drop(*corners)
-    radar = cover_cells(side(s1, "s1", F.col("area").cast("double").alias("_area")), cell).withColumn(
-        "_day", F.floor(F.col("_s1t") / _DAY_US).cast("long")).drop(*corners)
-    o, r, apart = F.col("_s2box"), F.col("_s1box"), F.col("_s1t") - F.col("_s2t")
+    place = [*corners, *([ring] if ring else [])]
+    stamp = F.col(time).cast("timestamp")
+    day = F.floor(F.unix_micros("_time") / _DAY_US).cast("long")
+
+    optical = s2.select("scene_id", "zone_area", *place, stamp.alias("_time"))
+    first, last = _days(max_days, direction)
+    wanted = (optical.select(*place, day.alias("_own")).distinct()
+              .select(*place, F.explode(F.sequence(F.col("_own") + first, F.col("_own") + last)).alias("_day")).distinct())
+    best = F.struct((-F.col("area").cast("double")).alias("neg_area"), F.col("scene_id").alias("s1_id"))
+    radar = (s1.select(*place, stamp.alias("_time"), best.alias("_best")).filter("_time is not null and _best.neg_area is not null")
+             .groupBy(*place, day.alias("_day"), "_time").agg(F.min("_best").alias("_best")))
+    radar = _useful(radar, place).select(F.struct(*corners).alias("_s1box"), *([F.col(ring).alias("_s1ring")] if ring else []),
+                                         *corners, "_day", "_time", "_best")
+    probes = cover_cells(wanted.withColumn("_s2box", F.struct(*corners)), cell)
+    o, r = F.col("_s2box"), F.col("_s1box")
     home = ((F.col("_cx") == F.floor(F.greatest(o["xmin"], r["xmin"]) / size))
             & (F.col("_cy") == F.floor(F.greatest(o["ymin"], r["ymin"]) / size)))
-    number = F.when(apart >= 0, F.floor(apart / _DAY_US) + 1).otherwise(F.ceil(-apart / _DAY_US)).cast("int")
-    wanted = {"before": apart < 0, "after": apart >= 0, "both": F.lit(True)}[direction]
-    pairs = (probes.join(radar, ["_cx", "_cy", "_day"]).filter(home & boxes_intersect(box(*(o[c] for c in corners)), box(*(r[c] for c in corners))))
-             .withColumn("ring", number).filter(wanted & (F.col("ring") <= max_days)))
+    met = (probes.join(cover_cells(radar, cell).drop(*corners), ["_cx", "_cy", "_day"])
+           .filter(home & boxes_intersect(box(*(o[c] for c in corners)), box(*(r[c] for c in corners)))))
     if ring:
-        pairs = pairs.filter(polygons_intersect("_s2ring", "_s1ring"))
-    best = F.struct((-F.col("_area")).alias("neg_area"), "s1_id").alias("_best")
-    pairs = pairs.filter("_area is not null").select("s2_id", "zone_area", "ring", best)
-    # A row without match for every optical scene keeps those that find nothing.
-    none = optical.select("s2_id", "zone_area", F.lit(None).cast("int").alias("ring"),
-                          F.lit(None).cast(pairs.schema["_best"].dataType).alias("_best"))
-    windows = pairs.unionByName(none).groupBy("s2_id", "ring").agg(F.max("zone_area").alias("zone_area"), F.min("_best").alias("_best"))
-    found = windows.groupBy("s2_id").agg(F.max("zone_area").alias("zone_area"), F.collect_list(  # a candidate for each window
-        F.when(F.col("ring").isNotNull(), F.struct("_best.neg_area", "ring", "_best.s1_id"))).alias("_cands"))
-    return _pick(found, factor)
+        met = met.filter(polygons_intersect(ring, "_s1ring"))
+    met = met.select(*place, "_time", F.col("_best.s1_id").alias("scene_id"), (-F.col("_best.neg_area")).alias("area"))
+    return nearest_scene_join(optical, met, max_days, direction, factor, on=place, time="_time")
+
+
+def _useful(radar: DataFrame, place) -> DataFrame:
+    """Of a place and day the radar scenes better than all earlier or all later ones; no search window prefers another."""
+    group = Window.partitionBy(*place, "_day")
+    before = group.orderBy("_time").rowsBetween(Window.unboundedPreceding, -1)
+    after = group.orderBy(F.desc("_time")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = radar.select("*", F.min("_best").over(before).alias("_before"), F.min("_best").over(after).alias("_after"))
+    return seen.filter("_before is null or _after is null or _best < _before or _best < _after").drop("_before", "_after")
 
 
 def _pick(found: DataFrame, factor: float) -> DataFrame:

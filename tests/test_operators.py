@@ -349,6 +349,24 @@ def test_radar_scene_of_another_tile_and_ring_test(spark):
     assert matching.nearest_scene_by_footprint(s2, s1, 2, ring="ring").first().s1_id == 11
 
 
+def test_search_by_place_pairs_no_scenes_of_one_place(spark):
+    """900 scenes a side in one place: the wanted place of a day meets a handful of radar scenes, and results are those by key."""
+    rng, base = np.random.default_rng(4), dt.datetime(2024, 1, 10)
+    at = lambda: base + dt.timedelta(minutes=int(rng.integers(0, 3 * 1440)))
+    where = (1, 0.1, 0.1, 0.6, 0.6)
+    s1 = spark.createDataFrame([(i, at(), float(rng.integers(1, 50)), *where) for i in range(900)] + [(900, None, 99.0, *where), (901, base, None, *where)],
+                               f"scene_id long, acquired_at timestamp, area double, tile_no int, {BOX}")
+    s2 = spark.createDataFrame([(1000 + i, at(), float(rng.integers(1, 60)), *where) for i in range(900)],
+                               f"scene_id long, acquired_at timestamp, zone_area double, tile_no int, {BOX}")
+    for direction in ("before", "after", "both"):
+        by_place = matching.nearest_scene_by_footprint(s2, s1, 2, direction)
+        assert sorted(by_place.collect()) == sorted(matching.nearest_scene_join(s2, s1.dropna(), 2, direction).collect())
+    text = by_place._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in text[:text.index("Join Inner")]  # the search itself comes after the meeting of places
+    radar = s1.dropna().selectExpr("1 AS place", "acquired_at AS _time", "CAST(acquired_at AS DATE) AS _day", "struct(-area, scene_id) AS _best")
+    assert matching._useful(radar, ["place"]).count() < 90
+
+
 def test_grid_cell_names(spark):
     r = one(spark, a=nm.gridcell_name(F.lit(147.0), F.lit(-7.0), F.lit(5)), b=nm.gridcell_name(F.lit(-5.0), F.lit(-5.0), F.lit(5)),
             c=nm.gridcell_name(F.lit(10.0), F.lit(50.0), F.lit(40)))
