@@ -37,12 +37,18 @@ def _reaches(value: Column, bound: float, digits: int) -> Column:
 
 
 def fire_severity(difference, classes=None) -> Column:
-    """Burn class of a vegetation-index difference rounded half-even to 4 decimals, -1 if none."""
-    v, chain = as_col(difference), None
-    for i, (_, lo, hi) in enumerate(classes or SEVERITY_CLASSES):
-        hit = _reaches(v, float(lo), 4) & ~_reaches(v, float(hi), 4)
-        chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
-    return chain.otherwise(F.lit(-1))
+    """Burn class of a vegetation-index difference rounded half-even to 4 decimals, -1 if none.
+
+    The difference is bound once: a filter on classes would otherwise compute it anew for each bound.
+    """
+    def chosen(v):
+        chain = None
+        for i, (_, lo, hi) in enumerate(classes or SEVERITY_CLASSES):
+            hit = _reaches(v, float(lo), 4) & ~_reaches(v, float(hi), 4)
+            chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
+        return chain.otherwise(F.lit(-1))
+
+    return F.get(F.transform(F.array(as_col(difference)), chosen), F.lit(0))
 
 
 def slope_class(slope, classes=None) -> Column:

@@ -46,3 +46,10 @@ def test_search_by_place_forms_no_product(spark, sf_dir):
     assert "Cartesian" not in text and "NestedLoop" not in text
     joins = [line for line in text.splitlines() if "Join" in line]
     assert len(joins) == 1 and all(k in joins[0] for k in ("_cx", "_cy", "_day")) and "partial_min" in text
+
+
+def test_filter_on_classes_computes_each_difference_once(spark, sf_dir):
+    """Two differences of two indices, each band read twice; it was that for each of twelve bounds."""
+    text = QUERIES["mask_values"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in text.splitlines() if "Filter" in line)
+    assert condition.count("l_discount") <= 24
