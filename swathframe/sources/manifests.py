@@ -1,13 +1,20 @@
 """Product metadata of four satellite families -> one scene schema.
 
 Input rows are ``(path, xml)`` for the XML families and ``(path, meta MAP)``
-for the fifth satellite.  Everything is read with XPath columns.
+for the fifth satellite.  The first and third family are read with XPath
+columns, which parse the text once for each path; products of the second are
+parsed once.
 """
 
 from __future__ import annotations
 
+from xml.etree.ElementTree import Element, TreeBuilder
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from swathframe.functions.common import as_col
 from swathframe.functions.geometry import centroid, close_ring, point, utm_epsg, utm_zone
@@ -89,27 +96,67 @@ def sentinel1_manifest(df: DataFrame, xml: str = "xml", path: str = "path") -> D
     return _with_centroid(out)
 
 
+def parse_xml(text: str) -> Element:
+    """The document below a root of its own; names go without their prefixes, as an XPath column compares them."""
+    tree, parser = TreeBuilder(), expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler = lambda name, attributes: tree.start(name[name.find(":") + 1:], attributes)
+    parser.EndElementHandler, parser.CharacterDataHandler = tree.end, tree.data
+    tree.start("", {})
+    parser.Parse(text.encode("utf-8"), True)
+    tree.end("")
+    return tree.close()
+
+
+def _first_text(elements) -> str | None:
+    """First piece of text that stands directly in one of the elements."""
+    return next((t for e in elements for t in (e.text, *(c.tail for c in e)) if t), None)
+
+
+def _special(root: Element, name: str) -> str | None:
+    """Index of the special value of that name, blanks around and between its words normalised."""
+    values = root.iterfind(".//Product_Image_Characteristics/Special_Values")
+    named = (v for v in values if any(" ".join("".join(t.itertext()).split()) == name for t in v.findall("SPECIAL_VALUE_TEXT")[:1]))
+    return _first_text(e for v in named for e in v.findall("SPECIAL_VALUE_INDEX"))
+
+
+_INFO, _IMAGE = ".//Product_Info", ".//Product_Image_Characteristics"
+_S2_PATHS = {
+    "spacecraft": f"{_INFO}/Datatake/SPACECRAFT_NAME", "level": f"{_INFO}/PROCESSING_LEVEL", "baseline": f"{_INFO}/PROCESSING_BASELINE",
+    "start": f"{_INFO}/PRODUCT_START_TIME", "stop": f"{_INFO}/PRODUCT_STOP_TIME", "generated": f"{_INFO}/GENERATION_TIME",
+    "orbit": f"{_INFO}//SENSING_ORBIT_NUMBER", "cloud": ".//Cloud_Coverage_Assessment", "ring": ".//Global_Footprint/EXT_POS_LIST",
+    "scale": f"{_IMAGE}/QUANTIFICATION_VALUE", "boa": f"{_IMAGE}/QUANTIFICATION_VALUES_LIST/BOA_QUANTIFICATION_VALUE",
+    "aot": f"{_IMAGE}/QUANTIFICATION_VALUES_LIST/AOT_QUANTIFICATION_VALUE", "wvp": f"{_IMAGE}/QUANTIFICATION_VALUES_LIST/WVP_QUANTIFICATION_VALUE"}
+_S2_SPECIAL = {"nodata": "NODATA", "saturated": "SATURATED"}
+
+
+def _s2_texts(text: str | None) -> list[str | None] | None:
+    if not text:
+        return None
+    root = parse_xml(text)
+    return [*(_first_text(root.iterfind(p)) for p in _S2_PATHS.values()), *(_special(root, n) for n in _S2_SPECIAL.values())]
+
+
 def sentinel2_manifest(df: DataFrame, xml: str = "xml", path: str = "path") -> DataFrame:
-    x = F.col(xml)
-    info, image = "//Product_Info", "//Product_Image_Characteristics"
-    special = lambda name: _text(x, f"{image}/Special_Values[normalize-space(SPECIAL_VALUE_TEXT)='{name}']/SPECIAL_VALUE_INDEX")
-    level2 = f"{image}/QUANTIFICATION_VALUES_LIST"
-    out = df.select(
-        F.col(path).alias("path"),
-        F.concat(F.lit("S"), F.get(F.split(_text(x, f"{info}/Datatake/SPACECRAFT_NAME"), "-"), F.lit(1))).alias("sat_id"),
+    def run(batches):
+        for batch in batches:
+            texts = pa.array([_s2_texts(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.record_batch([batch.column(0), texts], names=["path", "texts"])
+
+    own = df.select(F.col(path).alias("path"), F.col(xml).alias("xml"))
+    read = own.mapInArrow(run, StructType([own.schema["path"]]).add("texts", ArrayType(StringType())))
+    x = {name: F.trim(F.get("texts", F.lit(i))) for i, name in enumerate([*_S2_PATHS, *_S2_SPECIAL])}
+    out = read.select(
+        "path",
+        F.concat(F.lit("S"), F.get(F.split(x["spacecraft"], "-"), F.lit(1))).alias("sat_id"),
         F.lit("MSI").alias("instrument"),
-        _text(x, f"{info}/PROCESSING_LEVEL").alias("processing_level"),
-        _text(x, f"{info}/PROCESSING_BASELINE").alias("software_version"),
-        _stamp(_text(x, f"{info}/PRODUCT_START_TIME")).alias("start_time"),
-        _stamp(_text(x, f"{info}/PRODUCT_STOP_TIME")).alias("stop_time"),
-        _stamp(_text(x, f"{info}/GENERATION_TIME")).alias("generation_time"),
-        _text(x, f"{info}//SENSING_ORBIT_NUMBER").cast("int").alias("relative_orbit"),
-        _text(x, "//Cloud_Coverage_Assessment").cast("double").alias("cloud_pct"),
-        ring_from_flat(_text(x, "//Global_Footprint/EXT_POS_LIST")).alias("footprint"), F.lit(1).alias("n_polygons"),
-        F.coalesce(_text(x, f"{image}/QUANTIFICATION_VALUE"), _text(x, f"{level2}/BOA_QUANTIFICATION_VALUE")).cast("double").alias("scale_value"),
-        _text(x, f"{level2}/AOT_QUANTIFICATION_VALUE").cast("double").alias("aot_scale_value"),
-        _text(x, f"{level2}/WVP_QUANTIFICATION_VALUE").cast("double").alias("wvp_scale_value"),
-        special("NODATA").cast("int").alias("nodata_value"), special("SATURATED").cast("int").alias("saturated_value"))
+        x["level"].alias("processing_level"), x["baseline"].alias("software_version"),
+        _stamp(x["start"]).alias("start_time"), _stamp(x["stop"]).alias("stop_time"), _stamp(x["generated"]).alias("generation_time"),
+        x["orbit"].cast("int").alias("relative_orbit"), x["cloud"].cast("double").alias("cloud_pct"),
+        ring_from_flat(x["ring"]).alias("footprint"), F.lit(1).alias("n_polygons"),
+        F.coalesce(x["scale"], x["boa"]).cast("double").alias("scale_value"),
+        x["aot"].cast("double").alias("aot_scale_value"), x["wvp"].cast("double").alias("wvp_scale_value"),
+        x["nodata"].cast("int").alias("nodata_value"), x["saturated"].cast("int").alias("saturated_value"))
     return _with_centroid(out)
 
 

@@ -142,3 +142,24 @@ def test_normalised_splits_reuse_training_scalers(spark, tmp_path, sf_dir):
     mean = out["train"].agg(F.avg("vv_t0") + F.avg("vv_t1")).first()[0]
     assert mean == pytest.approx(0, abs=1e-9)
     assert spark.read.parquet(str(tmp_path / "n/scalers")).count() == 4
+
+
+def test_optical_product_is_parsed_once_and_read_as_by_xpath(spark):
+    """Nulls, nested and split texts, prefixes and special values; no XPath column is left in the plan."""
+    from pyspark.sql import functions as F
+    from swathframe.sources import manifests
+    texts = ["<r xmlns:n='u'><n:G><Product_Info><PROCESSING_LEVEL> L2 <b/>x</PROCESSING_LEVEL><D><SENSING_ORBIT_NUMBER>7</SENSING_ORBIT_NUMBER></D></Product_Info></n:G></r>",
+             "<Product_Info><PROCESSING_LEVEL><b>no</b>tail &amp; more</PROCESSING_LEVEL></Product_Info>",
+             "<r><Product_Info><PROCESSING_LEVEL/></Product_Info><Product_Info><PROCESSING_LEVEL>é</PROCESSING_LEVEL></Product_Info></r>",
+             "<r><n:Product_Info xmlns:n='u'><PROCESSING_LEVEL>hidden</PROCESSING_LEVEL></n:Product_Info></r>", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "path long, xml string")
+    out = manifests.sentinel2_manifest(df)
+    by_xpath = df.select("path", F.trim(F.get(F.xpath("xml", F.lit("//Product_Info/PROCESSING_LEVEL/text()")), F.lit(0))))
+    got = sorted(map(tuple, out.select("path", "processing_level").collect()))
+    assert got == sorted(map(tuple, by_xpath.collect())) and got[1] == (1, "tail & more")
+    special = "<r><Product_Image_Characteristics>%s</Product_Image_Characteristics></r>" % "".join(
+        f"<Special_Values><SPECIAL_VALUE_TEXT>{n}</SPECIAL_VALUE_TEXT><SPECIAL_VALUE_INDEX>{v}</SPECIAL_VALUE_INDEX></Special_Values>"
+        for n, v in (("OTHER", 3), (" NODATA\n", 5), ("SATURATED", 9)))
+    row = manifests.sentinel2_manifest(spark.createDataFrame([(1, special)], "path long, xml string")).first()
+    assert (row.nodata_value, row.saturated_value, row.processing_level) == (5, 9, None)
+    assert "XPath" not in out._jdf.queryExecution().optimizedPlan().toString()
