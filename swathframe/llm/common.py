@@ -57,14 +57,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``data`` begins and ends."""
+    a = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], (a != 32) & ((a < 9) | (a > 13)), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """64-bit hash of each word of ``data``, in order, without a Python loop over words."""
     if not data:
         return np.zeros(0, _U)
     a = np.frombuffer(data, np.uint8)
-    inside = np.concatenate([[False], (a != 32) & ((a < 9) | (a > 13)), [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
+    start, end = word_places(data)
     total = np.concatenate([np.zeros(1, _U), np.cumsum((a.astype(_U) + _U(1)) * _power(_BASE, len(a)), dtype=_U)])
     return mix((total[end] - total[start]) * _power(_INVERSE, len(a) + 1)[start])
 

@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathframe.llm.common import dealt, fold_of, signed, slices, word_hashes
+from swathframe.llm.common import dealt, fold_of, signed, slices, word_hashes, word_places
 
 #: Context tokens and scored tokens of a window; width of the model; classes of the output; rows of the input table.
 CONTEXT, SCORED, WIDTH, CLASSES, INPUTS = 16, 24, 16, 64, 4096
-#: Frequent words whose counts go to every task (2 MB at most); all others are joined.
+#: Frequent words whose counts and subword ids go to every task (some 5 MB at most); all others are joined or encoded there.
 FREQUENT = 131_072
 #: Rounds of training, each over its own share of all training rows, and sums of weights that reach the driver in a round.
 ROUNDS, SUMS = 4, 16
@@ -84,11 +84,16 @@ def _chunks(texts: list[str | None]):
 
 
 def _hashed(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, their hashes, each word's index among them, and words per text."""
-    words = [t.split() for t in texts]
-    flat = [w for own in words for w in own]
-    h, first, inverse = np.unique(word_hashes(b"\n".join(texts)), return_index=True, return_inverse=True)
-    return [flat[k] for k in first], h, inverse, np.array([len(w) for w in words], np.int64)
+    """Distinct words as they first occur, their hashes, each word's index among them, and words per text."""
+    data = b"\n".join(texts)
+    found = pa.array(word_hashes(data)).dictionary_encode()
+    h, inverse = found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
+    start, end = word_places(data)
+    first = np.empty(len(h), np.int64)
+    first[inverse[::-1]] = np.arange(len(inverse))[::-1]
+    text_end = np.cumsum([len(t) + 1 for t in texts])
+    per_text = np.diff(np.searchsorted(start, text_end), prepend=0)
+    return [data[lo:hi] for lo, hi in zip(start[first].tolist(), end[first].tolist())], h, inverse, per_text
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -151,12 +156,11 @@ def _row_sums(x: np.ndarray) -> np.ndarray:
 
 
 def _scatter(like: np.ndarray, at: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``d`` by their place in a table like ``like``; 16-bit places are sorted in linear time."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")
-    own = at[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    """Sums of the rows of ``d`` by their place in a table like ``like``; two columns are added as one complex number."""
     out = np.zeros_like(like)
-    out[own[first]] = np.add.reduceat(d.take(order, axis=0), first, axis=0)
+    pairs = np.complex64 if like.dtype == np.float32 else np.complex128
+    width = like.shape[1] // 2
+    np.add.at(out.reshape(-1).view(pairs), (at[:, None] * width + np.arange(width)).ravel(), d.reshape(-1).view(pairs))
     return out
 
 
@@ -175,11 +179,12 @@ class Adam:
             m += x
             x *= x
             s += x  # (0.1 g)^2 = 0.01 g^2
-            move = np.sqrt(s / (1 - 0.99 ** self.t))
-            move += 1e-7
+            root = (1 - 0.99 ** self.t) ** 0.5
+            move = np.sqrt(s)
+            move += 1e-7 * root
             np.divide(m, move, out=move)
-            move *= rate / (1 - 0.9 ** self.t)
-            self.p[n] = (self.p[n] - move).astype(np.float32)
+            move *= rate * root / (1 - 0.9 ** self.t)
+            self.p[n] = np.subtract(self.p[n], move, out=move).astype(np.float32, copy=False)
 
 
 @dataclass
@@ -217,18 +222,19 @@ class Attention:
         bound = max(-a.min(initial=0), a.max(initial=0)) + np.abs(p["d"]).max()
         a += np.where(back < 0, p["d"].dtype.type(-1e9), p["d"][np.maximum(back, 0)])
         _exp_in_place(a, bound)
-        a /= _row_sums(a)[..., None]
+        share = 1 / _row_sums(a)[..., None]  # narrow arrays take the division by the sum
         met = a @ v
+        met *= share
         h = met + r
         np.tanh(h, out=h)
         h = h.reshape(-1, WIDTH)
         x = h @ p["u"]
         x += p["c"]
-        return x, float(np.abs(p["u"]).sum(0).max() + np.abs(p["c"]).max()), (q, k, v, back, a, met, h)
+        return x, float(np.abs(p["u"]).sum(0).max() + np.abs(p["c"]).max()), (q, k, v, back, a, share, met, h)
 
     def gradients(self, window: np.ndarray, target: np.ndarray) -> tuple[dict, float]:
         """Gradients of the mean negative log likelihood of ``target`` (-1: not counted)."""
-        e, bound, (q, k, v, back, a, met, h) = self.logits(window)
+        e, bound, (q, k, v, back, a, share, met, h) = self.logits(window)
         p, flat = self.p, target.ravel()
         row = np.flatnonzero(flat >= 0)
         n, at = max(len(row), 1), flat[row]
@@ -238,17 +244,22 @@ class Attention:
         np.exp(e, out=e)
         total = _row_sums(e)
         loss = float((np.log(total[row]) - chosen).sum() / n)
-        e *= ((flat >= 0) / (total * n)).astype(e.dtype)[:, None]
-        e[row, at] -= e.dtype.type(1 / n)
-        g = {"u": h.T @ e, "c": np.ones(len(e), e.dtype) @ e}
-        dz = ((e @ p["u"].T) * (1 - h * h)).reshape(q.shape)
-        ds = dz @ v.transpose(0, 2, 1)
-        ds -= _row_sums(dz * met)[..., None]
+        # The probabilities are e * scale; the factor goes to the narrow side of each product.
+        scale = ((flat >= 0) / (total * n)).astype(e.dtype)[:, None]
+        e[row, at] -= total[row]
+        g = {"u": (h * scale).T @ e, "c": scale[:, 0] @ e}
+        dz = ((e @ p["u"].T) * ((1 - h * h) * scale)).reshape(q.shape)
+        dm = dz * share
+        ds = dm @ v.transpose(0, 2, 1)
+        ds -= _row_sums(dm * met)[..., None]
         ds *= a  # nothing where masked: there the share is 0
         g["d"] = np.bincount(np.maximum(back, 0).ravel(), (np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)),
                              CONTEXT + SCORED).astype(ds.dtype)
-        kv = np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2)
-        qr = np.concatenate([(ds @ k) * ds.dtype.type(WIDTH ** -0.5), dz], axis=2)
+        kv, qr = np.empty((*window.shape, 2 * WIDTH), ds.dtype), np.empty((*q.shape[:2], 2 * WIDTH), ds.dtype)
+        np.matmul(ds.transpose(0, 2, 1), q, out=kv[..., :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dm, out=kv[..., WIDTH:])
+        np.multiply(ds @ k, ds.dtype.type(WIDTH ** -0.5), out=qr[..., :WIDTH])
+        qr[..., WIDTH:] = dz
         for name, at, d in (("kv", window, kv), ("qr", window[:, CONTEXT:], qr)):
             g[name] = _scatter(p[name], at.ravel(), d.reshape(-1, 2 * WIDTH))
         return g, loss
@@ -330,10 +341,35 @@ class LanguageModel:
         return self.attention.train(window, np.where(target >= 0, self.class_of[np.maximum(target, 0)], -1)) if len(window) else []
 
 
-def _token_ids(texts: list[bytes], coder: Subwords, hashed=None) -> tuple[np.ndarray, np.ndarray]:
+def _inner(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... below each number of ``n``, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+@dataclass
+class Spellings:
+    """Subword ids of frequent words by their sorted hashes, so that tasks do not encode these again."""
+
+    h: np.ndarray
+    ids: np.ndarray
+    n: np.ndarray  # 0: not spelled here
+
+    def of_words(self, words: list[bytes], h: np.ndarray, coder: Subwords) -> tuple[np.ndarray, np.ndarray]:
+        """As ``coder.of_words``; ``h`` are the hashes of the words."""
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        n = np.where(self.h[at] == h, self.n[at], 0)
+        known = n > 0
+        own, n[~known] = coder.of_words([w for w, k in zip(words, known.tolist()) if not k])
+        out, of_known = np.empty(int(n.sum()), np.int64), np.repeat(known, n)
+        out[~of_known] = own
+        out[of_known] = self.ids[np.repeat((np.cumsum(self.n) - self.n)[at[known]], n[known]) + _inner(n[known])]
+        return out, n
+
+
+def _token_ids(texts: list[bytes], coder: Subwords, hashed=None, spellings: Spellings | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of several texts, each closed by the end id, and where each text starts."""
-    words, _, inverse, per_text = hashed or _hashed(texts)
-    flat, n = coder.of_words(words)
+    words, h, inverse, per_text = hashed or _hashed(texts)
+    flat, n = spellings.of_words(words, signed(h), coder) if spellings else coder.of_words(words)
     first = np.cumsum(n) - n
     size = n[inverse]
     of_text = np.repeat(np.arange(len(texts)), per_text)
@@ -341,7 +377,7 @@ def _token_ids(texts: list[bytes], coder: Subwords, hashed=None) -> tuple[np.nda
     begin = np.cumsum(length) - length
     ids = np.full(int(length.sum()), coder.size - 1, np.int64)
     start = np.cumsum(size) - size + of_text  # one end id for each earlier text
-    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    inner = _inner(size)
     ids[np.repeat(start, size) + inner] = flat[np.repeat(first[inverse], size) + inner]
     return ids, begin
 
@@ -472,16 +508,21 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
         if words > FREQUENT:
             break
         least = s
-    top = counts.filter(size >= F.lit(least)).select("h", "n").toArrow()
+    top = counts.filter(size >= F.lit(least)).select("h", "n", "word").toArrow()
     top_h = np.concatenate([top.column(0).to_numpy().astype(np.int64), signed(END_WORD)])
     top_n = np.concatenate([top.column(1).to_numpy(), [ends]]).astype(np.int64)
     order = np.argsort(top_h)
+    coder = Subwords(ranks, pattern)
+    top_words = top.column(2).to_pylist() + [b""]
+    flat, sizes = coder.of_words([top_words[k] for k in order if k < len(order) - 1])
+    spelled = np.zeros(len(order), np.int64)
+    spelled[order < len(order) - 1] = sizes  # the end token is no word
+    spellings = Spellings(top_h[order], flat.astype(np.int32), spelled)
     top_h, top_n = top_h[order], top_n[order]
     floor = float(np.log10(total + distinct + 1))
 
     times = count_subwords(counts, ranks, pattern)
     times[-1] += ends
-    coder = Subwords(ranks, pattern)
     model = LanguageModel.fit_counts(times, coder.opens)
 
     def encode(batches):
@@ -507,7 +548,7 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
                     pa.array((pid << 40) + row + np.arange(len(texts))), *(batch.column(c).slice(done, len(texts)) for c in (0, 1, 2)),
                     pa.array(per_text + 1), pa.array(known), pa.array(base),
                     pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64())),
-                    _packed(*_token_ids(texts, coder, hashed), coder.size)],
+                    _packed(*_token_ids(texts, coder, hashed, spellings), coder.size)],
                     names=["row", "doc_id", "held_out", "round", "n_tokens", "n_known", "base", "rare", "times", "ids"])
                 done += len(texts)
                 row += len(texts)
