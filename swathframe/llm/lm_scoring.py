@@ -11,11 +11,14 @@ Texts are encoded once; training and scoring read the stored ids.
 from __future__ import annotations
 
 import base64
+import functools
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,11 @@ FREQUENT = 131_072
 ROUNDS, SUMS = 4, 16
 #: Windows of a training step, and those that small inputs are trained on at least, by passing over them again.
 STEP, LEAST_WINDOWS = 340, 51_200
+#: Windows worked on at a time; what they touch stays in a core's cache.
+BLOCK = 68
 END_WORD = np.array([0x7E57_0E4D_0F_7E57], np.uint64)  # stands for the end token among word hashes
+#: How far back each place of a window lies from each scored place.
+BACK = np.arange(CONTEXT, CONTEXT + SCORED)[:, None] - np.arange(CONTEXT + SCORED)[None, :]
 _CHUNK = 1 << 21
 _COUNTS = "h long, word binary, n long"
 
@@ -83,41 +90,57 @@ def _chunks(texts: list[str | None]):
         yield own
 
 
-def _hashed(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+class Words(Sequence):
+    """Words of ``data`` by where they start and end; each is cut out when asked for."""
+
+    def __init__(self, data: bytes, start: np.ndarray, end: np.ndarray):
+        self.data, self.start, self.end = data, start, end
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, k):
+        return self.data[self.start[k]:self.end[k]]
+
+    def cut(self, which=slice(None)) -> list[bytes]:
+        return [self.data[lo:hi] for lo, hi in zip(self.start[which].tolist(), self.end[which].tolist())]
+
+
+def _hashed(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words as they first occur, their hashes, each word's index among them, and words per text."""
     data = b"\n".join(texts)
     found = pa.array(word_hashes(data)).dictionary_encode()
     h, inverse = found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
     start, end = word_places(data)
-    first = np.empty(len(h), np.int64)
-    first[inverse[::-1]] = np.arange(len(inverse))[::-1]
+    # A word's index is above all earlier ones where it first occurs.
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1)) if len(inverse) else np.zeros(0, np.int64)
     text_end = np.cumsum([len(t) + 1 for t in texts])
     per_text = np.diff(np.searchsorted(start, text_end), prepend=0)
-    return [data[lo:hi] for lo, hi in zip(start[first].tolist(), end[first].tolist())], h, inverse, per_text
+    return Words(data, start[first], end[first]), h, inverse, per_text
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, word, n): every distinct folded word of ``docs``; tasks add up before the shuffle."""
     def run(batches):
-        held: dict[bytes, list[int]] = {}
+        held, rows = [], 0
 
-        def flush():
-            out = pa.record_batch([pa.array([v[0] for v in held.values()], pa.int64()), pa.array(held, pa.binary()),
-                                   pa.array([v[1] for v in held.values()], pa.int64())], names=["h", "word", "n"])
-            held.clear()
-            return out
+        def merged():
+            return (pa.concat_tables(held).group_by(["h", "word"]).aggregate([("n", "sum")])
+                    .select(["h", "word", "n_sum"]).rename_columns(["h", "word", "n"]))
         for batch in slices(batches, 2500):
             for texts in _chunks(batch.column(0).to_pylist()):
                 words, h, inverse, _ = _hashed(texts)
-                for w, x, n in zip(words, signed(h).tolist(), np.bincount(inverse, minlength=len(words)).tolist()):
-                    if w in held:
-                        held[w][1] += n
-                    else:
-                        held[w] = [x, n]
-                if len(held) > 600_000:
-                    yield flush()
+                held.append(pa.table({"h": pa.array(signed(h)), "word": pa.array(words.cut(), pa.binary()),
+                                      "n": pa.array(np.bincount(inverse, minlength=len(words)), pa.int64())}))
+                rows += len(words)
+                if rows > 600_000:
+                    held[:] = [merged()]
+                    rows = len(held[0])
+                    if rows > 300_000:
+                        yield from held.pop().to_batches()
+                        rows = 0
         if held:
-            yield flush()
+            yield from merged().to_batches()
 
     return docs.select("text").mapInArrow(run, _COUNTS).groupBy("h", "word").agg(F.sum("n").alias("n"))
 
@@ -155,36 +178,46 @@ def _row_sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[-1], x.dtype)
 
 
-def _scatter(like: np.ndarray, at: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``d`` by their place in a table like ``like``; two columns are added as one complex number."""
-    out = np.zeros_like(like)
+def _scatter(like: np.ndarray, at: np.ndarray, d: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows of ``d`` by their place in a table like ``like``, added to ``out``; two columns are added as
+    one complex number."""
+    out = np.zeros_like(like) if out is None else out
     pairs = np.complex64 if like.dtype == np.float32 else np.complex128
     width = like.shape[1] // 2
-    np.add.at(out.reshape(-1).view(pairs), (at[:, None] * width + np.arange(width)).ravel(), d.reshape(-1).view(pairs))
+    np.add.at(out.reshape(-1).view(pairs), _places(len(like), width).take(at, axis=0).ravel(), d.reshape(-1).view(pairs))
     return out
 
 
+@functools.cache
+def _places(rows: int, width: int) -> np.ndarray:
+    return np.arange(rows * width).reshape(rows, width)
+
+
 class Adam:
+    """Adam with decays 0.9 and 0.99; ``m`` holds ten times the mean gradient, ``s`` a hundred times the mean square."""
+
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.t = p, 0
+        p.update({n: x.copy() for n, x in p.items()})
         self.m, self.s = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        """Moves the weights in place; ``g`` is used up."""
         self.t += 1
+        root = (1 - 0.99 ** self.t) ** 0.5
+        rate *= root / (1 - 0.9 ** self.t)
         for n, x in g.items():
             m, s = self.m[n], self.s[n]
             m *= 0.9
-            s *= 0.99
-            x *= 0.1
             m += x
             x *= x
-            s += x  # (0.1 g)^2 = 0.01 g^2
-            root = (1 - 0.99 ** self.t) ** 0.5
-            move = np.sqrt(s)
-            move += 1e-7 * root
-            np.divide(m, move, out=move)
-            move *= rate * root / (1 - 0.9 ** self.t)
-            self.p[n] = np.subtract(self.p[n], move, out=move).astype(np.float32, copy=False)
+            s *= 0.99
+            s += x
+            np.sqrt(s, out=x)
+            x += 1e-6 * root
+            np.divide(m, x, out=x)
+            x *= rate
+            self.p[n] -= x
 
 
 @dataclass
@@ -206,9 +239,18 @@ class Attention:
         return cls({"kv": table(INPUTS, 2 * WIDTH), "qr": table(INPUTS, 2 * WIDTH),
                     "d": table(CONTEXT + SCORED), "u": table(WIDTH, classes), "c": np.zeros(classes, np.float32)})
 
-    def logits(self, window: np.ndarray):
-        """Class scores of the tokens that follow the last ``SCORED`` places of each window, one row for each place,
-        and a bound on their size.
+    def shared(self):
+        """What all windows share: the terms of the distances by scored place and place, and bounds on the size of
+        attention scores and of class scores with ``c``."""
+        p = self.p
+        at = np.where(BACK < 0, p["d"].dtype.type(-1e9), p["d"][np.maximum(BACK, 0)])
+        longest = [np.einsum("ij,ij->i", x, x).max() for x in (p["qr"][:, :WIDTH], p["kv"][:, :WIDTH])]
+        return (at, float((longest[0] * longest[1] / WIDTH) ** 0.5 + np.abs(p["d"]).max()),
+                float(np.abs(p["u"]).sum(0).max() + np.abs(p["c"]).max()))
+
+    def logits(self, window: np.ndarray, shared: tuple):
+        """Class scores of the tokens that follow the last ``SCORED`` places of each window, one row for each place and
+        without the classes' own weights ``c``; what the gradients need follows.
 
         Place i attends to itself and all before it in the window; later places
         are masked.
@@ -217,52 +259,68 @@ class Attention:
         kv, qr = p["kv"].take(window, axis=0), p["qr"].take(window[:, CONTEXT:], axis=0)
         k, v, r = kv[..., :WIDTH], kv[..., WIDTH:], qr[..., WIDTH:]
         q = qr[..., :WIDTH] * p["kv"].dtype.type(WIDTH ** -0.5)
-        back = np.arange(CONTEXT, CONTEXT + SCORED)[:, None] - np.arange(CONTEXT + SCORED)[None, :]
         a = q @ k.transpose(0, 2, 1)
-        bound = max(-a.min(initial=0), a.max(initial=0)) + np.abs(p["d"]).max()
-        a += np.where(back < 0, p["d"].dtype.type(-1e9), p["d"][np.maximum(back, 0)])
-        _exp_in_place(a, bound)
+        a += shared[0]
+        _exp_in_place(a, shared[1])
         share = 1 / _row_sums(a)[..., None]  # narrow arrays take the division by the sum
         met = a @ v
         met *= share
         h = met + r
         np.tanh(h, out=h)
         h = h.reshape(-1, WIDTH)
-        x = h @ p["u"]
-        x += p["c"]
-        return x, float(np.abs(p["u"]).sum(0).max() + np.abs(p["c"]).max()), (q, k, v, back, a, share, met, h)
+        return h @ p["u"], (q, k, v, a, share, met, h)
+
+    def likelihoods(self, x: np.ndarray, bound: float, row: np.ndarray, at: np.ndarray):
+        """Natural logarithms of the probability of class ``at`` in each ``row`` of scores.  ``x`` becomes e, so that
+        e * factor / sum are the probabilities of a row; returns the factors of the classes and the sums too.
+        """
+        c = self.p["c"]
+        if bound < 60:
+            chosen, factor = x[row, at] + c[at], np.exp(c)
+        else:
+            x += c
+            x -= x.max(axis=-1, keepdims=True)
+            chosen, factor = x[row, at], np.ones_like(c)
+        np.exp(x, out=x)
+        total = x @ factor
+        return chosen - np.log(total[row]), factor, total
 
     def gradients(self, window: np.ndarray, target: np.ndarray) -> tuple[dict, float]:
         """Gradients of the mean negative log likelihood of ``target`` (-1: not counted)."""
-        e, bound, (q, k, v, back, a, share, met, h) = self.logits(window)
-        p, flat = self.p, target.ravel()
-        row = np.flatnonzero(flat >= 0)
-        n, at = max(len(row), 1), flat[row]
-        if not bound < 60:
-            e -= e.max(axis=-1, keepdims=True)
-        chosen = e[row, at]
-        np.exp(e, out=e)
-        total = _row_sums(e)
-        loss = float((np.log(total[row]) - chosen).sum() / n)
-        # The probabilities are e * scale; the factor goes to the narrow side of each product.
-        scale = ((flat >= 0) / (total * n)).astype(e.dtype)[:, None]
-        e[row, at] -= total[row]
-        g = {"u": (h * scale).T @ e, "c": scale[:, 0] @ e}
-        dz = ((e @ p["u"].T) * ((1 - h * h) * scale)).reshape(q.shape)
+        g = {name: np.zeros_like(x) for name, x in self.p.items()}
+        n, loss = max(int((target >= 0).sum()), 1), 0.0
+        by_place, shared = np.zeros(BACK.size, g["d"].dtype), self.shared()
+        for lo in range(0, len(window), BLOCK):
+            loss += self._add_gradients(window[lo:lo + BLOCK], target[lo:lo + BLOCK].ravel(), n, shared, g, by_place)
+        g["d"] += np.bincount(np.maximum(BACK, 0).ravel(), by_place, CONTEXT + SCORED).astype(by_place.dtype)
+        return g, loss / n
+
+    def _add_gradients(self, window: np.ndarray, target: np.ndarray, n: int, shared: tuple, g: dict,
+                       by_place: np.ndarray) -> float:
+        """Adds the part of some windows to ``g`` and, for distances, to ``by_place``; returns their negative log likelihood."""
+        e, (q, k, v, a, share, met, h) = self.logits(window, shared)
+        p, row = self.p, np.flatnonzero(target >= 0)
+        at = target[row]
+        log, factor, total = self.likelihoods(e, shared[2], row, at)
+        # The probabilities are e * factor * scale; both go to the narrow side of each product.
+        scale = ((target >= 0) / (total * n)).astype(e.dtype)[:, None]
+        e[row, at] -= total[row] / factor[at]
+        g["u"] += ((h * scale).T @ e) * factor
+        g["c"] += (scale[:, 0] @ e) * factor
+        dz = ((e @ (p["u"] * factor).T) * ((1 - h * h) * scale)).reshape(q.shape)
         dm = dz * share
         ds = dm @ v.transpose(0, 2, 1)
         ds -= _row_sums(dm * met)[..., None]
         ds *= a  # nothing where masked: there the share is 0
-        g["d"] = np.bincount(np.maximum(back, 0).ravel(), (np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)),
-                             CONTEXT + SCORED).astype(ds.dtype)
+        by_place += np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)
         kv, qr = np.empty((*window.shape, 2 * WIDTH), ds.dtype), np.empty((*q.shape[:2], 2 * WIDTH), ds.dtype)
         np.matmul(ds.transpose(0, 2, 1), q, out=kv[..., :WIDTH])
         np.matmul(a.transpose(0, 2, 1), dm, out=kv[..., WIDTH:])
         np.multiply(ds @ k, ds.dtype.type(WIDTH ** -0.5), out=qr[..., :WIDTH])
         qr[..., WIDTH:] = dz
-        for name, at, d in (("kv", window, kv), ("qr", window[:, CONTEXT:], qr)):
-            g[name] = _scatter(p[name], at.ravel(), d.reshape(-1, 2 * WIDTH))
-        return g, loss
+        for name, places, d in (("kv", window, kv), ("qr", window[:, CONTEXT:], qr)):
+            _scatter(p[name], places.ravel(), d.reshape(-1, 2 * WIDTH), g[name])
+        return -float(log.sum())
 
     def train(self, window: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.03,
               seed: int = 5) -> list[float]:
@@ -310,31 +368,28 @@ class LanguageModel:
         size = np.diff(np.append(begin, len(ids)))
         count = -(-size // SCORED)
         text = np.repeat(np.arange(len(begin)), count)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        start = k * SCORED  # the first wanted token of the window, within its text
-        place = start[:, None] - CONTEXT - 1 + np.arange(CONTEXT + SCORED)[None, :]
-        inside = (place >= 0) & (place < size[text][:, None])
-        at = np.where(inside, begin[text][:, None] + place, 0)
-        window = np.where(inside, self.input_of[ids[at]], INPUTS - 1)
-        target = start[:, None] + np.arange(SCORED)[None, :]
-        real = target < size[text][:, None]
-        return window, np.where(real, ids[np.where(real, begin[text][:, None] + target, 0)], -1), text
-
-    def log10_texts(self, ids: np.ndarray, begin: np.ndarray, batch: int = 128) -> np.ndarray:
+        # Every text with start marks before it and room for its last window after it.
+        gap = CONTEXT + 1 + SCORED
+        row, want = np.full(len(ids) + gap * len(begin), INPUTS - 1), np.full(len(ids) + gap * len(begin), -1)
+        at = np.arange(len(ids)) + np.repeat(gap * np.arange(len(begin)) + CONTEXT + 1, size)
+        row[at], want[at] = self.input_of[ids], ids
+        start = _inner(count) * SCORED + (begin + gap * np.arange(len(begin)))[text]
+        return (sliding_window_view(row, CONTEXT + SCORED)[start] if len(start) else np.zeros((0, CONTEXT + SCORED), np.int64),
+                sliding_window_view(want, SCORED)[start + CONTEXT + 1] if len(start) else np.zeros((0, SCORED), np.int64), text)
+
+    def log10_texts(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """log10 probability of each text, every token scored in exactly one window."""
         window, target, text = self.windows(ids, begin)
-        out = np.zeros(len(begin))
-        for lo in range(0, len(window), batch):
-            x, bound, _ = self.attention.logits(window[lo:lo + batch])
-            want = target[lo:lo + batch].ravel()
-            real = np.maximum(want, 0)
-            if not bound < 60:
-                x -= x.max(axis=-1, keepdims=True)
-            chosen = x[np.arange(len(x)), self.class_of[real]]  # log softmax of the wanted class only
-            np.exp(x, out=x)
-            log = np.where(want >= 0, (chosen - np.log(_row_sums(x))) / np.log(10.0) + self.log_share[real], 0.0)
-            out += np.bincount(text[lo:lo + batch], log.reshape(-1, SCORED).sum(1), len(begin))
-        return out
+        by_window, shared = np.zeros(len(window)), self.attention.shared()
+        for lo in range(0, len(window), BLOCK):
+            x = self.attention.logits(window[lo:lo + BLOCK], shared)[0]
+            want = target[lo:lo + BLOCK].ravel()
+            row = np.flatnonzero(want >= 0)
+            own = want[row]
+            log = np.zeros(len(want))
+            log[row] = self.attention.likelihoods(x, shared[2], row, self.class_of[own])[0] / np.log(10.0) + self.log_share[own]
+            by_window[lo:lo + BLOCK] = log.reshape(-1, SCORED).sum(1)
+        return np.bincount(text, by_window, len(begin))
 
     def train(self, ids: np.ndarray, begin: np.ndarray) -> list[float]:
         window, target, _ = self.windows(ids, begin)
@@ -354,22 +409,30 @@ class Spellings:
     ids: np.ndarray
     n: np.ndarray  # 0: not spelled here
 
-    def of_words(self, words: list[bytes], h: np.ndarray, coder: Subwords) -> tuple[np.ndarray, np.ndarray]:
-        """As ``coder.of_words``; ``h`` are the hashes of the words."""
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        n = np.where(self.h[at] == h, self.n[at], 0)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash in ``h`` and whether it is there; sought in their order, which stays in the cache."""
+        order = np.argsort(h)
+        at = np.empty(len(h), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.h, h[order]), len(self.h) - 1)
+        return at, self.h[at] == h
+
+    def of_words(self, words: Words, found: tuple[np.ndarray, np.ndarray], coder: Subwords) -> tuple[np.ndarray, np.ndarray]:
+        """As ``coder.of_words``; ``found`` is where the hashes of the words are."""
+        at, there = found
+        n = np.where(there, self.n[at], 0)
         known = n > 0
-        own, n[~known] = coder.of_words([w for w, k in zip(words, known.tolist()) if not k])
+        own, n[~known] = coder.of_words(words.cut(~known))
         out, of_known = np.empty(int(n.sum()), np.int64), np.repeat(known, n)
         out[~of_known] = own
         out[of_known] = self.ids[np.repeat((np.cumsum(self.n) - self.n)[at[known]], n[known]) + _inner(n[known])]
         return out, n
 
 
-def _token_ids(texts: list[bytes], coder: Subwords, hashed=None, spellings: Spellings | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _token_ids(texts: list[bytes], coder: Subwords, hashed=None, spellings: Spellings | None = None,
+               found=None) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of several texts, each closed by the end id, and where each text starts."""
     words, h, inverse, per_text = hashed or _hashed(texts)
-    flat, n = spellings.of_words(words, signed(h), coder) if spellings else coder.of_words(words)
+    flat, n = spellings.of_words(words, found or spellings.find(signed(h)), coder) if spellings else coder.of_words(words.cut())
     first = np.cumsum(n) - n
     size = n[inverse]
     of_text = np.repeat(np.arange(len(texts)), per_text)
@@ -518,7 +581,7 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
     spelled = np.zeros(len(order), np.int64)
     spelled[order < len(order) - 1] = sizes  # the end token is no word
     spellings = Spellings(top_h[order], flat.astype(np.int32), spelled)
-    top_h, top_n = top_h[order], top_n[order]
+    top_n = top_n[order]
     floor = float(np.log10(total + distinct + 1))
 
     times = count_subwords(counts, ranks, pattern)
@@ -532,23 +595,21 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str, folds: int =
             for texts in _chunks(batch.column(3).to_pylist()):
                 hashed = _hashed(texts)
                 _, h, inverse, per_text = hashed
-                at = np.minimum(np.searchsorted(top_h, signed(h)), len(top_h) - 1)
-                n = np.where(top_h[at] == signed(h), top_n[at], 0)
+                found = spellings.find(signed(h))
+                n = np.where(found[1], top_n[found[0]], 0)
                 of_text = np.repeat(np.arange(len(texts)), per_text)
                 logs = np.where(n > 0, np.log10(n + 1), 0.0)[inverse]
                 known = np.bincount(of_text, n[inverse] > 0, len(texts)).astype(np.int64) + (ends > 0)
                 base = np.bincount(of_text, logs, len(texts)) + np.log10(ends + 1) - floor * (per_text + 1)
-                bounds = np.searchsorted(of_text, np.arange(len(texts) + 1))
-                rare, rare_n = [], []
-                for k in range(len(texts)):
-                    w = inverse[bounds[k]:bounds[k + 1]]
-                    u, c = np.unique(w[n[w] == 0], return_counts=True)
-                    rare.append(signed(h[u])), rare_n.append(c)
+                unknown = n[inverse] == 0
+                pair, rare_n = np.unique(of_text[unknown] * len(h) + inverse[unknown], return_counts=True)
+                bounds = pa.array(np.searchsorted(pair, np.arange(len(texts) + 1) * len(h)), pa.int32())
+                rare = signed(h[pair % max(len(h), 1)])
                 yield pa.record_batch([
                     pa.array((pid << 40) + row + np.arange(len(texts))), *(batch.column(c).slice(done, len(texts)) for c in (0, 1, 2)),
                     pa.array(per_text + 1), pa.array(known), pa.array(base),
-                    pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64())),
-                    _packed(*_token_ids(texts, coder, hashed, spellings), coder.size)],
+                    *(pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (rare, rare_n)),
+                    _packed(*_token_ids(texts, coder, hashed, spellings, found), coder.size)],
                     names=["row", "doc_id", "held_out", "round", "n_tokens", "n_known", "base", "rare", "times", "ids"])
                 done += len(texts)
                 row += len(texts)
